@@ -136,10 +136,57 @@ class ByteMerger:
             self.tokens[r] = t
         self.ranks = ranks
         self.merger = Merger(*zip(*rows, strict=True), len(self.tokens))
-        self.merger.unsafe[[ranks[bytes([b])] for b in range(256)]] &= False
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, end to end, and the number for each; a word that is a token is that token."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        rest = np.flatnonzero(whole < 0)
+        parts = [words[i] for i in rest]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids, n = self.merger.merge(self.first[np.frombuffer(b"".join(parts), np.uint8)], lengths)
+        counts = np.ones(len(words), np.int64)
+        counts[rest] = n
+        out = np.empty(int(counts.sum()), np.int32)
+        merged = np.repeat(whole < 0, counts)
+        out[merged] = ids
+        out[~merged] = whole[whole >= 0]
+        return out, counts
+
+
+class PieceMerger:
+    """Unit counts of a sentencepiece BPE model without normalisation."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = sp.get_piece_size()
+        normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+        pieces = {sp.id_to_piece(i): i for i in normal}
+        order = {s: k for k, s in enumerate(sorted({-sp.get_score(i) for i in normal}))}
+        symbols = dict(pieces)
+        for c in sorted({c for p in pieces for c in p}):
+            symbols.setdefault(c, n + len(symbols))
+        top = max(symbols.values(), default=0) + 1
+        rows = [(symbols[p[:i]], symbols[p[i:]], order[-sp.get_score(k)], k) for p, k in pieces.items() for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols]
+        self.merger = Merger(*zip(*rows, strict=True), top + 5)
+        points = np.arange(0x110000)
+        size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        self.symbol = (top + size).astype(np.int32)
+        self.weight = np.ones(top + 5, np.int64)
+        self.weight[top + 1 :] = np.arange(1, 5)  # byte fallback
+        for c, k in symbols.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = k
+                if k >= n:
+                    self.weight[k] = len(c.encode())
+        self.newline_alone = not any("\n" in p for p in pieces)
+        self.newline_weight = int(self.weight[self.symbol[10]])
+        assert not any(p.lstrip("\u2581").count("\u2581") for p in pieces), "a piece joins words"
+
+    def count(self, words: list[str]) -> np.ndarray:
+        """Units of each word, taken as it stands."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        return self.merger.merge(self.first[np.frombuffer(b"".join(words), np.uint8)], lengths)
+        ids, n = self.merger.merge(self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)], lengths)
+        return np.bincount(np.repeat(np.arange(len(words)), n), self.weight[ids], len(words)).astype(np.int64)
