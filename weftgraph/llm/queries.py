@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, suffix_tree
 from . import token_counts as counting
-from .common import table
+from .common import crc_mod, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,3 +35,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) != 2).alias("train"))
+    return suffix_tree.score(docs, "train")
