@@ -20,7 +20,7 @@ from .common import as_bytes, map_batches
 from .merging import ByteMerger
 
 #: Distinct pre-tokens that a bucket's task remembers; beyond it some are encoded again.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 
 
 @cache
@@ -52,10 +52,10 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             ids, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
             known.update(zip(missing, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             own = list(map(known.__getitem__, words))
-            yield exchange.rows([(row["chunk"], row["bucket"], exchange.squeeze(np.frombuffer(b"".join(own), "<u4")), exchange.squeeze(np.fromiter(map(len, own), np.int32, len(own)) // 4), row["c"], None)])
+            yield exchange.rows([(row["chunk"], row["bucket"], exchange.squeeze(np.frombuffer(b"".join(own), "<u4")), exchange.squeeze(np.fromiter(map(len, own), np.int32, len(own)) // 4), row["c"])])
 
 
-def _lay_out(ids: pa.ChunkedArray, each: np.ndarray, lids: np.ndarray, _, answers: list[dict]) -> pa.Table:
+def _lay_out(ids: pa.ChunkedArray, each: np.ndarray, lids: np.ndarray, _, answers: list[dict], __) -> pa.Table:
     total = 1 + max((int(exchange.expand(x["c"], np.int32).max()) for x in answers), default=-1)
     start, count, flat, at = np.zeros(total, np.int64), np.zeros(total, np.int64), [], 0
     for x in answers:
@@ -81,7 +81,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", t
     """
     narrow = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     buckets = exchange.bucket_count(docs)
-    packed = exchange.chunks(narrow, partial(_cut, pattern=pattern), buckets)
+    packed = exchange.chunks(narrow, partial(_cut, pattern=pattern), buckets).repartition(buckets, "chunk")
     answers = exchange.by_bucket(packed, buckets).mapInArrow(partial(_encode, path=ranks_path), exchange.SCHEMA)
     kind = narrow.schema["id"].dataType.simpleString()
     return exchange.assemble(packed, answers, _lay_out, f"id {kind}, ids binary").withColumnRenamed("id", id)

@@ -5,8 +5,9 @@ that a document is an array of numbers, and each distinct word of the chunk is
 sent once, packed with the other words of its hash bucket. Whoever answers
 sees each word in one bucket only; the answers go back by chunk. What is
 shuffled thus follows the distinct words of chunks, never the tokens, and a
-very frequent word weighs as much as any other. The packed rows are
-checkpointed first, since chunk numbers must not change when a task is redone.
+very frequent word weighs as much as any other. A chunk's number is a hash of
+its place and content: if a lost task were redone over rows in another order,
+its answers would be missing, which fails the job, never change.
 """
 
 from __future__ import annotations
@@ -18,17 +19,18 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint, groups
+from .common import as_bytes, groups
 
 #: A chunk ends at about so many tokens or distinct words.
-CHUNK_TOKENS, CHUNK_WORDS = 6_000_000, 400_000
+CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 250_000
 
-SCHEMA = "chunk long, bucket int, a binary, b binary, c binary, d binary"
+SCHEMA = "chunk long, bucket int, a binary, b binary, c binary, d binary, e binary"
 
 
 @cache
@@ -72,17 +74,19 @@ def ids_read(blob: bytes) -> pa.ChunkedArray:
 
 
 def rows(found: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], ["chunk", "bucket", "a", "b", "c", "d"])
+    types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in found], t) for i, t in enumerate(types)], ["chunk", "bucket", *"abcde"])
 
 
-def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: int, weigh: str | None = None) -> DataFrame:
+def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: int, weigh: str | None = None, observe: Callable | None = None) -> DataFrame:
     """Packed chunks of ``docs``, whose first column is an id and the second the text.
 
     ``cut`` gives the words (str or bytes) of each text. A row with bucket -1
     holds a chunk's documents: ids, numbers of words, local word numbers and
     the column named by ``weigh`` as 0 or 1. The others hold the words of a
     bucket, their local numbers, and their counts in documents of weight 1.
+    ``observe(words, lengths, local numbers, weights)`` gives a binary that the
+    documents' row carries on, and three for a row of bucket -2.
     """
     named = docs.columns
 
@@ -96,13 +100,19 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made
-            chunk, made = task + made, made + 1
+            place, made = task + made, made + 1
             lids = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
             weight = np.array(weights, np.uint8)
             each = np.fromiter(map(len, arrays), np.int32, len(arrays))
-            yield rows([(chunk, -1, ids_ipc(pa.chunked_array(ids).combine_chunks()), squeeze(each), squeeze(lids), squeeze(weight))])
-            counts = np.bincount(lids[np.repeat(weight, each) > 0], minlength=len(words)).astype(np.int64)
             flat = [w if isinstance(w, bytes) else w.encode() for w in words]
+            sign = xxhash.xxh64(b"".join(flat), seed=place)
+            sign.update(lids.tobytes())
+            chunk = sign.intdigest() - 2**63
+            carried, *seen = observe(flat, each, lids, weight) if observe else (None,)
+            yield rows([(chunk, -1, ids_ipc(pa.chunked_array(ids).combine_chunks()), squeeze(each), squeeze(lids), squeeze(weight), carried)])
+            if seen:
+                yield rows([(chunk, -2, *seen)])
+            counts = np.bincount(lids[np.repeat(weight, each) > 0], minlength=len(words)).astype(np.int64)
             bucket = np.fromiter(map(zlib.crc32, flat), np.int64, len(flat)) % buckets
             order = np.argsort(bucket, kind="stable")
             starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -129,25 +139,33 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
             yield from flush()
 
     assert not weigh or named[2] == weigh
-    return checkpoint(docs.mapInArrow(run, SCHEMA))
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def bucket_count(docs: DataFrame) -> int:
     return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.compute.greater_equal(batch.column("bucket"), 0))
+
+
 def by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
-    return packed.filter("bucket >= 0").repartition(buckets, "bucket")
+    """The words' rows. A Python filter, so that the plan below stays one with the documents' and its exchange is used twice."""
+    return packed.mapInArrow(_words_only, SCHEMA).repartition(buckets, "bucket")
 
 
-def assemble(packed: DataFrame, answers: DataFrame, fn: Callable[[pa.ChunkedArray, np.ndarray, np.ndarray, np.ndarray, list[dict]], pa.Table], schema: str) -> DataFrame:
-    """Documents of each chunk with the answers to its words: fn(ids, lengths, local numbers, weights, answers)."""
+def assemble(packed: DataFrame, answers: DataFrame, fn: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """Documents of each chunk with the answers to its words: fn(ids, lengths, local numbers, weights, answers, carried)."""
 
-    def run(docs: pa.Table, found: pa.Table, fn) -> pa.Table:
-        out = []
-        for row in docs.to_pylist():
-            out.append(fn(ids_read(row["a"]), expand(row["b"], np.int32), expand(row["c"], np.int32), expand(row["d"], np.uint8), found.to_pylist()))
-        return pa.concat_tables(out)
+    def run(chunk: pa.Table, found: pa.Table, fn) -> pa.Table:
+        answers = found.to_pylist()
+        for row in chunk.filter(pa.compute.equal(chunk["bucket"], -1)).to_pylist():
+            lids = expand(row["c"], np.int32)
+            if sum(len(expand(x["c"], np.int32)) for x in answers) != 1 + lids.max(initial=-1):
+                raise RuntimeError("a chunk's words were not answered: its rows came in another order when a task was redone")
+            return fn(ids_read(row["a"]), expand(row["b"], np.int32), lids, expand(row["d"], np.uint8), answers, row["e"])
+        raise RuntimeError("answers without their chunk")
 
-    left = packed.filter(F.col("bucket") < 0).groupBy("chunk")
-    return left.cogroup(answers.groupBy("chunk")).applyInArrow(partial(run, fn=fn), schema)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(partial(run, fn=fn), schema)
