@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, suffix_tree
+from . import byte_bpe, decontamination, quality, suffix_tree
 from . import token_counts as counting
 from .common import crc_mod, table
 
@@ -41,3 +41,27 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) != 2).alias("train"))
     return suffix_tree.score(docs, "train")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).drop("text").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score"
+    )
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("items").cast("array<string>")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+        "longest_match",
+    )
