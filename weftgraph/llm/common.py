@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch, at most: texts of 100 kB must fit in a worker by the batch.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data set; also sees to it that the session hands texts to Python in modest batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
