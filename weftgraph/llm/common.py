@@ -23,15 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder: ``spark.checkpoint.dir``; only where none is set, as in tests on one machine, a temporary one."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weft-ckpt-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set, as in tests on one machine, a temporary one is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weft-ckpt-"))
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    set_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

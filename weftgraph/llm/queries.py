@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, quality, simhash, substring, suffix_tree
+from . import byte_bpe, chat, decontamination, language, quality, simhash, substring, suffix_tree, training_order
 from . import token_counts as counting
 from .common import crc_mod, table
 
@@ -109,3 +109,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
+    found = language.identify(docs.select("doc_id", "text", "held_out"), docs.filter("NOT held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+@query
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = training_order.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    uri, vocabulary = training_order.shared_folder(spark), 50_257
+    manifest = training_order.write_shards(table(spark, sf_dir, "documents"), uri, tokens, key=20_240_607, vocabulary=vocabulary)
+    read = training_order.read_shards(manifest, uri, vocabulary)
+    return read.select("slot", "doc_id", "part", "shard", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
