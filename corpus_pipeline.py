@@ -1,8 +1,76 @@
-"""Corpus pipeline."""
+"""From raw documents to token ids: quality rules, near-duplicates, repeated passages, benchmark leaks, encoding.
 
-STAGES = []
+Each stage takes what its predecessor kept, written as Parquet and read again.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm import byte_bpe, decontamination, quality, simhash, substring
+from weftgraph.llm.common import modest_batches, set_checkpoint_dir, table
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
+    return judged.filter("kept").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the least id."""
+    modest_batches(spark)
+    return simhash.deduplicated(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that start earlier; untouched texts stay as they are, emptied ones go."""
+    modest_batches(spark)
+    found = substring.remove_repeats(docs)
+    found = found.filter("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.withColumn("text", text).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): token ids as little-endian unsigned 32-bit integers."""
+    modest_batches(spark)
+    encoded = byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("byte-level BPE", encoding_stage),
+]
+
+#: The stages are no SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    folder = os.path.join(set_checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}.parquet"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -17,9 +17,13 @@ GROUP_BYTES = 2 << 20
 BATCH_ROWS = 1_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set; also sees to it that the session hands texts to Python in modest batches."""
+def modest_batches(spark: SparkSession) -> None:
+    """See to it that the session hands texts to Python in modest batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
