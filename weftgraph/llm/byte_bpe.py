@@ -20,7 +20,7 @@ from .common import as_bytes, map_batches
 from .merging import ByteMerger
 
 #: Distinct pre-tokens that a bucket's task remembers; beyond it some are encoded again.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 
 
 @cache

@@ -21,7 +21,7 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 class PairTable:
     """Hash of pairs (left, right) -> (rank, merged symbol), for arrays of pairs."""
 
-    BITS = 21
+    BITS = 19
 
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray):
         keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
