@@ -1,5 +1,9 @@
 """Registered graph queries and their SQL twins."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from weftgraph.plans import graph_queries
+
+FLAGSHIP = "coverage_transitive"
+QUERIES = {**graph_queries.QUERIES}
+ORACLES = {**graph_queries.ORACLES}
