@@ -48,4 +48,4 @@ def twin(body: str, *tables: str, **more: str) -> str:
     for name in tables:
         need(name)
     parts = [f"{n} AS ({TABLES[n]})" for n in order] + [f"{n} AS ({q})" for n, q in more.items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
