@@ -54,24 +54,25 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     count, jumps = nodes.count(), 0
     while nodes.filter("up IS NOT NULL").limit(1).count() and 1 << jumps <= count:
         over = nodes.select("conv", "msg", "up", "score", "depth")
-        nodes = nodes.alias("n").join(over.alias("o"), at("n", "o", "up"), "left").select(
-            "n.conv", "n.msg", "n.parent", F.col("o.up").alias("up"),
-            (F.col("n.score") + F.coalesce("o.score", F.lit(0.0))).alias("score"), (F.col("n.depth") + F.coalesce("o.depth", F.lit(0))).alias("depth"), "n.leaf",
-        )
+        further = nodes.filter("up IS NOT NULL").alias("n").join(over.alias("o"), at("n", "o", "up")).select(
+            "n.conv", "n.msg", "n.parent", F.col("o.up").alias("up"), (F.col("n.score") + F.col("o.score")).alias("score"), (F.col("n.depth") + F.col("o.depth")).alias("depth"), "n.leaf"
+        )
+        nodes = nodes.filter("up IS NULL").unionByName(further)  # who has reached the root jumps no more
         nodes, jumps = checkpoint(nodes), jumps + 1
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("score").desc(), "msg"))
     chosen = nodes.filter("leaf AND up IS NULL").withColumn("path_rank", rank).filter(F.col("path_rank") <= best)
     # walk up from the chosen leaves: the stretch of 1, 2, 4... messages above each found one is found in turn
     paths = chosen.select("conv", "path_rank", F.col("msg").alias("leaf"), "msg", "depth")
-    links = nodes.select("conv", "msg", "parent", "depth")
+    links = nodes.filter("parent IS NOT NULL").select("conv", "msg", "parent", "depth")
     hops = [links]
     for _ in range(1, jumps):
         far, near = hops[-1].alias("f"), hops[-1].alias("n")
         step = near.join(far, F.col("n.conv").eqNullSafe(F.col("f.conv")) & (F.col("n.parent") == F.col("f.msg"))).select("n.conv", "n.msg", F.col("f.parent").alias("parent"), "n.depth")
         hops.append(checkpoint(step))
     for k, hop in reversed(list(enumerate(hops if jumps else []))):
-        more = paths.alias("p").join(hop.filter("parent IS NOT NULL").alias("h"), at("p", "h", "msg"))
-        paths = paths.unionByName(more.select("p.conv", "p.path_rank", "p.leaf", F.col("h.parent").alias("msg"), (F.col("p.depth") - (1 << k)).alias("depth")))
+        more = paths.alias("p").join(hop.alias("h"), at("p", "h", "msg"))
+        more = more.select("p.conv", "p.path_rank", "p.leaf", F.col("h.parent").alias("msg"), (F.col("p.depth") - (1 << k)).alias("depth"))
+        paths = checkpoint(paths.unionByName(more))  # else the plan would double with each hop
     return paths.select("conv", "path_rank", "leaf", F.col("depth").alias("step"), "msg")
 
 
