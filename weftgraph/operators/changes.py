@@ -5,7 +5,9 @@ Attributions are rows (identity, cause), never nested while they are computed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,21 +50,36 @@ class Analysis:
     before: Workspace
     now: Workspace
     records: DataFrame
+    known: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     def both(self) -> DataFrame:
         return self.records.filter("presence = 'both'").select("identity")
 
 
+def once(fn: Callable[[Analysis], DataFrame]) -> Callable[[Analysis], DataFrame]:
+    """Compute a relation of an analysis once, whoever asks."""
+
+    @wraps(fn)
+    def run(analysis: Analysis) -> DataFrame:
+        if fn.__name__ not in analysis.known:
+            analysis.known[fn.__name__] = checkpoint(fn(analysis))
+        return analysis.known[fn.__name__]
+
+    return run
+
+
 def analyse(before: Workspace, now: Workspace) -> Analysis:
     return Analysis(before, now, checkpoint(matched(before, now)))
 
 
+@once
 def above(analysis: Analysis) -> DataFrame:
     """(identity, ancestor) on either side."""
     up = [graph.ancestors(w.nodes).select("identity", "ancestor") for w in (analysis.before, analysis.now)]
     return up[0].unionByName(up[1])
 
 
+@once
 def descendant_changed(analysis: Analysis) -> DataFrame:
     """(identity, cause): nodes of both sides with changed nodes strictly below them on either."""
     causes = above(analysis).join(analysis.records.filter("changed").select("identity"), "identity").distinct()
@@ -72,10 +89,14 @@ def descendant_changed(analysis: Analysis) -> DataFrame:
 def _links(analysis: Analysis) -> tuple[DataFrame, DataFrame]:
     """Matched children and matched dependency targets: (identity, below)."""
     both = analysis.both()
+    if "links" in analysis.known:
+        return analysis.known["kids"], analysis.known["links"]
     kids = analysis.records.filter("presence = 'both' AND parent_before = parent_now").select(F.col("parent_now").alias("identity"), F.col("identity").alias("below"))
     deps = dependency_counts(analysis.before).select("identity", "target").join(dependency_counts(analysis.now).select("identity", "target"), ["identity", "target"])
     deps = deps.join(both, "identity", "left_semi").join(both.withColumnRenamed("identity", "target"), "target", "left_semi")
-    return kids.join(both, "identity", "left_semi"), deps.select("identity", F.col("target").alias("below"))
+    analysis.known["kids"] = checkpoint(kids.join(both, "identity", "left_semi"))
+    analysis.known["links"] = checkpoint(deps.select("identity", F.col("target").alias("below")))
+    return analysis.known["kids"], analysis.known["links"]
 
 
 def _seeds(analysis: Analysis) -> DataFrame:
@@ -101,12 +122,14 @@ def spread(seeds: DataFrame, links: DataFrame, limit: int = 10_000) -> DataFrame
     raise graph.TooDeep(f"over {limit} levels")
 
 
+@once
 def effective_causes(analysis: Analysis) -> DataFrame:
     """(identity, cause) of every node of both sides whose effective hash differs."""
     kids, deps = _links(analysis)
     return spread(_seeds(analysis), kids.unionByName(deps))
 
 
+@once
 def upstream_changed(analysis: Analysis) -> DataFrame:
     """(identity, cause): causes of the dependency targets of a node and of those below it, and edited dependencies strictly below; never the node itself."""
     kids, deps = _links(analysis)
@@ -135,6 +158,7 @@ def impact_edges(before: Workspace, now: Workspace) -> DataFrame:
     return kept(before).unionByName(kept(now)).distinct()
 
 
+@once
 def subtree_changed(analysis: Analysis) -> DataFrame:
     """Nodes whose subtree hash differs; what is on one side only counts."""
     return analysis.records.filter("changed").select("identity").unionByName(descendant_changed(analysis).select("identity")).distinct()
@@ -143,7 +167,7 @@ def subtree_changed(analysis: Analysis) -> DataFrame:
 def impacted(analysis: Analysis) -> DataFrame:
     """(source, category): code that is impacted directly, transitively or both."""
     edges = impact_edges(analysis.before, analysis.now).select("source", "target").distinct()
-    subtree = checkpoint(subtree_changed(analysis))
+    subtree = subtree_changed(analysis)
     lone = analysis.records.filter("presence <> 'both'").select("identity")
     effective = effective_causes(analysis).select("identity").unionByName(lone).unionByName(subtree).distinct()
     state = effective.join(subtree.withColumn("sub", F.lit(True)), "identity", "left")
@@ -154,7 +178,7 @@ def impacted(analysis: Analysis) -> DataFrame:
 def impact_witness(analysis: Analysis) -> DataFrame:
     """(source, category, kind, path): of each impacted location, the edge and the least shortest path to an edit that explains it."""
     records = analysis.records
-    subtree, effective = checkpoint(subtree_changed(analysis)), None
+    subtree = subtree_changed(analysis)
     lone = records.filter("presence <> 'both'").select("identity")
     effective = checkpoint(effective_causes(analysis).select("identity").unionByName(lone).unionByName(subtree).distinct())
     tree = [w.nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("source"), F.col("identity").alias("target")) for w in (analysis.before, analysis.now)]

@@ -30,12 +30,14 @@ def link_parent(analysis: changes.Analysis) -> DataFrame:
     return analysis.records.select("identity", F.when(F.col("presence") == "deleted", F.col("parent_before")).otherwise(F.col("parent_now")).alias("parent"))
 
 
+@changes.once
 def _above(analysis: changes.Analysis) -> DataFrame:
     """(identity, ancestor, distance) by link parents, which follow the ids."""
     nodes = analysis.now.nodes.unionByName(analysis.before.nodes.join(analysis.records.filter("presence = 'deleted'").select("identity"), "identity", "left_semi"))
     return graph.ancestors(nodes)
 
 
+@changes.once
 def visited(analysis: changes.Analysis) -> DataFrame:
     """Changed nodes without a changed ancestor."""
     changed = analysis.records.filter("changed").select("identity")
@@ -45,9 +47,9 @@ def visited(analysis: changes.Analysis) -> DataFrame:
 
 def path_blocks(analysis: changes.Analysis) -> DataFrame:
     """(kind, scope, context, origin) of a baseline session."""
-    up = checkpoint(_above(analysis))
+    up = _above(analysis)
     changed = analysis.records.filter("changed").select("identity")
-    seen = checkpoint(visited(analysis))
+    seen = visited(analysis)
     tops = seen.select(F.col("identity").alias("scope"))
     origin = up.select(F.col("ancestor").alias("scope"), "identity").join(changed, "identity").join(tops, "scope", "left_semi")
     origin = origin.unionByName(tops.select("scope", F.col("scope").alias("identity"))).groupBy("scope").agg(_set("identity").alias("origin"))
@@ -80,6 +82,7 @@ def _metadata_items(analysis: changes.Analysis) -> DataFrame:
     return own.join(moved, "scope", "left").select(F.lit(KINDS[1]).alias("kind"), "scope", F.coalesce("context", F.array().cast("array<string>")).alias("context"), F.array("scope").alias("origin"))
 
 
+@changes.once
 def _causes(analysis: changes.Analysis) -> DataFrame:
     """(identity, cause) of all categories; a node's own metadata counts only where its d targets changed."""
     own = analysis.records.filter("changed OR (metadata_changed AND deps_changed)").select("identity", F.col("identity").alias("cause"))
@@ -109,7 +112,7 @@ def _with_origin(analysis: changes.Analysis, hit: DataFrame, kind: str) -> DataF
 
 def path_blocked_by(analysis: changes.Analysis) -> DataFrame:
     """Parent items wait for the items of their changed branches."""
-    seen = checkpoint(visited(analysis))
+    seen = visited(analysis)
     on = branches(_above(analysis), seen).join(seen.select(F.col("identity").alias("branch"), F.lit(KINDS[0]).alias("first")), "branch", "left")
     return on.select(F.lit(KINDS[3]).alias("kind"), "scope", F.coalesce("first", F.lit(KINDS[3])).alias("by_kind"), F.col("branch").alias("by_scope"))
 

@@ -28,6 +28,7 @@ def query(sql: str | None = None):
 
 
 #: Parts, by key modulo 997: 0 are new, 3 are gone, 7 and 11 have new text, 13 have other coverage.
+#: Customers whose key is 9, and suppliers whose key is 5, modulo 499 have new text.
 #: Customers whose key is 5 modulo 499 no longer depend on parts of even key.
 def _number(identity: str):
     return F.regexp_extract(identity, r"(\d+)$", 1).try_cast("long")
@@ -41,7 +42,8 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[Workspace, Workspace]:
     rest = F.when(is_part, _number("identity") % 997)
     before = nodes.filter(rest.isNull() | (rest != 0))
     now = nodes.filter(rest.isNull() | (rest != 3))
-    now = now.withColumn("own_text", F.when(rest.isin(7, 11), F.concat("own_text", F.lit(" v2"))).otherwise(F.col("own_text")))
+    other = (F.startswith("path", F.lit("geo/")) & (F.col("depth") == 2) & (_number("identity") % 499 == 9)) | ((F.col("path") == "sup.mdx") & ~F.col("is_root") & (_number("identity") % 499 == 5))
+    now = now.withColumn("own_text", F.when(rest.isin(7, 11) | other, F.concat("own_text", F.lit(" v2"))).otherwise(F.col("own_text")))
     flipped = F.when(F.col("coverage") == "none", "required").otherwise("none")
     now = now.withColumn("coverage", F.when(rest == 13, flipped).otherwise(F.col("coverage")))
     lost = (F.col("kind") == "depends") & (_number("source") % 499 == 5) & (_number("target") % 2 == 0)
@@ -77,7 +79,7 @@ def _side(n: str, e: str) -> str:
 VERSIONS = {
     "nb": f"SELECT * FROM nodes WHERE {REST} <> 0",
     "nc": f"""SELECT identity, path, id, is_root, parent, depth, doc_ord, CASE WHEN {REST} = 13 THEN CASE WHEN coverage = 'none' THEN 'required' ELSE 'none' END ELSE coverage END AS coverage, tags,
-      CASE WHEN {REST} IN (7, 11) THEN own_text || ' v2' ELSE own_text END AS own_text FROM nodes WHERE {REST} <> 3""",
+      CASE WHEN {REST} IN (7, 11) OR (path LIKE 'geo/%' AND depth = 2 AND {K.format('identity')} % 499 = 9) OR (path = 'sup.mdx' AND NOT is_root AND {K.format('identity')} % 499 = 5) THEN own_text || ' v2' ELSE own_text END AS own_text FROM nodes WHERE {REST} <> 3""",
     "eb": f"SELECT * FROM edges WHERE kind <> 'contains' AND NOT {_gone('source', 0)} AND NOT {_gone('target', 0)}",
     "ec": f"SELECT * FROM edges WHERE kind <> 'contains' AND NOT {_gone('source', 3)} AND NOT {_gone('target', 3)} AND NOT (kind = 'depends' AND {K.format('source')} % 499 = 5 AND {K.format('target')} % 2 = 0)",
     "sb": _side("nb", "eb"),
@@ -162,10 +164,12 @@ def impacted_transitive(spark, sf_dir):
     return changes.impacted(analysis(spark, sf_dir)).filter("category = 'transitive'").select("source")
 
 
-@query(vsql("""SELECT source, category, arg_min(kind, [path[1], kind]) AS kind, arg_min(path, [path[1], kind]) AS path FROM (
-  SELECT ie.source, 'direct' AS category, ie.kind, [ie.target] AS path FROM ie JOIN rec r ON ie.target = r.identity AND r.changed) GROUP BY source, category"""))
+@query(vsql("""SELECT source, category, arg_min(kind, list_append(path, kind)) AS kind, arg_min(path, list_append(path, kind)) AS path FROM (
+  SELECT ie.source, 'direct' AS category, ie.kind, [ie.target] AS path FROM ie JOIN rec r ON ie.target = r.identity AND r.changed
+  UNION ALL SELECT ie.source, 'transitive', ie.kind, [ie.target, d.target] FROM ie JOIN (SELECT source, target FROM eb UNION SELECT source, target FROM ec) d ON ie.target = d.source JOIN rec r ON r.identity = d.target AND r.changed
+  WHERE ie.target NOT IN (SELECT identity FROM sub)) GROUP BY source, category"""))
 def impact_witness(spark, sf_dir):
-    """References go to parts and suppliers, which have no children: a direct witness is one node, and no supplier changes."""
+    """References go to parts and suppliers, which have no children: a direct witness is one node, a transitive one a part and its supplier."""
     return changes.impact_witness(analysis(spark, sf_dir))
 
 
