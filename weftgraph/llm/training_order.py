@@ -1,11 +1,12 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-Every sequence has an index from 0 to N - 1: its place in its task, after the
-sequences of the tasks before. A keyed Feistel permutation with cycle-walking
-maps the index to a slot in the training order, so no order is ever stored or
-sorted. Sequences are dealt by range of slots, and each task writes whole
-shards: a record has ``HEADER`` bytes and ``length`` ids, so slot k lies at a
-known offset of a known shard, and reading can go on from anywhere.
+Every sequence has an index: its task's number and its place in the task. A
+keyed Feistel permutation with cycle-walking maps the indices one to one to
+positions below ``DOMAIN``, and a sequence's slot in the training order is the
+rank of its position. Positions are dealt by range; each task sorts its own and
+writes whole shards, and the slots follow from the ranges' sizes. A record has
+a header and ``length`` ids, so a slot lies at a known offset of a known shard,
+and reading can go on from anywhere. Every text is encoded once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache, partial
 
@@ -27,7 +29,9 @@ from .common import as_bytes, checkpoint, groups
 from .merging import read_ranks
 
 LENGTH = 256
-#: Records of a shard.
+#: Positions: 31 bits of a task's number and 32 of a place in the task.
+DOMAIN = 1 << 63
+#: Records of a shard, but for the last one of a range.
 SHARD = 16_384
 #: Record header: id, place in the document, ids that count, 1 if the id is null.
 HEADER = np.dtype([("doc", "<i8"), ("part", "<u4"), ("n", "<u4"), ("null", "<u4")])
@@ -48,7 +52,7 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             left, right = right, left ^ ((mixed >> np.uint64(29)) & mask)
         out[walk] = left << half | right
-        walk = walk[out[walk] >= n]  # what left the range goes round again
+        walk = walk[out[walk] >= np.uint64(n)]  # what left the range goes round again
     return out.astype(np.int64)
 
 
@@ -66,24 +70,14 @@ def tokenizer(path: str, pattern: str) -> Callable[[list[str]], Iterator[np.ndar
     def run(texts: list[str]) -> Iterator[np.ndarray]:
         encoding, end = _tokenizer(path, pattern)
         for t in texts:
-            yield np.array([*encoding.encode_ordinary(t), end], np.uint32)
+            yield np.frombuffer(array("I", [*encoding.encode_ordinary(t), end]), np.uint32)
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch], tokens, length: int) -> Iterator[pa.RecordBatch]:
-    n = 0
-    for batch in batches:
-        data = as_bytes(batch.column(1))
-        for a, b in groups(list(map(len, data))):
-            n += sum(-(-len(x) // length) for x in tokens([t.decode() for t in data[a:b]]))
-    yield pa.record_batch([[TaskContext.get().partitionId()], [n]], ["part", "n"])
-
-
-def _place(batches: Iterator[pa.RecordBatch], tokens, length: int, before, total: int, key: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    """Records with their slots."""
-    start, end = before.value[TaskContext.get().partitionId()]
-    at = start
+def _place(batches: Iterator[pa.RecordBatch], tokens, length: int, key: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Records with their positions."""
+    at = TaskContext.get().partitionId() << 32
     for batch in batches:
         data = as_bytes(batch.column(1))
         for a, b in groups(list(map(len, data))):
@@ -100,47 +94,44 @@ def _place(batches: Iterator[pa.RecordBatch], tokens, length: int, before, total
                 head["part"][row : row + k] = np.arange(k)
                 head["n"][row : row + k] = np.minimum(length, len(x) - length * np.arange(k))
                 row += k
-            slots = permute(np.arange(at, at + row), total, key)
+            positions = permute(np.arange(at, at + row), DOMAIN, key)
             at += row
             flat = np.concatenate((head.view(np.uint8).reshape(row, -1), body.view(np.uint8).reshape(row, -1)), axis=1)
             stride = flat.shape[1]
-            yield pa.record_batch([pa.array(slots), pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), row, [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())], ["slot", "record"])
-    if at != end:
-        raise RuntimeError("a task's rows differ from those that were counted: the input is not the same at each reading")
+            yield pa.record_batch([pa.array(positions), pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), row, [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())], ["position", "record"])
 
 
-def _write(batches: Iterator[pa.RecordBatch], uri: str, shard: int, total: int) -> Iterator[pa.RecordBatch]:
-    """Whole shards from records in order of slots; a file gets its name when it is complete, so a task can be redone."""
+def _write(batches: Iterator[pa.RecordBatch], uri: str, shard: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """Shards of a range from its records in order; a file gets its name when it is complete, so a task can be redone."""
     store, root = pa.fs.FileSystem.from_uri(uri)
-    out, name, temporary, wrote, digest, number = None, "", "", 0, None, -1
+    out, temporary, wrote, digest, number, part = None, "", 0, None, 0, -1
 
     def close() -> pa.RecordBatch:
         out.close()
-        size = min(shard, total - number * shard)
-        if wrote != size:
-            raise RuntimeError(f"shard {number} has {wrote} of {size} records")
+        name = f"{root}/shard-{part:07d}-{number:07d}.bin"
         store.move(temporary, name)
-        return pa.record_batch([[number], [name], [number * shard], [wrote], [digest.hexdigest()]], ["shard", "path", "first_slot", "records", "sha256"])
+        return pa.record_batch([[part], [number], [name], [wrote], [digest.hexdigest()]], ["part", "number", "path", "records", "sha256"])
 
     for batch in batches:
-        slots, data = batch.column(0).to_numpy(), as_bytes(batch.column(1))
-        for k in np.unique(slots // shard).tolist():
-            if k != number:
-                if out is not None:
-                    yield close()
-                number, wrote, digest = k, 0, hashlib.sha256()
-                name = f"{root}/shard-{k:010d}.bin"
-                temporary = f"{root}/.{uuid.uuid4().hex}"
+        data, at = as_bytes(batch.column(1)), 0
+        if data and part < 0:
+            part = (batch.column(0)[0].as_py() >> 32) * tasks >> 31
+        while at < len(data):
+            if out is None:
+                temporary, wrote, digest = f"{root}/.{uuid.uuid4().hex}", 0, hashlib.sha256()
                 out = store.open_output_stream(temporary)
-            own = b"".join(data[i] for i in np.flatnonzero(slots // shard == k))
-            out.write(own)
-            digest.update(own)
-            wrote += int((slots // shard == k).sum())
+            own = data[at : at + shard - wrote]
+            out.write(joined := b"".join(own))
+            digest.update(joined)
+            wrote, at = wrote + len(own), at + len(own)
+            if wrote == shard:
+                yield close()
+                out, number = None, number + 1
     if out is not None:
         yield close()
 
 
-MANIFEST = "shard long, path string, first_slot long, records long, sha256 string"
+MANIFEST = "part long, number long, path string, records long, sha256 string"
 
 
 def write_shards(docs: DataFrame, uri: str, tokens, key: int, vocabulary: int, id: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
@@ -151,26 +142,28 @@ def write_shards(docs: DataFrame, uri: str, tokens, key: int, vocabulary: int, i
     with what ``tokens`` gives for it. Null ids are marked; equal rows are
     sequences of their own; other columns are not carried. An empty table
     writes nothing and gives an empty manifest. Ids are 16 bits wide up to a
-    ``vocabulary`` of 65,536, else 32. ``docs`` must read the same rows in the
-    same partitions twice; if not, the job fails.
+    ``vocabulary`` of 65,536, else 32. The manifest has (shard, path,
+    first_slot, records, sha256), shards in the training order.
     """
     spark = docs.sparkSession
     narrow = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))
-    counts = sorted(tuple(r) for r in narrow.mapInArrow(partial(_count, tokens=tokens, length=length), "part long, n long").collect())
-    ends = np.cumsum([n for _, n in counts]).tolist()
-    total = ends[-1] if ends else 0
-    if not total:
-        return spark.createDataFrame([], MANIFEST)
-    before = spark.sparkContext.broadcast({p: (e - n, e) for (p, n), e in zip(counts, ends, strict=True)})
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    placed = narrow.mapInArrow(partial(_place, tokens=tokens, length=length, before=before, total=total, key=key, dtype=dtype), "slot long, record binary")
-    shards = -(-total // shard)
-    width = -(-shards // (10 * int(spark.conf.get("spark.sql.shuffle.partitions"))))  # shards in a task
-    tasks = -(-shards // width)
-    dealt = placed.repartitionById(tasks, (F.col("slot") / F.lit(shard * width)).cast("int")).sortWithinPartitions("slot")
+    placed = narrow.mapInArrow(partial(_place, tokens=tokens, length=length, key=key, dtype=dtype), "position long, record binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.shiftright(F.shiftright("position", 32) * F.lit(tasks).cast("long"), 31).cast("int")
+    dealt = placed.repartitionById(tasks, part).sortWithinPartitions("position")
     store, root = pa.fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    return checkpoint(dealt.mapInArrow(partial(_write, uri=uri, shard=shard, total=total), MANIFEST))
+    written = checkpoint(dealt.mapInArrow(partial(_write, uri=uri, shard=shard, tasks=tasks), MANIFEST))
+    # one row for each range: what comes before it in records and shards
+    sizes = sorted(tuple(r) for r in written.groupBy("part").agg(F.sum("records"), F.count("*")).collect())
+    before, slot, shards = [], 0, 0
+    for p, records, n in sizes:
+        before.append((p, slot, shards))
+        slot, shards = slot + records, shards + n
+    ranges = F.broadcast(spark.createDataFrame(before, "part long, slots long, shards long"))
+    named = written.join(ranges, "part")
+    return named.select((F.col("shards") + F.col("number")).alias("shard"), "path", (F.col("slots") + F.col("number") * shard).alias("first_slot"), "records", "sha256")
 
 
 def _read(batches: Iterator[pa.RecordBatch], uri: str, length: int, dtype: str) -> Iterator[pa.RecordBatch]:
