@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,9 +46,35 @@ class Workspace:
     occurrences: DataFrame
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``, or a temporary folder where none is set."""
-    sc = df.sparkSession.sparkContext
+_written: list[tuple[DataFrame, str]] = []
+
+
+def shared_folder(spark) -> str:
+    """``spark.checkpoint.dir``, or a temporary folder where none is set, as on one machine."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weft-graph-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows as Parquet to the folder that all executors share, and read them again.
+
+    Unlike a checkpoint of the rows' RDD, the table keeps its size, which
+    joins are planned by, and none of the plan's constraints. ``clear`` removes
+    what was written.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append((kept, path))
+    return kept
+
+
+def clear() -> None:
+    """Remove all tables that ``checkpoint`` has written in this process; frames that read them end with it."""
+    while _written:
+        df, path = _written.pop()
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
