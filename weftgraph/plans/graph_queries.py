@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import globs, scalars
 from weftgraph.operators import coverage as cover
-from weftgraph.operators import graph, hashes, policy, text, validation
+from weftgraph.operators import availability, graph, hashes, mutations, policy, text, validation
 from weftgraph.plans.twins import twin
 from weftgraph.sources import tables
 from weftgraph.sources.tables import project
@@ -459,3 +459,75 @@ def rename_mapping(spark, sf_dir):
 def rename_edges(spark, sf_dir):
     work = project(spark, sf_dir)
     return text.rename(work.nodes, work.edges.filter("kind IN ('contains', 'depends')"), "geo/ASIA.mdx", "n12", "moved")[2]
+
+
+@query(twin("SELECT identity, own_text AS text FROM nodes", "nodes"))
+def own_text(spark, sf_dir):
+    return tables.nodes(spark, sf_dir).select("identity", F.col("own_text").alias("text"))
+
+
+@query(twin("SELECT path, len(list(identity)) AS n, list(identity ORDER BY doc_ord, identity)[2] AS second FROM nodes GROUP BY path HAVING count(*) > 1", "nodes"))
+def view(spark, sf_dir):
+    shown = availability.view(project(spark, sf_dir)).filter(F.size("sections") > 1)
+    return shown.select("path", F.size("sections").cast("long").alias("n"), F.element_at("sections", 2)["identity"].alias("second"))
+
+
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_linenumber AS VARCHAR) AS id FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) = 1")
+def defined_identities(spark, sf_dir):
+    line = tables.table(spark, sf_dir, "lineitem")
+    return availability.defined(line.select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").cast("string").alias("id")))
+
+
+@query(twin("SELECT DISTINCT 'parts/' || replace(p_brand, '#', '_') || '.mdx' AS path FROM part WHERE p_brand = 'Brand#7' UNION SELECT 'sup.mdx'"))
+def expansion_files(spark, sf_dir):
+    work = project(spark, sf_dir)
+    edges = work.edges.filter("source NOT LIKE 'orders/%' AND kind IN ('contains', 'embeds')")
+    return availability.expansion_files(work.nodes, edges, ["parts/Brand_7.mdx"])
+
+
+@query(twin("""
+SELECT p AS identity FROM (SELECT source AS p FROM edges WHERE kind = 'embeds' AND target = 'sup.mdx#s3' AND source LIKE 'parts/%'
+  UNION SELECT split_part(source, '#', 1) FROM edges WHERE kind = 'embeds' AND target = 'sup.mdx#s3' AND source LIKE 'parts/%' UNION SELECT 'sup.mdx#s3' UNION SELECT 'sup.mdx')""", "edges"))
+def text_unavailable(spark, sf_dir):
+    work = project(spark, sf_dir)
+    edges = work.edges.filter("source NOT LIKE 'orders/%' AND kind IN ('contains', 'embeds')")
+    return availability.text_unavailable(work.nodes, edges, work.nodes.filter("identity = 'sup.mdx#s3'"))
+
+
+@query("""
+SELECT 'out/' || (doc_id + 5) || '.md' AS path, 'added' AS change FROM documents WHERE doc_id + 5 NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'out/' || doc_id || '.md', 'removed' FROM documents WHERE doc_id - 5 NOT IN (SELECT doc_id FROM documents)""")
+def derived_delta(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents")
+    path = lambda c: docs.select(F.concat(F.lit("out/"), c.cast("string"), F.lit(".md")).alias("path"))
+    return mutations.derived_delta(path(F.col("doc_id")), path(F.col("doc_id") + 5))
+
+
+@query(twin("SELECT regexp_replace(path, '\\.mdx$', '') || s AS path, path AS source FROM (SELECT DISTINCT path FROM nodes) CROSS JOIN (VALUES ('.xspec.js'), ('.xspec.d.ts'), ('.xspec.d.ts.map')) t(s)", "nodes"))
+def derived_paths(spark, sf_dir):
+    return availability.derived_paths(tables.nodes(spark, sf_dir).select("path").distinct())
+
+
+@query(twin("SELECT identity AS \"from\", 'moved/all.mdx' || CASE WHEN id IS NULL THEN '' ELSE '#' || id END AS \"to\" FROM nodes WHERE path = 'sup.mdx'", "nodes"))
+def move_file_mapping(spark, sf_dir):
+    return mutations.file_mapping(tables.nodes(spark, sf_dir), "sup.mdx", "moved/all.mdx")
+
+
+@query(twin("SELECT CASE WHEN path = 'geo/ASIA.mdx' AND (id = 'n12' OR starts_with(id, 'n12.')) THEN 'sup.mdx#far' || substring(id, 4) ELSE identity END AS identity, CASE WHEN path = 'geo/ASIA.mdx' AND id = 'n12' THEN 'sup.mdx' WHEN path = 'geo/ASIA.mdx' AND starts_with(id, 'n12.') THEN 'sup.mdx#far' ELSE parent END AS parent FROM nodes", "nodes"))
+def move_section_nodes(spark, sf_dir):
+    work = project(spark, sf_dir)
+    return mutations.rewrite(work, mutations.section_mapping(work.nodes, "geo/ASIA.mdx", "n12", "sup.mdx", "far")).nodes.select("identity", "parent")
+
+
+@query(twin("SELECT 'refused-id-collision' AS code, 'sup.mdx#s1' AS identity UNION ALL SELECT 'refused-id-collision', identity FROM nodes WHERE FALSE", "nodes"))
+def refusals(spark, sf_dir):
+    work = project(spark, sf_dir)
+    mapping = mutations.section_mapping(work.nodes, "geo/ASIA.mdx", "n12", "sup.mdx", "s1")
+    return mutations.refusals(work, mapping, "geo/ASIA.mdx", "n12", "sup.mdx", "s1")
+
+
+@query("SELECT code, location, count(*) OVER () AS n FROM (SELECT DISTINCT 'invalid-source-path' AS code, 'parts/' || p_brand || '.mdx' AS location FROM part)")
+def finding_set(spark, sf_dir):
+    paths = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("parts/"), "p_brand", F.lit(".mdx")).alias("path"))
+    found = validation.finding_set(validation.invalid_path(paths))
+    return found.select("code", F.element_at("locations", 1).alias("location")).crossJoin(F.broadcast(found.agg(F.count("*").alias("n"))))
