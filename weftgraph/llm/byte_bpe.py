@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange
-from .common import as_bytes, map_batches
+from .common import as_bytes, map_batches, tidily
 from .merging import ByteMerger
 
 #: Distinct pre-tokens that a bucket's task remembers; beyond it some are encoded again.
@@ -82,7 +82,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", t
     narrow = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     buckets = exchange.bucket_count(docs)
     packed = exchange.chunks(narrow, partial(_cut, pattern=pattern), buckets).repartition(buckets, "chunk")
-    answers = exchange.by_bucket(packed, buckets).mapInArrow(partial(_encode, path=ranks_path), exchange.SCHEMA)
+    answers = exchange.by_bucket(packed, buckets).mapInArrow(partial(tidily(_encode), path=ranks_path), exchange.SCHEMA)
     kind = narrow.schema["id"].dataType.simpleString()
     return exchange.assemble(packed, answers, _lay_out, f"id {kind}, ids binary").withColumnRenamed("id", id)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -9,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
+
 #: Texts are handled in groups of about this many bytes, so that a worker's memory does not follow the batch.
 GROUP_BYTES = 2 << 20
 
@@ -58,6 +62,34 @@ def groups(sizes: list[int], limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
         yield a, len(sizes)
 
 
+def tidy() -> None:
+    """Give freed memory back: a worker that waits for its next task should hold no more than it needs."""
+    gc.collect(1)
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidily(fn: Callable) -> Callable:
+    """The same function of batches or of groups, tidied up after each task or group."""
+
+    def run(first, *rest, **options):
+        if isinstance(first, Iterator):
+            return over(first, *rest, **options)
+        try:
+            return fn(first, *rest, **options)
+        finally:
+            tidy()
+
+    def over(batches, *rest, **options):
+        try:
+            yield from fn(batches, *rest, **options)
+        finally:
+            tidy()
+
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -69,7 +101,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidily(run), schema)
 
 
 def crc_mod(col, mod: int):

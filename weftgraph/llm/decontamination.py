@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, groups
+from .common import as_bytes, groups, tidily
 
 WINDOW = 10
 #: Words of the benchmark that go to the workers at once; a larger one is taken in blocks.
@@ -168,7 +168,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
         block = _Block(items, window)
         block.item_type = item_type
         shared = spark.sparkContext.broadcast(block)
-        return out.mapInArrow(partial(_hits, at=own.index(text), block=shared, window=window, n_own=len(own)), schema)
+        return out.mapInArrow(partial(tidily(_hits), at=own.index(text), block=shared, window=window, n_own=len(own)), schema)
 
     items: list = []
     size = 0

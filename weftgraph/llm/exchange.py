@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, groups
+from .common import as_bytes, groups, tidily
 
 #: A chunk ends at about so many tokens or distinct words.
 CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 250_000
@@ -139,7 +139,7 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
             yield from flush()
 
     assert not weigh or named[2] == weigh
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(tidily(run), SCHEMA)
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -153,7 +153,7 @@ def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
     """The words' rows. A Python filter, so that the plan below stays one with the documents' and its exchange is used twice."""
-    return packed.mapInArrow(_words_only, SCHEMA).repartition(buckets, "bucket")
+    return packed.mapInArrow(tidily(_words_only), SCHEMA).repartition(buckets, "bucket")
 
 
 def assemble(packed: DataFrame, answers: DataFrame, fn: Callable[..., pa.Table], schema: str) -> DataFrame:
@@ -168,4 +168,4 @@ def assemble(packed: DataFrame, answers: DataFrame, fn: Callable[..., pa.Table],
             return fn(ids_read(row["a"]), expand(row["b"], np.int32), lids, expand(row["d"], np.uint8), answers, row["e"])
         raise RuntimeError("answers without their chunk")
 
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(partial(run, fn=fn), schema)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda chunk, found: tidily(run)(chunk, found, fn=fn), schema)

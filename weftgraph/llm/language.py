@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, groups, map_batches
+from .common import as_bytes, groups, map_batches, tidily
 
 BITS = 15
 #: Languages that a model may hold; more is an error, never a cut.
@@ -65,7 +65,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order, and the probability of each bucket in each of them. Rows without text or language do not count."""
     rows = train.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, F.col(lang).cast("string"))
-    counts = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidily(_count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     if (n := rows.select(lang).distinct().limit(LANGUAGES + 1).count()) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
     found = counts.toPandas()

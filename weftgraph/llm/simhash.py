@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint, groups
+from .common import as_bytes, checkpoint, groups, tidily
 from .components import components, forest
 
 SEED, SHINGLE, BITS_APART = 42, 3, 3
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             fp = [fingerprint(data[a:b]) for a, b in groups(list(map(len, data)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *fp]))], ["id", "fp"])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp long")
+    return narrow.mapInArrow(tidily(run), f"id {narrow.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _post(fp, places: tuple[int, ...], number: int):
@@ -185,7 +185,7 @@ def _scan(batches: Iterator[pa.RecordBatch], five: bool) -> Iterator[pa.RecordBa
 def _lists(postings: DataFrame, five: bool) -> DataFrame:
     """Links (a, b), and from lists that are too long (a, key)."""
     dealt = postings.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.select("key", "fp").mapInArrow(partial(_scan, five=five), "a long, b long, key long")
+    return dealt.select("key", "fp").mapInArrow(partial(tidily(_scan), five=five), "a long, b long, key long")
 
 
 def links(nodes: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint, groups
+from .common import as_bytes, checkpoint, groups, tidily
 from .merging import read_ranks
 
 LENGTH = 256
@@ -148,13 +148,13 @@ def write_shards(docs: DataFrame, uri: str, tokens, key: int, vocabulary: int, i
     spark = docs.sparkSession
     narrow = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    placed = narrow.mapInArrow(partial(_place, tokens=tokens, length=length, key=key, dtype=dtype), "position long, record binary")
+    placed = narrow.mapInArrow(partial(tidily(_place), tokens=tokens, length=length, key=key, dtype=dtype), "position long, record binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.shiftright(F.shiftright("position", 32) * F.lit(tasks).cast("long"), 31).cast("int")
     dealt = placed.repartitionById(tasks, part).sortWithinPartitions("position")
     store, root = pa.fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    written = checkpoint(dealt.mapInArrow(partial(_write, uri=uri, shard=shard, tasks=tasks), MANIFEST))
+    written = checkpoint(dealt.mapInArrow(partial(tidily(_write), uri=uri, shard=shard, tasks=tasks), MANIFEST))
     # one row for each range: what comes before it in records and shards
     sizes = sorted(tuple(r) for r in written.groupBy("part").agg(F.sum("records"), F.count("*")).collect())
     before, slot, shards = [], 0, 0
@@ -186,7 +186,7 @@ def read_shards(manifest: DataFrame, uri: str, vocabulary: int, length: int = LE
     """Sequences in slot order within each shard: (slot, doc_id, part, shard, ids), ids as little-endian unsigned 32-bit integers."""
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     n = manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return manifest.repartition(int(n)).mapInArrow(partial(_read, uri=uri, length=length, dtype=dtype), "slot long, doc_id long, part long, shard long, ids binary")
+    return manifest.repartition(int(n)).mapInArrow(partial(tidily(_read), uri=uri, length=length, dtype=dtype), "slot long, doc_id long, part long, shard long, ids binary")
 
 
 def shared_folder(spark) -> str:
