@@ -31,7 +31,7 @@ NODE = ["identity", "path", "coverage", "tags"]
 
 @query(twin("SELECT kind, source, target FROM edges WHERE kind IN ('depends', 'embeds') AND (source LIKE 'geo/%' OR source LIKE 'parts/%')", "edges"))
 def edges_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.filter_edges(tables.references(spark, sf_dir), ["depends", "embeds"])
+    found = graph.filter_edges(tables.references(spark, sf_dir, code=False), ["depends", "embeds"])
     return found.filter(F.startswith("source", F.lit("geo/")) | F.startswith("source", F.lit("parts/")))
 
 
@@ -168,7 +168,7 @@ SELECT a.source, a.target, min(l.hops) IS NOT NULL AS reachable, arg_min(l.path,
 GROUP BY a.source, a.target""", "edges", re=REQUIREMENT_EDGES + f" AND (source LIKE '{ASKED}' OR source LIKE 'parts/%')", l=LEVELS,
     asked=f"SELECT n.identity AS source, s.identity AS target FROM nodes n JOIN nodes s ON s.path = 'sup.mdx' WHERE n.identity LIKE '{ASKED}'"))
 def reachable_pairs(spark, sf_dir):
-    work = project(spark, sf_dir)
+    work = project(spark, sf_dir, code=False)
     sources = work.nodes.filter(F.col("identity").like(ASKED)).select(F.col("identity").alias("source"))
     pairs = sources.crossJoin(F.broadcast(work.nodes.filter("path = 'sup.mdx'").select(F.col("identity").alias("target"))))
     return graph.reachable(work.edges.filter("kind IN ('depends', 'embeds')"), pairs)
@@ -181,8 +181,8 @@ SELECT identity, min(d) AS distance FROM (
   UNION ALL SELECT target, 2 FROM edges WHERE kind = 'embeds' AND source IN (SELECT target FROM edges WHERE kind = 'depends' AND source LIKE 'geo/ASIA.mdx#%')
 ) GROUP BY identity""", "edges"))
 def bfs_distance(spark, sf_dir):
-    work = project(spark, sf_dir)
-    return graph.bfs(work.edges.filter("kind IN ('depends', 'embeds') AND source NOT LIKE 'orders/%'"), work.nodes.filter("path = 'geo/ASIA.mdx' AND depth = 2"))
+    work = project(spark, sf_dir, code=False)
+    return graph.bfs(work.edges.filter("kind IN ('depends', 'embeds')"), work.nodes.filter("path = 'geo/ASIA.mdx' AND depth = 2"))
 
 
 WITNESS = """
@@ -193,8 +193,8 @@ WITNESS = """
 SELECT identity, path FROM w
 UNION ALL SELECT e.target, min(list_append(w.path, e.target)) FROM edges e JOIN w ON e.source = w.identity WHERE e.kind = 'embeds' GROUP BY e.target""", "edges", w=WITNESS))
 def shortest_witness(spark, sf_dir):
-    work = project(spark, sf_dir)
-    return graph.witnesses(work.edges.filter("kind IN ('depends', 'embeds') AND source NOT LIKE 'orders/%'"), work.nodes.filter("path LIKE 'geo/%' AND NOT is_root").select("identity"))
+    work = project(spark, sf_dir, code=False)
+    return graph.witnesses(work.edges.filter("kind IN ('depends', 'embeds')"), work.nodes.filter("path LIKE 'geo/%' AND NOT is_root").select("identity"))
 
 
 def _profile_sql(where: str) -> str:
@@ -211,7 +211,7 @@ PARTS = cover.Profile(target=("parts/*.mdx",), boundary=("orders/*.ts",), mode="
 
 def _heavy(spark, sf_dir):
     """The workspace with only the references of large returned lines."""
-    work = project(spark, sf_dir)
+    work = project(spark, sf_dir, code=False)
     unit, part = tables.units(spark, sf_dir).filter(HEAVY), tables.part_identity(spark, sf_dir)
     edges = unit.join(part, unit["l_partkey"] == part["p_partkey"]).select(F.lit("references").alias("kind"), F.col("identity").alias("source"), F.col("part").alias("target"))
     return type(work)(work.nodes, work.locations, edges, work.occurrences)
@@ -251,7 +251,7 @@ SELECT n.identity, CASE WHEN is_root THEN 'ignored' WHEN b.path IS NULL THEN 'un
 FROM nodes n LEFT JOIN (SELECT e.target AS identity, min(list_append(w.path, e.target)) AS path FROM edges e JOIN w ON e.source = w.identity WHERE e.kind = 'embeds' GROUP BY e.target) b ON n.identity = b.identity
 WHERE n.path = 'sup.mdx'""", "edges", w=WITNESS))
 def coverage_transitive(spark, sf_dir):
-    return cover.coverage(project(spark, sf_dir), SUPPLIERS)
+    return cover.coverage(project(spark, sf_dir, code=False), SUPPLIERS)
 
 
 S, R = policy.Selector, policy.Rule
@@ -268,7 +268,7 @@ def policy_forbidden(spark, sf_dir):
 @query(twin("""
 SELECT 'africa-low-brands' AS rule, kind, source, target FROM edges WHERE kind = 'depends' AND source LIKE 'geo/AFRICA.mdx#%' AND NOT regexp_matches(target, '^parts/Brand_[^/]\\.mdx#')""", "edges"))
 def policy_allowed_only(spark, sf_dir):
-    return policy.violations(project(spark, sf_dir), [R("africa-low-brands", "allowedOnly", S(files=("geo/AFRICA.mdx",)), S(files=("parts/Brand_?.mdx",)), ("depends",))])
+    return policy.violations(project(spark, sf_dir, code=False), [R("africa-low-brands", "allowedOnly", S(files=("geo/AFRICA.mdx",)), S(files=("parts/Brand_?.mdx",)), ("depends",))])
 
 
 @query(twin("""
@@ -282,7 +282,7 @@ def policy_captures(spark, sf_dir):
 SELECT 'builders-no-promo' AS rule, e.kind, e.source, e.target FROM edges e JOIN nodes s ON e.source = s.identity JOIN nodes t ON e.target = t.identity
 WHERE e.kind = 'depends' AND list_contains(s.tags, 'BUILDING') AND list_contains(t.tags, 'PROMO')""", "edges"))
 def policy_tags(spark, sf_dir):
-    return policy.violations(project(spark, sf_dir), [R("builders-no-promo", "forbidden", S(tags=("BUILDING",)), S(tags=("PROMO",)))])
+    return policy.violations(project(spark, sf_dir, code=False), [R("builders-no-promo", "forbidden", S(tags=("BUILDING",)), S(tags=("PROMO",)))])
 
 
 def _frame(x: str) -> str:
@@ -328,8 +328,8 @@ def _effective(below: str) -> str:
 @query(twin("SELECT identity, h AS effective_hash FROM e4", "edges", own=OWN, deps="SELECT source, target FROM edges WHERE kind IN ('depends', 'embeds') AND source NOT LIKE 'orders/%'",
     e00="SELECT identity, parent, doc_ord, '' AS h FROM own", e0=_effective("e00"), e1=_effective("e0"), e2=_effective("e1"), e3=_effective("e2"), e4=_effective("e3")))
 def effective_hash(spark, sf_dir):
-    work = project(spark, sf_dir)
-    return hashes.effective_hash(work.nodes, work.edges.filter("source NOT LIKE 'orders/%'"))
+    work = project(spark, sf_dir, code=False)
+    return hashes.effective_hash(work.nodes, work.edges)
 
 
 META = f"""
@@ -339,14 +339,14 @@ META = f"""
 
 @query(twin(META, "edges"))
 def metadata_hash(spark, sf_dir):
-    work = project(spark, sf_dir)
+    work = project(spark, sf_dir, code=False)
     return hashes.metadata_hash(work.nodes, work.edges)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n_cycles")
 def cycles(spark, sf_dir):
     """The projected graph has layers, so there is none; tests hold graphs with cycles."""
-    edges = project(spark, sf_dir).edges.filter("kind <> 'references' AND source NOT LIKE 'orders/%'")
+    edges = project(spark, sf_dir, code=False).edges
     return graph.cycles(edges).agg(F.count("*").alias("n_cycles"))
 
 
@@ -376,7 +376,7 @@ def v_segment(spark, sf_dir):
 
 @query(twin("SELECT CASE kind WHEN 'depends' THEN 'unknown-dependency' WHEN 'embeds' THEN 'unknown-text-target' ELSE 'unknown-ts-reference' END AS code, source, target || '~' AS target FROM edges WHERE kind <> 'contains' AND target LIKE '%3' AND source NOT LIKE 'orders/%'", "edges"))
 def v_unknown_dependency(spark, sf_dir):
-    refs = tables.references(spark, sf_dir).filter("source NOT LIKE 'orders/%'")
+    refs = tables.references(spark, sf_dir, code=False)
     shifted = refs.withColumn("target", F.when(F.endswith("target", F.lit("3")), F.concat("target", F.lit("~"))).otherwise(F.col("target")))
     found = validation.unknown_targets(shifted, tables.nodes(spark, sf_dir))
     return found.select("code", F.col("locations")[0].alias("source"), F.col("locations")[1].alias("target"))
@@ -451,13 +451,13 @@ def split_tags(spark, sf_dir):
 
 @query(twin("SELECT \"from\", \"to\" FROM (SELECT identity AS \"from\", path || '#' || CASE WHEN id = 'n12' THEN 'moved' ELSE 'moved' || substring(id, 4) END AS \"to\" FROM nodes WHERE path = 'geo/ASIA.mdx' AND (id = 'n12' OR starts_with(id, 'n12.')))", "nodes"))
 def rename_mapping(spark, sf_dir):
-    work = project(spark, sf_dir)
+    work = project(spark, sf_dir, code=False)
     return text.rename(work.nodes, work.edges, "geo/ASIA.mdx", "n12", "moved")[0]
 
 
 @query(twin("SELECT kind, regexp_replace(source, '^geo/ASIA\\.mdx#n12(\\.|$)', 'geo/ASIA.mdx#moved\\1') AS source, regexp_replace(target, '^geo/ASIA\\.mdx#n12(\\.|$)', 'geo/ASIA.mdx#moved\\1') AS target FROM edges WHERE kind IN ('contains', 'depends')", "edges"))
 def rename_edges(spark, sf_dir):
-    work = project(spark, sf_dir)
+    work = project(spark, sf_dir, code=False)
     return text.rename(work.nodes, work.edges.filter("kind IN ('contains', 'depends')"), "geo/ASIA.mdx", "n12", "moved")[2]
 
 
@@ -480,8 +480,8 @@ def defined_identities(spark, sf_dir):
 
 @query(twin("SELECT DISTINCT 'parts/' || replace(p_brand, '#', '_') || '.mdx' AS path FROM part WHERE p_brand = 'Brand#7' UNION SELECT 'sup.mdx'"))
 def expansion_files(spark, sf_dir):
-    work = project(spark, sf_dir)
-    edges = work.edges.filter("source NOT LIKE 'orders/%' AND kind IN ('contains', 'embeds')")
+    work = project(spark, sf_dir, code=False)
+    edges = work.edges.filter("kind IN ('contains', 'embeds')")
     return availability.expansion_files(work.nodes, edges, ["parts/Brand_7.mdx"])
 
 
@@ -489,8 +489,8 @@ def expansion_files(spark, sf_dir):
 SELECT p AS identity FROM (SELECT source AS p FROM edges WHERE kind = 'embeds' AND target = 'sup.mdx#s3' AND source LIKE 'parts/%'
   UNION SELECT split_part(source, '#', 1) FROM edges WHERE kind = 'embeds' AND target = 'sup.mdx#s3' AND source LIKE 'parts/%' UNION SELECT 'sup.mdx#s3' UNION SELECT 'sup.mdx')""", "edges"))
 def text_unavailable(spark, sf_dir):
-    work = project(spark, sf_dir)
-    edges = work.edges.filter("source NOT LIKE 'orders/%' AND kind IN ('contains', 'embeds')")
+    work = project(spark, sf_dir, code=False)
+    edges = work.edges.filter("kind IN ('contains', 'embeds')")
     return availability.text_unavailable(work.nodes, edges, work.nodes.filter("identity = 'sup.mdx#s3'"))
 
 
@@ -515,13 +515,13 @@ def move_file_mapping(spark, sf_dir):
 
 @query(twin("SELECT CASE WHEN path = 'geo/ASIA.mdx' AND (id = 'n12' OR starts_with(id, 'n12.')) THEN 'sup.mdx#far' || substring(id, 4) ELSE identity END AS identity, CASE WHEN path = 'geo/ASIA.mdx' AND id = 'n12' THEN 'sup.mdx' WHEN path = 'geo/ASIA.mdx' AND starts_with(id, 'n12.') THEN 'sup.mdx#far' ELSE parent END AS parent FROM nodes", "nodes"))
 def move_section_nodes(spark, sf_dir):
-    work = project(spark, sf_dir)
+    work = project(spark, sf_dir, code=False)
     return mutations.rewrite(work, mutations.section_mapping(work.nodes, "geo/ASIA.mdx", "n12", "sup.mdx", "far")).nodes.select("identity", "parent")
 
 
 @query(twin("SELECT 'refused-id-collision' AS code, 'sup.mdx#s1' AS identity UNION ALL SELECT 'refused-id-collision', identity FROM nodes WHERE FALSE", "nodes"))
 def refusals(spark, sf_dir):
-    work = project(spark, sf_dir)
+    work = project(spark, sf_dir, code=False)
     mapping = mutations.section_mapping(work.nodes, "geo/ASIA.mdx", "n12", "sup.mdx", "s1")
     return mutations.refusals(work, mapping, "geo/ASIA.mdx", "n12", "sup.mdx", "s1")
 

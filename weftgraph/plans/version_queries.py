@@ -34,10 +34,11 @@ def _number(identity: str):
     return F.regexp_extract(identity, r"(\d+)$", 1).try_cast("long")
 
 
-def versions(spark: SparkSession, sf_dir: str) -> tuple[Workspace, Workspace]:
-    work = project(spark, sf_dir)
+def versions(spark: SparkSession, sf_dir: str, code: bool = False) -> tuple[Workspace, Workspace]:
+    work = project(spark, sf_dir, code)
     # both versions are made from one projection
     nodes, edges = checkpoint(work.nodes), checkpoint(work.edges.filter("kind <> 'contains'"))
+    places = checkpoint(work.locations) if code else None
     is_part = F.startswith("path", F.lit("parts/")) & ~F.col("is_root")
     rest = F.when(is_part, _number("identity") % 997)
     before = nodes.filter(rest.isNull() | (rest != 0))
@@ -51,13 +52,13 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[Workspace, Workspace]:
     side = lambda n, k, extra: n_edges(n).unionByName(edges.filter(~(gone("source", k) | gone("target", k) | extra)))
     n_edges = tables.contains
     return (
-        Workspace(before, work.locations, side(before, 0, F.lit(False)), work.occurrences),
-        Workspace(now, work.locations, side(now, 3, lost), work.occurrences),
+        Workspace(before, places, side(before, 0, F.lit(False)), work.occurrences),
+        Workspace(now, places, side(now, 3, lost), work.occurrences),
     )
 
 
-def analysis(spark: SparkSession, sf_dir: str) -> changes.Analysis:
-    return changes.analyse(*versions(spark, sf_dir))
+def analysis(spark: SparkSession, sf_dir: str, code: bool = False) -> changes.Analysis:
+    return changes.analyse(*versions(spark, sf_dir, code))
 
 
 K = "TRY_CAST(regexp_extract({}, '([0-9]+)$', 1) AS BIGINT)"
@@ -151,17 +152,17 @@ def group_by_category(spark, sf_dir):
 
 @query(vsql("SELECT kind, count(*) AS n FROM ie GROUP BY kind"))
 def impact_edges(spark, sf_dir):
-    return changes.impact_edges(*versions(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+    return changes.impact_edges(*versions(spark, sf_dir, code=True)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(vsql("SELECT DISTINCT source FROM ie WHERE target IN (SELECT identity FROM sub)"))
 def impacted_direct(spark, sf_dir):
-    return changes.impacted(analysis(spark, sf_dir)).filter("category = 'direct'").select("source")
+    return changes.impacted(analysis(spark, sf_dir, code=True)).filter("category = 'direct'").select("source")
 
 
 @query(vsql("SELECT DISTINCT source FROM ie WHERE target IN (SELECT identity FROM eff) AND target NOT IN (SELECT identity FROM sub)"))
 def impacted_transitive(spark, sf_dir):
-    return changes.impacted(analysis(spark, sf_dir)).filter("category = 'transitive'").select("source")
+    return changes.impacted(analysis(spark, sf_dir, code=True)).filter("category = 'transitive'").select("source")
 
 
 @query(vsql("""SELECT source, category, arg_min(kind, list_append(path, kind)) AS kind, arg_min(path, list_append(path, kind)) AS path FROM (
@@ -170,7 +171,7 @@ def impacted_transitive(spark, sf_dir):
   WHERE ie.target NOT IN (SELECT identity FROM sub)) GROUP BY source, category"""))
 def impact_witness(spark, sf_dir):
     """References go to parts and suppliers, which have no children: a direct witness is one node, a transitive one a part and its supplier."""
-    return changes.impact_witness(analysis(spark, sf_dir))
+    return changes.impact_witness(analysis(spark, sf_dir, code=True))
 
 
 @query(vsql("""SELECT identity AS head, 1 AS n FROM (
@@ -196,7 +197,7 @@ VISITED = {
 
 @query(vsql("SELECT kind, scope, context, origin FROM items", **VISITED))
 def path_blocks_items(spark, sf_dir):
-    return review.path_blocks(analysis(spark, sf_dir))
+    return review.path_blocks(analysis(spark, sf_dir, code=True))
 
 
 @query(vsql("SELECT 'parent-consistency' AS kind, scope, CASE WHEN branch IN (SELECT identity FROM seen) THEN 'subtree-coherence' ELSE 'parent-consistency' END AS by_kind, branch AS by_scope FROM branch", **VISITED))
@@ -213,7 +214,7 @@ RANKED = """
 
 @query(vsql("SELECT kind, scope, item_ord FROM ranked", **VISITED, ranked=RANKED))
 def item_order(spark, sf_dir):
-    found = analysis(spark, sf_dir)
+    found = analysis(spark, sf_dir, code=True)
     return review.ordered(review.path_blocks(found).select("kind", "scope"), found.now.nodes)
 
 

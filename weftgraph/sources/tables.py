@@ -101,8 +101,8 @@ def supplier_identity() -> Column:
     return F.concat(F.lit("sup.mdx#s"), F.col("l_suppkey").cast("string"))
 
 
-def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every dependency-kind reference, repeated ones included: (kind, source, target)."""
+def references(spark: SparkSession, sf_dir: str, code: bool = True) -> DataFrame:
+    """The dependency-kind edges (kind, source, target), those of code on demand."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     # ids are made for distinct key pairs only, after the keys are known to be few
@@ -110,12 +110,11 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, people = part_identity(spark, sf_dir), customer_identity(spark, sf_dir)
     depends = bought.join(people, bought["o_custkey"] == people["c_custkey"]).join(parts, F.col("l_partkey") == parts["p_partkey"])
     supplied = line.select("l_partkey", "l_suppkey").distinct().join(parts, F.col("l_partkey") == parts["p_partkey"])
-    lines = code_references(spark, sf_dir)
-    return (
+    own = (
         depends.select(F.lit("depends").alias("kind"), F.col("customer").alias("source"), F.col("part").alias("target"))
         .unionByName(supplied.select(F.lit("embeds").alias("kind"), F.col("part").alias("source"), supplier_identity().alias("target")))
-        .unionByName(lines)
     )
+    return own.unionByName(code_references(spark, sf_dir)) if code else own
 
 
 def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +136,9 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("path").alias("file"), start.alias("start"), (start + 9).alias("end"), F.lit("references").alias("kind"), F.col("identity").alias("source"), F.col("part").alias("target"))
 
 
-def project(spark: SparkSession, sf_dir: str) -> Workspace:
+def project(spark: SparkSession, sf_dir: str, code: bool = True) -> Workspace:
+    """The workspace; without code, only the documents' nodes and edges, which is all that searches and hashes among them need."""
     own = nodes(spark, sf_dir)
     files = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"))
     places = files.select(F.col("path").alias("identity"), "path", F.lit(None).cast("string").alias("unit")).unionByName(units(spark, sf_dir).select("identity", "path", "unit"))
-    return Workspace(own, places, contains(own).unionByName(references(spark, sf_dir)), occurrences(spark, sf_dir))
+    return Workspace(own, places, contains(own).unionByName(references(spark, sf_dir, code)), occurrences(spark, sf_dir))
