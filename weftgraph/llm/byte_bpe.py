@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 
 from . import exchange
 from .common import as_bytes, map_batches, tidily
-from .merging import ByteMerger
+from .merging import ByteMerger, read_ranks
 
 #: Distinct pre-tokens that a bucket's task remembers; beyond it some are encoded again.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 
 
 @cache
@@ -28,6 +28,15 @@ def _vocabulary(path: str) -> ByteMerger:
     return ByteMerger(path)
 
 
+@cache
+def _token_bytes(path: str) -> list[bytes]:
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 @cache
 def _pattern(pattern: str):
     import regex
@@ -96,7 +105,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "d
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{into}` binary"
 
     def run(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
-        tokens = _vocabulary(ranks_path).tokens
+        tokens = _token_bytes(ranks_path)
         out = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in as_bytes(batch.column(at))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, into])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import as_bytes, groups, tidily
 
 #: A chunk ends at about so many tokens or distinct words.
-CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 250_000
+CHUNK_TOKENS, CHUNK_WORDS = 3_000_000, 200_000
 
 SCHEMA = "chunk long, bucket int, a binary, b binary, c binary, d binary, e binary"
 

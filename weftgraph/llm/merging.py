@@ -131,11 +131,8 @@ class ByteMerger:
     def __init__(self, path: str):
         ranks = read_ranks(path)
         rows = [(ranks[t[:i]], ranks[t[i:]], r, r) for t, r in ranks.items() if len(t) > 1 for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            self.tokens[r] = t
         self.ranks = ranks
-        self.merger = Merger(*zip(*rows, strict=True), len(self.tokens))
+        self.merger = Merger(*zip(*rows, strict=True), max(ranks.values()) + 1)
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
