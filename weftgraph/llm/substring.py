@@ -17,7 +17,7 @@ twice within a chunk is settled there and never sent.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -87,10 +87,47 @@ class Automaton:
         return out
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+#: Bytes whose words are hashed at once.
+_SLICE = 1 << 21
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 1) for b in range(256)], np.uint64)
+
+
+@cache
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+
+
+def _word_hashes(joined: bytes, byte: np.ndarray) -> np.ndarray:
+    """Hash of each word of a joined text: a polynomial of its bytes modulo 2**64, from sums over the whole text, then mixed."""
+    out, n, lo = np.zeros(len(byte) - 1, np.uint64), len(byte) - 1, 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(byte, byte[lo] + _SLICE, side="right")) - 1)
+        start, end = byte[lo:hi] - byte[lo], byte[lo + 1 : hi + 1] - byte[lo] - 1
+        size = int(end[-1])
+        table = max(size, _SLICE)
+        terms = _BYTES[np.frombuffer(joined, np.uint8, size, int(byte[lo]))] * _powers(_ODD[0], table)[:size]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+        out[lo:hi] = (total[end] - total[start]) * _powers(pow(_ODD[0], -1, 2**64), table)[start]
+        lo = hi
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(_ODD[1])
+    return out ^ (out >> np.uint64(29))
+
+
+#: k-grams are compared by the upper bits of their hashes; the lower ones make room for a place.
+_PLACE_BITS = 22
+
+
+def _leftmost_least(value: np.ndarray, span: int) -> np.ndarray:
+    """Offset of the leftmost least value in each run of ``span``; values have ``_PLACE_BITS`` zero bits at the top."""
+    n = len(value)
+    if n >> _PLACE_BITS:
+        return np.lib.stride_tricks.sliding_window_view(value, span).argmin(axis=1)
+    best, reach = value << np.uint64(_PLACE_BITS) | np.arange(n, dtype=np.uint64), 1
+    while 2 * reach <= span:
+        best, reach = np.minimum(best[:-reach], best[reach:]), 2 * reach
+    if reach < span:
+        best = np.minimum(best[: n - span + 1], best[span - reach :])
+    return (best & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64) - np.arange(n - span + 1)
 
 
 class _Chunk:
@@ -102,20 +139,18 @@ class _Chunk:
     """
 
     def __init__(self, texts: list[bytes], order: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-        known, hashes, each, sizes, self.joined = _Hashes(), [], [], [], []
-        for a, b in groups(list(map(len, texts))):
-            words = [t.split() for t in texts[a:b]]
-            flat = [w for t in words for w in t]
-            each += map(len, words)
-            hashes.append(np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat)))
-            sizes.append(np.fromiter(map(len, flat), np.int64, len(flat)))
-            if flat:
-                self.joined.append(b" ".join(flat))
+        each, joined = [], []
+        for t in texts:
+            words = t.split()
+            each.append(len(words))
+            if words:
+                joined.append(b" ".join(words))
         self.length = length
-        self.joined = b" ".join(self.joined)
+        self.joined = b" ".join(joined)
         self.each = np.array(each, np.int64)
-        word = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        self.byte = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]) + 1)))
+        # where words begin; a last one that is none
+        self.byte = np.concatenate(([0], np.flatnonzero(np.frombuffer(self.joined, np.uint8) == 0x20) + 1, [len(self.joined) + 1]))[0 if self.joined else 1 :]
+        word = _word_hashes(self.joined, self.byte)
         self.doc = np.repeat(np.arange(len(texts)), self.each)
         self.began = np.cumsum(self.each) - self.each
         n, span = len(word), length - gram + 1
@@ -126,11 +161,10 @@ class _Chunk:
             return
         code = np.zeros(n - gram + 1, np.uint64)
         for i in range(gram):
-            x = word[i : i + len(code)] + np.uint64(_ODD[1] * (i + 1) % 2**64)
-            code += (x ^ (x >> np.uint64(29))) * np.uint64((_ODD[0] + 2 * i * _ODD[2]) % 2**64)
+            code += word[i : i + len(code)] * np.uint64((_ODD[0] + 2 * i * _ODD[2]) % 2**64)
         code = (code ^ (code >> np.uint64(32))) * np.uint64(_ODD[3])
         code ^= code >> np.uint64(29)
-        place = np.arange(n - length + 1) + np.lib.stride_tricks.sliding_window_view(code, span).argmin(axis=1)
+        place = np.arange(n - length + 1) + _leftmost_least(code >> np.uint64(_PLACE_BITS), span)
         whole = np.flatnonzero(self.doc[: n - length + 1] == self.doc[length - 1 :])
         place = place[whole]
         fresh = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
