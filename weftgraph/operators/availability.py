@@ -20,7 +20,7 @@ def text_unavailable(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame)
     core = graph.cyclic_core(steps)
     seeds = unresolved.select("identity").unionByName(core.select(F.col("source").alias("identity")))
     up = steps.select(F.col("source").alias("identity"), F.col("target").alias("below"))
-    return changes.spread(seeds.select("identity", F.lit("").alias("cause")).distinct(), up).select("identity")
+    return changes.spread(seeds.select("identity", F.lit("").alias("cause")).distinct(), checkpoint(up)).select("identity")
 
 
 def expansion_files(nodes: DataFrame, edges: DataFrame, paths: list[str]) -> DataFrame:

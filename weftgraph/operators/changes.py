@@ -16,8 +16,8 @@ from weftgraph.operators import graph, hashes
 from weftgraph.schema import Workspace, checkpoint
 
 
-def _side(work: Workspace, suffix: str) -> DataFrame:
-    deps = dependency_counts(work).groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("target", "n"))).alias("deps"))
+def _side(work: Workspace, counts: DataFrame, suffix: str) -> DataFrame:
+    deps = counts.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("target", "n"))).alias("deps"))
     every = work.nodes.select("identity", "parent").join(hashes.own_hash(work.nodes), "identity").join(hashes.metadata_hash(work.nodes, work.edges), "identity")
     every = every.join(deps, "identity", "left").withColumn("deps", F.sha2(F.to_json("deps"), 256))
     return every.select("identity", *[F.col(c).alias(f"{c}_{suffix}") for c in ("parent", "own_hash", "metadata_hash", "deps")])
@@ -29,9 +29,9 @@ def dependency_counts(work: Workspace) -> DataFrame:
     return deps.groupBy(F.col("source").alias("identity"), "target").agg(F.count("*").alias("n"))
 
 
-def matched(before: Workspace, now: Workspace) -> DataFrame:
+def matched(before: Workspace, now: Workspace, counts: tuple[DataFrame, DataFrame]) -> DataFrame:
     """One row for each node of either side: presence, changed, metadata_changed, deps_changed, and its parents."""
-    both = _side(before, "b").join(_side(now, "c"), "identity", "full_outer")
+    both = _side(before, counts[0], "b").join(_side(now, counts[1], "c"), "identity", "full_outer")
     presence = F.when(F.col("own_hash_b").isNull(), "added").when(F.col("own_hash_c").isNull(), "deleted").otherwise("both")
     kept = F.col("presence") == "both"
     return both.withColumn("presence", presence).select(
@@ -69,7 +69,8 @@ def once(fn: Callable[[Analysis], DataFrame]) -> Callable[[Analysis], DataFrame]
 
 
 def analyse(before: Workspace, now: Workspace) -> Analysis:
-    return Analysis(before, now, checkpoint(matched(before, now)))
+    counts = tuple(checkpoint(dependency_counts(w)) for w in (before, now))
+    return Analysis(before, now, checkpoint(matched(before, now, counts)), dict(zip(("counts before", "counts now"), counts, strict=True)))
 
 
 @once
@@ -92,8 +93,8 @@ def _links(analysis: Analysis) -> tuple[DataFrame, DataFrame]:
     if "links" in analysis.known:
         return analysis.known["kids"], analysis.known["links"]
     kids = analysis.records.filter("presence = 'both' AND parent_before = parent_now").select(F.col("parent_now").alias("identity"), F.col("identity").alias("below"))
-    deps = dependency_counts(analysis.before).select("identity", "target").join(dependency_counts(analysis.now).select("identity", "target"), ["identity", "target"])
-    deps = deps.join(both, "identity", "left_semi").join(both.withColumnRenamed("identity", "target"), "target", "left_semi")
+    # an edge of both versions has both ends in both
+    deps = analysis.known["counts before"].select("identity", "target").join(analysis.known["counts now"].select("identity", "target"), ["identity", "target"])
     analysis.known["kids"] = checkpoint(kids.join(both, "identity", "left_semi"))
     analysis.known["links"] = checkpoint(deps.select("identity", F.col("target").alias("below")))
     return analysis.known["kids"], analysis.known["links"]
@@ -110,8 +111,7 @@ def _seeds(analysis: Analysis) -> DataFrame:
 
 
 def spread(seeds: DataFrame, links: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(identity, cause) closed under links (identity, below): what is below passes its causes up."""
-    links = checkpoint(links.distinct())
+    """(identity, cause) closed under links (identity, below), a table: what is below passes its causes up."""
     known = fresh = checkpoint(seeds.select("identity", "cause").distinct())
     for _ in range(limit):
         step = fresh.withColumnRenamed("identity", "below").join(links, "below").select("identity", "cause").distinct()

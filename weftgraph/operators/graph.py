@@ -198,6 +198,7 @@ def evaluate(nodes: DataFrame, needs: DataFrame, combine: Callable[[DataFrame],
     ``found`` of (the columns of needs, value) and gives (identity, value). A
     round costs one join of the needs with what became known in the last one.
     """
+    needs = checkpoint(needs)
     wanted = needs.groupBy("identity").agg(F.count("*").alias("wanted"))
     waiting = checkpoint(nodes.join(wanted, "identity", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0))))
     extra = [c for c in needs.columns if c != "identity"]

@@ -90,7 +90,7 @@ def _causes(analysis: changes.Analysis) -> DataFrame:
 
 
 def _dependency_items(analysis: changes.Analysis) -> DataFrame:
-    now = changes.dependency_counts(analysis.now).select(F.col("identity").alias("scope"), "target")
+    now = analysis.known["counts now"].select(F.col("identity").alias("scope"), "target")
     effective = changes.effective_causes(analysis).select(F.col("identity").alias("target")).distinct()
     hit = now.join(effective, "target").join(analysis.both().withColumnRenamed("identity", "target"), "target", "left_semi")
     return _with_origin(analysis, hit, KINDS[2])
