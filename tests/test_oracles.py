@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tests.conftest import SF
@@ -23,7 +24,7 @@ def plain(x):
         x = x.tolist()
     if isinstance(x, (list, tuple)):
         return "[" + ",".join(map(plain, x)) + "]"
-    return "null" if x is None or x != x else str(x)
+    return "null" if pd.isna(x) else str(x)
 
 
 def rows(frame):
