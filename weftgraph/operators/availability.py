@@ -62,10 +62,10 @@ def inventory(sources: DataFrame, derived: DataFrame, recorded: DataFrame) -> Da
     return sources.select("path", F.col("kind").alias("role")).unionByName(derived.select("path", F.lit("derived").alias("role"))).unionByName(recorded.select("path", F.lit("recorded").alias("role"))).distinct()
 
 
-def derived_paths(documents: DataFrame, out: str | None = None) -> DataFrame:
-    """(path, source): what a build writes for each document."""
+def derived_paths(documents: DataFrame, out: str | None = None, marker: str = ".gen") -> DataFrame:
+    """(path, source): what a build writes for each document; ``marker`` is in the name of all but Markdown."""
     module = F.regexp_replace("path", r"\.mdx$", "")
-    made = [F.concat(module, F.lit(s)) for s in (".xspec.js", ".xspec.d.ts", ".xspec.d.ts.map")]
+    made = [F.concat(module, F.lit(marker + s)) for s in (".js", ".d.ts", ".d.ts.map")]
     if out is not None:
         made.append(F.concat(F.lit(out.rstrip("/") + "/"), module, F.lit(".md")))
     return documents.select(F.explode(F.array(*made)).alias("path"), F.col("path").alias("source"))

@@ -503,7 +503,7 @@ def derived_delta(spark, sf_dir):
     return mutations.derived_delta(path(F.col("doc_id")), path(F.col("doc_id") + 5))
 
 
-@query(twin("SELECT regexp_replace(path, '\\.mdx$', '') || s AS path, path AS source FROM (SELECT DISTINCT path FROM nodes) CROSS JOIN (VALUES ('.xspec.js'), ('.xspec.d.ts'), ('.xspec.d.ts.map')) t(s)", "nodes"))
+@query(twin("SELECT regexp_replace(path, '\\.mdx$', '') || s AS path, path AS source FROM (SELECT DISTINCT path FROM nodes) CROSS JOIN (VALUES ('.gen.js'), ('.gen.d.ts'), ('.gen.d.ts.map')) t(s)", "nodes"))
 def derived_paths(spark, sf_dir):
     return availability.derived_paths(tables.nodes(spark, sf_dir).select("path").distinct())
 

@@ -160,8 +160,8 @@ def parse_code(path: str, data: bytes) -> Iterator[dict]:
         yield _row(path, "ref", k, parent=unit, code="references" if m["marker"] else "embeds", ref=m["marker"] or m["call"], start=at(m.start()), end=at(m.end()))
 
 
-def scan(spark: SparkSession, root: str, spec_groups: dict[str, list[str]], code_groups: dict[str, list[str]]) -> DataFrame:
-    """(path, kind, groups, bytes) of every file below ``root`` that a group's globs match; a file in groups of both kinds is in twice."""
+def scan(spark: SparkSession, root: str, spec_groups: dict[str, list[str]], code_groups: dict[str, list[str]], marker: str = ".gen") -> DataFrame:
+    """(path, kind, groups, bytes) of every file below ``root`` that a group's globs match; a file in groups of both kinds is in twice, one named with the marker of derived files not at all."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = posixpath.normpath(re.sub(r"^\w+:/*", "/", root)) + "/"
     own = read.select(F.substring_index("path", prefix, -1).alias("path"), F.col("content").alias("bytes"))
@@ -169,7 +169,7 @@ def scan(spark: SparkSession, root: str, spec_groups: dict[str, list[str]], code
     for kind, groups in (("spec", spec_groups), ("code", code_groups)):
         named = F.array_compact(F.array(*[F.when(globs.matches_any(F.col("path"), g), F.lit(n)) for n, g in groups.items()])) if groups else F.array().cast("array<string>")
         parts.append(own.select("path", F.lit(kind).alias("kind"), F.array_sort(named).alias("groups"), "bytes").filter(F.size("groups") > 0))
-    return parts[0].unionByName(parts[1]).filter(~F.contains("path", F.lit(".xspec")))
+    return parts[0].unionByName(parts[1]).filter(~F.contains("path", F.lit(marker)))
 
 
 def parse(sources: DataFrame) -> DataFrame:
