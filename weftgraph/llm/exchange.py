@@ -78,15 +78,16 @@ def rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in found], t) for i, t in enumerate(types)], ["chunk", "bucket", *"abcde"])
 
 
-def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: int, weigh: str | None = None, observe: Callable | None = None) -> DataFrame:
+def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: int, weigh: str | None = None, observe: Callable | None = None, size: tuple[int, int] = (CHUNK_TOKENS, CHUNK_WORDS)) -> DataFrame:
     """Packed chunks of ``docs``, whose first column is an id and the second the text.
 
     ``cut`` gives the words (str or bytes) of each text. A row with bucket -1
     holds a chunk's documents: ids, numbers of words, local word numbers and
     the column named by ``weigh`` as 0 or 1. The others hold the words of a
     bucket, their local numbers, and their counts in documents of weight 1.
-    ``observe(words, lengths, local numbers, weights)`` gives a binary that the
-    documents' row carries on, and three for a row of bucket -2.
+    ``observe()`` gives each task a function of (words, lengths, local numbers,
+    weights, whether the chunk is the task's last), which gives a binary that
+    the documents' row carries on, and more for a row of bucket -2.
     """
     named = docs.columns
 
@@ -98,7 +99,9 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
             words.default_factory = words.__len__
             return words, [], [], [], []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        see = observe() if observe else None
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal made
             place, made = task + made, made + 1
             lids = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
@@ -108,7 +111,7 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
             sign = xxhash.xxh64(b"".join(flat), seed=place)
             sign.update(lids.tobytes())
             chunk = sign.intdigest() - 2**63
-            carried, *seen = observe(flat, each, lids, weight) if observe else (None,)
+            carried, *seen = see(flat, each, lids, weight, last) if see else (None,)
             yield rows([(chunk, -1, ids_ipc(pa.chunked_array(ids).combine_chunks()), squeeze(each), squeeze(lids), squeeze(weight), carried)])
             if seen:
                 yield rows([(chunk, -2, *seen)])
@@ -131,12 +134,12 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
                 for found in cut(data[a:b]):
                     arrays.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                     tokens += len(found)
-                if tokens >= CHUNK_TOKENS or len(words) >= CHUNK_WORDS:
-                    yield from flush()
+                if tokens >= size[0] or len(words) >= size[1]:
+                    yield from flush(False)
                     words, arrays, ids, weights, _ = clear()
                     tokens = 0
         if ids:
-            yield from flush()
+            yield from flush(True)
 
     assert not weigh or named[2] == weigh
     return docs.mapInArrow(tidily(run), SCHEMA)
