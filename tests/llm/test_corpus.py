@@ -315,6 +315,15 @@ def test_tree_distributions_sum_to_one(spark):
     assert all(s < 0 for s in got)
 
 
+def test_tree_forgets_nothing_in_a_larger_corpus(spark):
+    """A context repeated 3 times keeps its say when two million unrelated tokens are added."""
+    texts = ["k l m"] * 3
+    more = spark.range(1000, 1100).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: F.concat(F.lit("u"), F.crc32((x + F.col("id") * 20_000).cast("string").cast("binary")) % 50)), " ").alias("text"))
+    docs = documents(spark, texts).select("doc_id", "text").unionByName(more).withColumn("train", F.lit(True))
+    r = suffix_tree.score(docs, "train").filter("doc_id = 0").first()
+    assert r["score"] > r["base_score"] + 6  # "l m end" follows from "k"
+
+
 # op8
 
 
