@@ -315,6 +315,54 @@ def test_tree_distributions_sum_to_one(spark):
     assert all(s < 0 for s in got)
 
 
+def plain_tree_scores(texts, held, depth=4, least=2, divergence=10.0, prior=1.0):
+    """The suffix tree by plain dictionaries over the whole corpus."""
+    words = [(*t.encode().lower().split(), None) for t in texts]
+    train = [w for w, h in zip(words, held, strict=True) if not h]
+    runs = Counter(w[i - k : i + 1] for w in train for k in range(depth + 1) for i in range(k, len(w)))
+    n_train, of_words = sum(map(len, train)), {r[0]: n for r, n in runs.items() if len(r) == 1}
+    n1, n2 = (sum(n == k for w, n in of_words.items() if w is not None) for k in (1, 2))
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    entries = {r: n for r, n in runs.items() if n >= least}
+    listed = Counter()
+    for r, n in entries.items():
+        listed[r[:-1]] += n
+    p, gain = {r: (n - discount) / n_train for r, n in entries.items() if len(r) == 1}, Counter()
+    for r in sorted((r for r in entries if len(r) > 1), key=len):
+        total, shorter = runs[r[:-1]], p[r[1:]]
+        p[r] = (entries[r] + (prior + total - listed[r[:-1]]) * shorter) / (total + prior)
+        gain[r[:-1]] += entries[r] * math.log(p[r] / shorter)
+    kept = {r[k:] for r, g in gain.items() if g >= divergence for k in range(len(r))}
+    out = []
+    for w in words:
+        score = 0.0
+        for i, x in enumerate(w):
+            q = (of_words[x] - discount) / n_train if x in of_words else discount * len(of_words) / n_train
+            for d in range(1, min(i, depth) + 1):
+                c = w[i - d : i]
+                if c not in kept:
+                    break
+                q = (entries.get((*c, x), 0) + (prior + runs[c] - listed[c]) * q) / (runs[c] + prior)
+            score += math.log10(q)
+        out.append(score)
+    return out, kept
+
+
+@pytest.mark.parametrize("chunk", [(4_600_000, 400_000), (60, 1_000)])
+def test_tree_equals_brute_force(spark, monkeypatch, chunk):
+    """Also where a context's occurrences, and an entry's, lie in other chunks, and its continuations are rare words."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("abcd", [8, 4, 2, 1], k=rng.randint(0, 25))) for _ in range(60)]
+    texts += [f"p q r {'s' if i % 3 else f'rare{i}'} p q" for i in range(40)] + [f"x y z{i}" for i in range(30)]
+    rng.shuffle(texts)
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    held = [i % 5 == 3 for i in range(len(texts))]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, texts).withColumn("train", F.col("doc_id") % 5 != 3), "train", divergence=2.0).collect()}
+    want, kept = plain_tree_scores(texts, held, divergence=2.0)
+    assert max(map(len, kept)) >= 2
+    np.testing.assert_allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
+
+
 def test_tree_forgets_nothing_in_a_larger_corpus(spark):
     """A context repeated 3 times keeps its say when two million unrelated tokens are added."""
     texts = ["k l m"] * 3
