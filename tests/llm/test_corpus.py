@@ -220,6 +220,23 @@ def test_quality_keeps_the_trusted(spark, tiny):
     assert np.mean([got[i]["kept"] for i in clean]) > 0.98 and np.mean([got[i]["kept"] for i in bad]) < 0.2
 
 
+def test_quality_drops_the_toxic(spark):
+    """Documents without a label: a toxic word in 300 is enough, and clean ones stay."""
+    rng = random.Random(5)
+    common = [f"{a}{b}" for a in ("ba", "te", "mo", "li", "su") for b in ("n", "rd", "st", "ck", "l", "ve")]
+    toxic = [i % 4 == 0 for i in range(400)]
+    texts = []
+    for bad in toxic:
+        words = rng.choices(common, k=300)
+        if bad:
+            words[rng.randrange(300)] = rng.choice(["Stard,", "beck", "mova."])
+        texts.append(" ".join(words))
+    labels = spark.createDataFrame([(i, 1, int(toxic[i])) for i in range(200)], "doc_id long, quality long, toxic long")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(documents(spark, texts), labels).collect()}
+    held = range(200, 400)
+    assert np.mean([got[i] for i in held if toxic[i]]) < 0.05 and np.mean([got[i] for i in held if not toxic[i]]) > 0.95
+
+
 # op5
 
 
