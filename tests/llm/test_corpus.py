@@ -528,3 +528,11 @@ def test_pipeline_stages_against_brute_force(spark, tiny):
             assert all(np.frombuffer(rows[i]["ids"], "<u4").tolist() == enc.encode_ordinary(before[i]) for i in ids)
         docs = spark.createDataFrame(list(rows.values()), out.schema)
     assert cp.run(spark, SF).count() == docs.count() > 0
+
+
+def test_pipeline_decodes_what_it_kept(spark, tiny):
+    import corpus_pipeline as cp
+
+    texts = odd_texts()[1:] + tiny["text"].tolist()[:20]
+    got = {r["doc_id"]: r["decoded_sha256"] for r in cp.encoding_stage(spark, documents(spark, texts), SF).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
