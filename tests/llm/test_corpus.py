@@ -435,6 +435,13 @@ def test_longest_match(spark):
 # op9
 
 
+def test_longest_match_of_a_long_copy(spark):
+    item = " ".join(f"v{i}" for i in range(700))
+    texts = ["pre " + item + " post", "x " + " ".join(f"v{i}" for i in range(100, 500)) + " y v1"]
+    found = decontamination.find_leaks(documents(spark, texts), spark.createDataFrame([("q", item)], "item_id string, text string"))
+    assert {r["doc_id"]: r["longest_match"] for r in found.collect()} == {0: 700, 1: 400}
+
+
 def test_language(spark, tiny):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     docs = spark.createDataFrame(tiny).withColumn("score", F.lit("clash"))

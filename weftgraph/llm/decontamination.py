@@ -26,7 +26,7 @@ WINDOW = 10
 BLOCK_WORDS = 2_000_000
 #: Bytes of text in a shard.
 SHARD_BYTES = 4 << 20
-#: Words of a suffix that are compared at most, for the longest match.
+#: Words of a suffix that it is sorted by; matches go on beyond them.
 LONGEST = 256
 
 _WORD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -75,7 +75,7 @@ class _Block:
 
 
 def _shard(texts: list[list[bytes]], block: _Block, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item, document, place in it, words of the window, longest match from there) of each match."""
+    """(item, document, place in it, words of the window, words of the match) of each match; the last are counted on to the first difference where the match begins."""
     get = block.number.get
     each = np.fromiter(map(len, texts), np.int64, len(texts))
     words = np.zeros(int(each.sum()) + len(texts), ">u4")  # a stop, 0, ends each document
@@ -97,11 +97,11 @@ def _shard(texts: list[list[bytes]], block: _Block, window: int) -> Iterator[tup
             part = whole[4 * s : 4 * (s + size)]
             low = bisect_left(keys, part)
             high = bisect_right(keys, part + b"\xff" * 4, low)
-            rest = whole[4 * s : 4 * (s + LONGEST)]
-            for key, p, d in suffixes[low:high]:
+            for _, p, d in suffixes[low:high]:
                 same = size
-                while 4 * same < len(rest) and key[4 * same : 4 * same + 4] == rest[4 * same : 4 * same + 4]:
-                    same += 1
+                if not (s and p and data[4 * p - 4 : 4 * p] == whole[4 * s - 4 : 4 * s]):  # else the match from a word earlier is longer
+                    while s + same < len(item) and data[4 * (p + same) : 4 * (p + same) + 4] == whole[4 * (s + same) : 4 * (s + same) + 4]:
+                        same += 1
                 yield k, d, p - int(ends[d] - each[d] - 1), size, same
 
 
