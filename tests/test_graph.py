@@ -233,3 +233,26 @@ def test_rename(spark):
     assert {tuple(r) for r in moved.collect()} == {(f"{SPEC}#print", f"{SPEC}#show"), (f"{SPEC}#print.hello", f"{SPEC}#show.hello")}
     assert nodes.filter(F.col("parent") == f"{SPEC}#show").count() == 1
     assert edges.filter(F.col("target") == f"{SPEC}#show.hello").count() == 2
+
+
+def test_reachable_pairs_of_every_customer(spark):
+    """Against a search from each customer in plain Python."""
+    from tests.conftest import SF
+    from weftgraph.plans.graph_queries import reachable_pairs
+    from weftgraph.sources.tables import project
+
+    work = project(spark, SF, code=False)
+    near = {}
+    for r in work.edges.filter("kind IN ('depends', 'embeds')").select("source", "target").collect():
+        near.setdefault(r["source"], set()).add(r["target"])
+    suppliers = {r["identity"] for r in work.nodes.filter("path = 'sup.mdx'").collect()}
+    customers = {r["identity"] for r in work.nodes.filter("path LIKE 'geo/%' AND depth = 2").collect()}
+    assert len(customers) == spark.read.parquet(f"{SF}/customer.parquet").count()
+    got = {(r["source"], r["target"]): r["reachable"] for r in reachable_pairs(spark, SF).collect()}
+    assert got.keys() == {(c, s) for c in customers for s in suppliers}
+    for c in customers:
+        seen, level = {c}, {c}
+        while level:
+            level = {y for x in level for y in near.get(x, ())} - seen
+            seen |= level
+        assert {s for s in suppliers if got[c, s]} == (seen & suppliers)

@@ -160,7 +160,7 @@ REQUIREMENT_EDGES = "SELECT source, target FROM edges WHERE kind IN ('depends',
 LEVELS = """
   SELECT source, p1[len(p1)] AS target, len(p1) - 1 AS hops, p1 AS path FROM (SELECT source, min([source, target]) AS p1 FROM re GROUP BY source, target)
   UNION ALL SELECT a.source, b.target, 2, min([a.source, a.target, b.target]) FROM re a JOIN re b ON a.target = b.source GROUP BY a.source, b.target"""
-ASKED = "geo/%.c1"
+ASKED = "geo/%.c%"
 
 
 @query(twin(f"""
