@@ -2,19 +2,31 @@
 
 All sequences of a batch lie end to end in one array of symbols. In each round
 every sequence finds its lowest-ranked neighbouring pair and merges all its
-occurrences at once; sequences without a known pair leave the batch. That
-equals the one-at-a-time, leftmost-first procedure unless a merge makes a pair
-whose rank is not above its own: sequences in which such a symbol was made
-twice in a round are redone with one merge in a round.
+occurrences at once; sequences without a known pair leave the batch. Only pairs
+beside a merge are looked up again. That equals the one-at-a-time,
+leftmost-first procedure unless a merge makes a pair whose rank is not above
+its own: sequences in which such a symbol was made twice in a round are redone
+one merge at a time.
+
+A long sequence would need a round for each of its ranks, so it is merged as
+overlapping blocks, which are sequences of the batch like any other. Two
+neighbouring blocks are joined after a token that both have at the same place.
+What lies between two such places is merged alike alone, in its blocks and in
+the whole: the first merge across a place would also be the next one in a block
+that goes on beyond it. Where two blocks share no token, longer ones are tried,
+and in the end the plain procedure.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
+#: Symbols beyond which a sequence is merged by blocks; symbols of a block, and between the beginnings of two, in turn.
+LONG, BLOCKS = 256, ((128, 80), (1024, 512))
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -72,32 +84,85 @@ class Merger:
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols left of each sequence, end to end, and their number."""
-        done, redo = self._rounds(symbols, lengths, False)
-        if len(redo):
-            starts = np.concatenate(([0], np.cumsum(lengths)))
-            own = np.concatenate([symbols[starts[i] : starts[i + 1]] for i in redo])
-            again, _ = self._rounds(own, lengths[redo], True)
-            done = [(redo[seq], sym) for seq, sym in again] + [(seq[keep], sym[keep]) for seq, sym in done for keep in (~np.isin(seq, redo),)]
-        seq = np.concatenate([s for s, _ in done]) if done else np.zeros(0, np.int64)
-        sym = np.concatenate([s for _, s in done]) if done else np.zeros(0, np.int32)
+        starts = np.cumsum(lengths) - lengths
+        long = lengths > LONG
+        short, open_ = np.flatnonzero(~long), np.flatnonzero(long)
+        seq, sym, _ = self._exact(symbols[np.repeat(~long, lengths)], lengths[short])
+        parts = [(short[seq], sym)]
+        for block, step in BLOCKS:
+            if len(open_):
+                seq, sym, open_ = self._blocks(symbols, starts, lengths, open_, block, step)
+                parts.append((seq, sym))
+        for i in open_.tolist():
+            own = self.one_by_one(symbols[starts[i] : starts[i] + lengths[i]])
+            parts.append((np.full(len(own), i), own))
+        seq, sym = (np.concatenate(x) for x in zip(*parts, strict=True))
         return sym[np.argsort(seq, kind="stable")], np.bincount(seq, minlength=len(lengths))
 
-    def _rounds(self, sym: np.ndarray, lengths: np.ndarray, single: bool):
+    def _exact(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, symbol, place of its first) of what is left of all sequences."""
+        seq, sym, place, redo = self._rounds(symbols, lengths, False)
+        if not len(redo):
+            return seq, sym, place
+        starts = np.cumsum(lengths) - lengths
+        own, size = np.arange(int(lengths[redo].sum())), lengths[redo]
+        own += np.repeat(starts[redo] - (np.cumsum(size) - size), size)
+        seq2, sym2, place2, _ = self._rounds(symbols[own], size, True)
+        keep = np.ones(len(lengths), bool)
+        keep[redo] = False
+        keep = keep[seq]
+        return np.concatenate((seq[keep], redo[seq2])), np.concatenate((sym[keep], sym2)), np.concatenate((place[keep], own[place2]))
+
+    def _blocks(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, long: np.ndarray, most: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, symbol) of the long sequences by joined blocks, and the sequences that cannot be joined."""
+        count = np.maximum(1, -(-(lengths[long] - (most - step)) // step))
+        owner = np.repeat(long, count)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        begin = starts[owner] + nth * step
+        size = np.minimum(most, starts[owner] + lengths[owner] - begin)
+        offset = np.cumsum(size) - size
+        place = np.repeat(begin - offset, size) + np.arange(int(size.sum()))
+        block, sym, start = self._exact(symbols[place], size)
+        order = np.lexsort((start, block))
+        block, sym, start = block[order], sym[order], place[start[order]]
+        end = np.append(start[1:], 0)
+        last = np.append(block[1:] != block[:-1], True)
+        end[last] = (begin + size)[block[last]]
+        # a token that block b and the next one both have: the first such gives the end of b and the beginning of b + 1
+        key = start * (most + 1) + (end - start)
+        by = np.lexsort((block, key))
+        twin = np.flatnonzero((key[by[1:]] == key[by[:-1]]) & (block[by[1:]] == block[by[:-1]] + 1) & (owner[block[by[1:]]] == owner[block[by[:-1]]]))
+        left, cut = block[by[twin]], end[by[twin]]
+        until = np.full(len(owner), -1, np.int64)
+        until[left[::-1]] = cut[::-1]
+        final = np.append(owner[1:] != owner[:-1], True)
+        until[final] = (begin + size)[final]
+        since = np.append(0, until[:-1])
+        since[nth == 0] = begin[nth == 0]
+        failed = np.unique(owner[(until < 0) | (since >= until)])
+        keep = (start >= since[block]) & (end <= until[block])
+        keep &= ~np.isin(owner[block], failed)
+        return owner[block[keep]], sym[keep], failed
+
+    def _rounds(self, sym: np.ndarray, lengths: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, symbol, place of its first) of what is left, and the sequences to redo with a single merge in each round."""
         seq = np.repeat(np.arange(len(lengths)), lengths)
-        sym, done, redo = sym.astype(np.int32), [], np.zeros(len(lengths), bool)
-        while len(sym):
-            n = len(sym)
-            row = np.full(n, len(self.pairs.keys) - 1, np.int64)
+        n, none = len(sym), len(self.pairs.keys) - 1
+        sym, place, done = sym.astype(np.int32), np.arange(n), []
+        redo = np.zeros(len(lengths), bool)
+        row = np.full(n, none, np.int32)
+        if n:
             inner = np.flatnonzero(seq[:-1] == seq[1:])
             row[inner] = self.pairs.find(sym[inner], sym[inner + 1])
-            rank = self.pairs.rank[row]
+        rank = self.pairs.rank[row]
+        while len(sym):
             first = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
-            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, n)))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(sym))))
             over = least == NONE
             if over.any():
-                done.append((seq[over], sym[over]))
+                done.append((seq[over], sym[over], place[over]))
                 live = ~over
-                sym, seq, row, rank, least = sym[live], seq[live], row[live], rank[live], least[live]
+                sym, seq, place, row, rank, least = sym[live], seq[live], place[live], row[live], rank[live], least[live]
                 if not len(sym):
                     break
             at = np.flatnonzero(rank == least)
@@ -115,8 +180,44 @@ class Merger:
                 redo[seq[at[twice & self.unsafe[made]]]] = True
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            sym, seq = sym[keep], seq[keep]
-        return done, np.flatnonzero(redo)
+            at -= np.arange(len(at))
+            sym, seq, place, row, rank = sym[keep], seq[keep], place[keep], row[keep], rank[keep]
+            new = np.concatenate((at, at[at > 0] - 1))
+            row[new], right = none, np.minimum(new + 1, len(sym) - 1)
+            pair = (seq[new] == seq[right]) & (right > new)
+            new, right = new[pair], right[pair]
+            row[new] = self.pairs.find(sym[new], sym[right])
+            for x in (at, np.maximum(at - 1, 0)):
+                rank[x] = self.pairs.rank[row[x]]
+        blank = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        return *(np.concatenate(x) for x in zip(*blank, *done, strict=True)), np.flatnonzero(redo)
+
+    def one_by_one(self, symbols: np.ndarray) -> np.ndarray:
+        """The plain procedure for one sequence: the lowest rank, of equal ones the leftmost, by a heap of pairs."""
+        sym, n = symbols.tolist(), len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        row = self.pairs.find(symbols[:-1], symbols[1:])
+        heap = [(int(self.pairs.rank[r]), i, int(r)) for i, r in enumerate(row.tolist()) if self.pairs.rank[r] != NONE]
+        of = {i: r for _, i, r in heap}
+        heapq.heapify(heap)
+        while heap:
+            _, i, r = heapq.heappop(heap)
+            if of.get(i) != r:
+                continue
+            j = after[i]
+            sym[i], sym[j], after[i] = int(self.pairs.merged[r]), -1, after[j]
+            of.pop(i)
+            of.pop(j, None)
+            if after[j] < n:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n:
+                    r = int(self.pairs.find(np.array([sym[a]]), np.array([sym[b]]))[0])
+                    of.pop(a, None)
+                    if (k := int(self.pairs.rank[r])) != NONE:
+                        of[a] = r
+                        heapq.heappush(heap, (k, a, r))
+        return np.array([x for x in sym if x >= 0], np.int32)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
