@@ -543,3 +543,117 @@ def test_pipeline_decodes_what_it_kept(spark, tiny):
     texts = odd_texts()[1:] + tiny["text"].tolist()[:20]
     got = {r["doc_id"]: r["decoded_sha256"] for r in cp.encoding_stage(spark, documents(spark, texts), SF).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+# long words, rows of one id, clashing names
+
+
+def test_long_words_are_merged_exactly_and_fast(spark):
+    """Unbroken text: letters at random, one letter, a period of two, no spaces between words."""
+    import string
+    import time
+
+    import sentencepiece
+
+    rng, enc, sp = random.Random(8), tiktoken_of(RANKS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    kinds = [string.ascii_lowercase, string.ascii_letters + string.digits + "+/", "a", "的一是不了人我在有他这中大来上国", "aes"]
+    texts = ["".join(rng.choices(k, k=n)) for k in kinds for n in (255, 257, 1_500, 9_000)] + ["ab" * 5_000, "abc" * 700]
+    began = time.time()
+    texts.append("".join(rng.choices(string.ascii_lowercase, k=1_000_000)))
+    docs = documents(spark, texts)
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, PIECES).collect()}
+    ids = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(docs, RANKS, P.PATTERN).collect()}
+    assert time.time() - began < 60
+    for i, t in enumerate(texts):
+        assert counts[i] == len(sp.encode(t)) and np.frombuffer(ids[i], "<u4").tolist() == enc.encode_ordinary(t), i
+
+
+def test_the_plain_procedure_for_one_sequence(monkeypatch):
+    """Blocks that share no token end in it; it equals the library."""
+    maker, enc, rng = merging.ByteMerger(RANKS), tiktoken_of(RANKS), random.Random(3)
+    monkeypatch.setattr(merging, "BLOCKS", ())
+    for text in ("".join(rng.choices("abcdeghlnorst", k=700)), "a" * 300):
+        ids, n = maker.encode([text.encode()])
+        assert ids.tolist() == enc.encode_ordinary(text) and n.tolist() == [len(ids)]
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "r"), (None, a, "s"), (None, b, "t"), (None, b.upper(), "u"), (2, c, "v"), (2, c + " ", "v"), (2, "other words here", "w"), (3, c, "x"), (4, None, "y"), (5, "", "z")]
+    got = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a, "r"), (None, b.upper(), "u"), (2, c, "v"), (2, "other words here", "w"), (4, None, "y")]))
+
+
+def odd_documents(spark):
+    """Nulls in every column, repeated rows, an empty and a long text, and columns that clash with what the operators add."""
+    rng = random.Random(12)
+    long = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(60_000))
+    plain = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, plain, "k1"), (1, plain, "k1"), (2, long, None), (None, None, None), (None, "x y z " * 10, "n"), (3, "", "e"), (4, " \n", "s")]
+    rows = [(i, t, k, -1, "items", "fp", 0.5) for i, t, k in rows]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words long, items string, `odd``name` string, score double")
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows, docs = odd_documents(spark)
+    spark.createDataFrame([(1, 1, 0), (1, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("q", "word3 word4 word5"), ("q", "never ever"), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda r: str(tuple(r))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = sorted(map(key, out.collect()))
+        if name.startswith("quality"):
+            assert got == sorted(map(key, rows[:2]))  # the long one is nothing like the one trusted text
+        if name.startswith("simhash"):
+            assert got == sorted(map(key, [rows[0], rows[2], rows[4], rows[5]]))
+        if name.startswith("substring"):
+            assert got == sorted(map(key, [(r[0], "x y z", *r[2:]) if r[2] == "n" else r for r in rows]))
+        if name.startswith("benchmark"):
+            assert got == sorted(map(key, rows[2:]))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    encoded = cp.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(r["decoded_sha256"] for r in encoded) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
+
+
+def test_operators_carry_odd_rows(spark):
+    """Rows are neither merged nor lost, null ids stay, other columns stay under their names."""
+    rows, docs = odd_documents(spark)
+    ids = sorted(str(r[0]) for r in rows)
+    bench = spark.createDataFrame([("q", "word3 word4 word5"), ("q", "word3 word4 word5")], "item_id string, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    for out in (
+        token_counts.token_counts(docs, PIECES),
+        byte_bpe.encode(docs, RANKS, P.PATTERN),
+        simhash.near_duplicates(docs),
+        quality.quality_rules(docs, labels),
+        substring.remove_repeats(docs),
+        suffix_tree.score(docs.withColumn("train", F.lit(True)), "train"),
+        decontamination.find_leaks(docs, bench),
+        language.identify(docs, docs.withColumn("lang", F.lit("xx"))),
+    ):
+        found = out.collect()
+        assert sorted(str(r["doc_id"]) for r in found) == ids
+        if "odd`name" in out.columns:
+            assert {r["odd`name"] for r in found} == {"fp"}
+    leaks = [r for r in decontamination.find_leaks(docs, bench).collect() if r["doc_id"] == 1]
+    assert len(leaks) == 2 and all(set(r["items"]) == {"q"} and [tuple(s) for s in r["hit_spans"]] == [(3, 6)] for r in leaks)
+
+
+def test_toxic_documents_are_found_by_several_mild_words(spark):
+    """No single word tells, and the documents' lengths differ; held out documents only."""
+    rng = random.Random(15)
+    common = [f"{a}{b}" for a in ("ba", "te", "mo", "li", "su", "ra", "ke") for b in ("n", "rd", "st", "ck", "l", "ve")]
+    mild = [f"{a}{b}" for a in ("zu", "zo", "zi") for b in ("n", "rd", "st", "ck", "l", "ve", "m", "p")]
+    toxic, texts = [i % 4 == 0 for i in range(800)], []
+    for bad in toxic:
+        words = rng.choices(common, k=rng.randint(60, 400))
+        for _ in range(12 if bad else rng.random() < 0.05):
+            words[rng.randrange(len(words))] = rng.choice(mild)
+        texts.append(" ".join(words))
+    labels = spark.createDataFrame([(i, 1, int(toxic[i])) for i in range(400)], "doc_id long, quality long, toxic long")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(documents(spark, texts), labels).collect()}
+    held = range(400, 800)
+    assert np.mean([got[i] for i in held if toxic[i]]) < 0.05 and np.mean([got[i] for i in held if not toxic[i]]) > 0.95

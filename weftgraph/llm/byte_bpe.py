@@ -2,8 +2,8 @@
 
 Encoding: pre-tokens with their positions, the distinct ones shuffled, each
 encoded once where its hash bucket lies, ids joined back to the chunks and laid
-out by position. Decoding: a join with the table of token bytes, which has one
-row for each token of the vocabulary and so goes to every worker.
+out by position. Decoding: a broadcast join of ids, in their places, with the
+table of token bytes, which has one row for each token of the vocabulary.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from . import exchange
-from .common import as_bytes, map_batches, tidily
+from .common import as_bytes, extended, groups, map_batches, quoted, tidily
 from .merging import ByteMerger, read_ranks
 
 #: Distinct pre-tokens that a bucket's task remembers; beyond it some are encoded again.
@@ -28,13 +29,13 @@ def _vocabulary(path: str) -> ByteMerger:
     return ByteMerger(path)
 
 
-@cache
-def _token_bytes(path: str) -> list[bytes]:
+def token_table(path: str) -> pa.Array:
+    """The bytes of each token, by id; null where the vocabulary has none."""
     ranks = read_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
+    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return table
+    return pa.array(table, pa.binary())
 
 
 @cache
@@ -102,11 +103,20 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "d
     An id outside the vocabulary fails the job: no bytes stand for it.
     """
     kept = encoded.drop(into)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{into}` binary"
+    schema = extended(kept.schema, f"{quoted(into)} binary")
+
+    table = encoded.sparkSession.sparkContext.broadcast(token_table(ranks_path))
 
     def run(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
-        tokens = _token_bytes(ranks_path)
-        out = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in as_bytes(batch.column(at))]
+        out = []
+        rows = as_bytes(batch.column(at))
+        for a, b in groups(list(map(len, rows))):
+            n = np.array([0, *map(len, rows[a:b])], np.int64) // 4
+            joined = table.value.take(pa.array(np.frombuffer(b"".join(rows[a:b]), "<u4")))
+            if joined.null_count:
+                raise ValueError("an id that is not in the vocabulary")
+            per_row = pa.LargeListArray.from_arrays(pa.array(np.cumsum(n)), joined)
+            out += pa.compute.binary_join(per_row.cast(pa.list_(pa.binary())), pa.scalar(b"", pa.binary())).to_pylist()
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, into])
 
     return map_batches(kept, partial(run, at=kept.columns.index(ids)), schema)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LIBC = ctypes.CDLL(None)
 
@@ -32,10 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def set_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``; only where none is set, as in tests on one machine, a temporary one."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``; only where none is set and all runs on one machine, a temporary one."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weft-ckpt-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-ckpt-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -45,6 +53,56 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder that live as long as a computation needs them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.number = spark, os.path.join(set_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}"), 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df``, written and read again; its shuffle files go when they are written."""
+        self.number += 1
+        path = f"{self.root}/{self.number}.parquet"
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "none").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [t.scratch_path for t in tables] or [self.root]:
+            jvm = self.spark._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs in here are removed as soon as it has ended; what it wrote is in the shared folder by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A schema with more fields, whatever the names of its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def shielded(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns of the taken names, if it has any, renamed; and its columns, in order and under their names, to select in the end."""
+    marks = {c: f"{c} of docs {uuid.uuid4().hex}" for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(marks), [F.col(quoted(marks.get(c, c))).alias(c) for c in docs.columns]
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Values of a string or binary column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -90,7 +148,7 @@ def tidily(fn: Callable) -> Callable:
     return run
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +159,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
             else:
                 yield from out
 
-    return df.mapInArrow(tidily(run), schema)
+    return arrow_map(df, run, schema)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` of tables with any column names: it takes dots and backticks for more than a name."""
+    names = df.columns
+    if not any("`" in c or "." in c for c in names):
+        return df.mapInArrow(tidily(fn), schema)
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])
+    return plain.mapInArrow(tidily(lambda batches: fn(b.rename_columns(names) for b in batches)), schema)
 
 
 def crc_mod(col, mod: int):

@@ -3,8 +3,8 @@
 Each group of documents is a shard: its words, those of the benchmark as
 numbers, lie end to end with a stop after each document. The shard's suffix
 array is sparse: only suffixes whose first words begin some benchmark window
-are in it, and no other suffix can match one. Every benchmark suffix is
-binary-searched, and the run of equal prefixes gives the locations; neighbours
+are in it, and no other suffix can match one. Every benchmark suffix whose
+first words occur in the shard is binary-searched, and the run of equal prefixes gives the locations; neighbours
 in the array give the longest verbatim match. The documents are never shuffled.
 """
 
@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, groups, tidily
+from .common import arrow_map, as_bytes, extended, groups, shielded
 
 WINDOW = 10
 #: Words of the benchmark that go to the workers at once; a larger one is taken in blocks.
@@ -46,14 +47,14 @@ class _Block:
             for w in words:
                 self.number.setdefault(w, len(self.number) + 1)
         self.items = [(i, np.array([self.number[w] for w in words], ">u4")) for i, words in items]
-        starts = []
         self.shortest = min((min(len(x), window) for _, x in self.items), default=0)
         self.head = min(self.shortest, 3)
-        for _, x in self.items:
-            size = min(len(x), window)
-            for s in range(len(x) - size + 1):
-                starts.append(x[s : s + self.head])
-        self.heads = np.unique(self._code(np.array(starts, np.uint64).reshape(-1, self.head).T)) if starts else np.zeros(0, np.uint64)
+        places = [(k, s) for k, (_, x) in enumerate(self.items) for s in range(len(x) - min(len(x), window) + 1)]
+        starts = [self.items[k][1][s : s + self.head] for k, s in places]
+        self.heads, of = np.unique(self._code(np.array(starts, np.uint64).reshape(-1, self.head).T), return_inverse=True) if starts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(of, kind="stable")
+        self.windows = [places[i] for i in order.tolist()]  # (item, first word), by head
+        self.begin = np.searchsorted(of[order], np.arange(len(self.heads) + 1))
 
     def _code(self, words: np.ndarray) -> np.ndarray:
         code = np.zeros(words.shape[1], np.uint64)
@@ -61,17 +62,18 @@ class _Block:
             code = code * np.uint64(1 << 21) + w.astype(np.uint64)
         return code
 
-    def candidates(self, words: np.ndarray) -> np.ndarray:
-        """Places whose first words begin a window of this block."""
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Places whose first words begin a window of this block, and the windows (item, first word) that they may begin."""
         n = len(words) - self.head + 1
         if n <= 0 or not len(self.heads):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), []
         at = np.flatnonzero(words[:n] > 0)
         for i in range(1, self.head):
             at = at[words[at + i] > 0]
         code = self._code(np.array([words[at + i] for i in range(self.head)]))
         k = np.minimum(np.searchsorted(self.heads, code), len(self.heads) - 1)
-        return at[self.heads[k] == code]
+        known = self.heads[k] == code
+        return at[known], [w for h in np.unique(k[known]).tolist() for w in self.windows[self.begin[h] : self.begin[h + 1]]]
 
 
 def _shard(texts: list[list[bytes]], block: _Block, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -83,26 +85,25 @@ def _shard(texts: list[list[bytes]], block: _Block, window: int) -> Iterator[tup
     place = np.ones(len(words), bool)
     place[ends - 1] = False
     words[place] = np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(each.sum()))
-    at = block.candidates(words.astype(np.int64))
+    at, windows = block.candidates(words.astype(np.int64))
     if not len(at):
         return
     data = words.tobytes()
     doc = np.searchsorted(ends, at, side="right")
     suffixes = sorted((data[4 * p : 4 * min(p + LONGEST, int(ends[d]))], int(p), int(d)) for p, d in zip(at, doc, strict=True))
     keys = [s[0] for s in suffixes]
-    for k, (_, item) in enumerate(block.items):
-        size = min(len(item), window)
-        whole = item.tobytes()
-        for s in range(len(item) - size + 1):
-            part = whole[4 * s : 4 * (s + size)]
-            low = bisect_left(keys, part)
-            high = bisect_right(keys, part + b"\xff" * 4, low)
-            for _, p, d in suffixes[low:high]:
-                same = size
-                if not (s and p and data[4 * p - 4 : 4 * p] == whole[4 * s - 4 : 4 * s]):  # else the match from a word earlier is longer
-                    while s + same < len(item) and data[4 * (p + same) : 4 * (p + same) + 4] == whole[4 * (s + same) : 4 * (s + same) + 4]:
-                        same += 1
-                yield k, d, p - int(ends[d] - each[d] - 1), size, same
+    for k, s in windows:
+        item = block.items[k][1]
+        size, whole = min(len(item), window), item.data
+        part = bytes(whole[s : s + size])
+        low = bisect_left(keys, part)
+        high = bisect_right(keys, part + b"\xff" * 4, low)
+        for _, p, d in suffixes[low:high]:
+            same = size
+            if not (s and p and words[p - 1] == item[s - 1]):  # else the match from a word earlier is longer
+                while s + same < len(item) and words[p + same] == item[s + same]:
+                    same += 1
+            yield k, d, p - int(ends[d] - each[d] - 1), size, same
 
 
 def _hits(batches: Iterator[pa.RecordBatch], at: int, block, window: int, n_own: int) -> Iterator[pa.RecordBatch]:
@@ -158,17 +159,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
     rest = docs.drop(*ADDED)
     own = rest.columns
     spark = docs.sparkSession
-    kind = benchmark.schema[item].dataType.simpleString()
-    item_type = spark.createDataFrame([], benchmark.select(item).schema).toArrow().schema.field(0).type
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    schema = (base + ", " if base else "") + f"n_words long, hit_spans array<struct<start:long,end:long>>, items array<{kind}>, longest_match long"
+    kind = benchmark.schema[item].dataType
+    item_type = to_arrow_type(kind)
+    schema = extended(rest.schema, f"n_words long, hit_spans array<struct<start:long,end:long>>, items array<{kind.simpleString()}>, longest_match long")
     out = rest
 
     def add(out: DataFrame, items: list) -> DataFrame:
         block = _Block(items, window)
         block.item_type = item_type
         shared = spark.sparkContext.broadcast(block)
-        return out.mapInArrow(partial(tidily(_hits), at=own.index(text), block=shared, window=window, n_own=len(own)), schema)
+        return arrow_map(out, partial(_hits, at=own.index(text), block=shared, window=window, n_own=len(own)), schema)
 
     items: list = []
     size = 0
@@ -184,5 +184,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that no benchmark window hits, with their own columns."""
-    return find_leaks(docs, benchmark, **options).filter(F.size("hit_spans") == 0).select(*docs.columns)
+    """The documents that no benchmark window hits, with their own columns, whatever their names. Null and empty texts stay, equal rows stay as many."""
+    mine, back = shielded(docs, ADDED)
+    return find_leaks(mine, benchmark, **options).filter(F.size("hit_spans") == 0).select(*back)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, groups, map_batches, tidily
+from .common import as_bytes, extended, groups, map_batches, tidily
 
 BITS = 15
 #: Languages that a model may hold; more is an error, never a cut.
@@ -151,5 +151,5 @@ def identify(docs: DataFrame, train: DataFrame, text: str = "text", lang: str =
     """
     fitted = docs.sparkSession.sparkContext.broadcast(fit(train, text, lang))
     rest = docs.drop(*ADDED)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema) + "lang_pred string, score double, languages array<string>"
+    schema = extended(rest.schema, "lang_pred string, score double, languages array<string>")
     return map_batches(rest, partial(_predict, at=rest.columns.index(text), fitted=fitted), schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint, groups, tidily
+from .common import as_bytes, checkpoint, extended, groups, map_batches, quoted, tidily
 from .components import components, forest
 
 SEED, SHINGLE, BITS_APART = 42, 3, 3
@@ -130,7 +130,7 @@ def _long_list(key: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scan(batches: Iterator[pa.RecordBatch], five: bool) -> Iterator[pa.RecordBatch]:
     """Links of the lists of a partition that is sorted by key and fingerprint; of three bytes, members of longer lists go on as (fp, key)."""
     none = np.zeros(0, np.int64)
-    keys, fps, hot = none, none, None
+    hot = None
 
     def out(a, b, key=None):
         n = len(a)
@@ -162,24 +162,35 @@ def _scan(batches: Iterator[pa.RecordBatch], five: bool) -> Iterator[pa.RecordBa
         if a:
             yield out(*forest(np.concatenate(a), np.concatenate(b)))
 
-    for batch in batches:
-        keys = np.concatenate((keys, batch.column(0).to_numpy()))
-        fps = np.concatenate((fps, batch.column(1).to_numpy()))
-        if five:  # the same member may be posted by several triples
+    def settled(held: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        if five and len(keys):  # the same member may be posted by several triples
             fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])))
             keys, fps = keys[fresh], fps[fresh]
-        end = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        return keys, fps
+
+    held: list = []  # of one key
+    for batch in batches:
+        own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(own[0]):
+            continue
+        held.append(own)
+        if five and held[0][0][0] == own[0][-1]:
+            continue  # one list goes on
+        keys, fps = settled(held)
+        end = int(np.searchsorted(keys, keys[-1]))
         if end:
             yield from emit(keys[:end], fps[:end])
             keys, fps = keys[end:], fps[end:]
-            if hot is not None and len(keys) and keys[0] != hot:
+            if hot is not None and keys[0] != hot:
                 hot = None
         if not five and len(keys) > LIST:
             hot = int(keys[-1])
             yield out(fps, None, keys)
             keys, fps = none, none
-    if len(keys):
-        yield from emit(keys, fps)
+        held = [(keys, fps)] if len(keys) else []
+    if held:
+        yield from emit(*settled(held))
 
 
 def _lists(postings: DataFrame, five: bool) -> DataFrame:
@@ -200,6 +211,13 @@ def links(nodes: DataFrame) -> DataFrame:
     return found.filter("b IS NOT NULL").select("a", "b").unionByName(_lists(again, True).select("a", "b"))
 
 
+def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the fingerprints in ``rows`` (id, fp): (fp, least id that has it), and (fp, root) of those that link to another."""
+    nodes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(nodes))
+    return nodes, checkpoint(roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row.
 
@@ -210,12 +228,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     empty table gives an empty result.
     """
     rows = checkpoint(fingerprints(docs, id, text))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(nodes))
-    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    named = every.join(nodes, every["node"] == nodes["fp"]).select("node", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    known = checkpoint(named.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component"))
+    nodes, linked = _components(rows)
+    least = linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component"))
+    known = checkpoint(linked.join(least, "root").select("fp", "component"))
     final = checkpoint(nodes.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
     return rows.join(final, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
@@ -225,9 +240,37 @@ def hex_fingerprint(fp):
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that of the least id. Rows without an id form components like others and one of them stays."""
-    found = near_duplicates(docs, id, text)
-    keep = checkpoint(found.filter(F.col(id) == F.col("component_id")).select(id).distinct())
-    kept = docs.join(keep, id, "left_semi").dropDuplicates([id])
-    nameless = found.filter("component_id IS NULL").limit(1).count()
-    return kept.unionByName(docs.filter(F.col(id).isNull()).dropDuplicates([text])) if nameless else kept
+    """One row of each component, with its own columns: that of the least id, null ids last.
+
+    Rows of one id, or without any, are rows of their own: each is judged by
+    its text, and of several with the chosen id and fingerprint the one of the
+    least text stays. Null and wordless texts are near-duplicates of each
+    other. An empty table gives an empty result.
+    """
+    rows = checkpoint(fingerprints(docs, id, text))
+    nodes, linked = _components(rows)
+    each = rows.join(linked, "fp", "left").select(F.coalesce("root", "fp").alias("root"), F.struct(F.col("id").isNull().alias("nameless"), "id", "fp").alias("row"))
+    chosen = each.groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.fp")
+    several = rows.groupBy("id").agg((F.col("id").isNull() | (F.count(F.lit(1)) > 1)).alias("several"))
+    chosen = checkpoint(chosen.join(several, chosen["id"].eqNullSafe(several["id"])).select(chosen["id"], "fp", "several"))
+    plain = chosen.filter("NOT several").select(F.col("id").alias(id))
+    own = [quoted(c) for c in docs.columns]
+    kept = docs.join(plain, id, "left_semi").select(*own)
+    if chosen.filter("several").isEmpty():
+        return kept
+    odd = chosen.filter("several").select("id", "fp")
+    mine = docs.select(F.struct(*own).alias("row"), docs[id].alias("id"), docs[text].alias("text")).alias("d").join(odd.select("id").distinct().alias("o"), F.col("d.id").eqNullSafe(F.col("o.id")), "left_semi")
+    marked = _marked(mine).alias("m").join(odd.alias("o"), F.col("m.id").eqNullSafe(F.col("o.id")) & (F.col("m.fp") == F.col("o.fp")), "left_semi")
+    one = marked.groupBy("id", "fp").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return kept.unionByName(one.select("row.*"))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """(row, id, text) with the texts' fingerprints."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = as_bytes(batch.column(2))
+        fp = [fingerprint(data[a:b]) for a, b in groups(list(map(len, data)))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *fp]))], [*batch.schema.names, "fp"])
+
+    return map_batches(rows, run, extended(rows.schema, "fp long"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import exchange
-from .common import as_bytes, groups, tidily
+from .common import arrow_map, as_bytes, extended, groups, tidily
 
 LENGTH, GRAM = 20, 6
 #: Bytes of text in a chunk.
@@ -400,9 +400,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
     rest = docs.drop(*ADDED)
     at = {"text": rest.columns.index(text), "id_": rest.columns.index(id), "length": length}
     buckets = exchange.bucket_count(docs)
-    packed = rest.mapInArrow(partial(tidily(_pack), buckets=buckets, **at), exchange.SCHEMA).repartition(buckets, "chunk")
+    packed = arrow_map(rest, partial(_pack, buckets=buckets, **at), exchange.SCHEMA).repartition(buckets, "chunk")
     kinds = exchange.by_bucket(packed, buckets).groupBy("bucket").applyInArrow(lambda asked: tidily(_classify)(asked), exchange.SCHEMA)
     sent = packed.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(lambda packed, found: tidily(_send)(packed, found, buckets=buckets, **at), exchange.SCHEMA)
     judged = sent.groupBy("bucket").applyInArrow(lambda asked: tidily(_judge)(asked, length), exchange.SCHEMA)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", n_words long, n_removed long, removed_spans array<struct<start:long,end:long>>, kept_text string"
+    schema = extended(rest.schema, "n_words long, n_removed long, removed_spans array<struct<start:long,end:long>>, kept_text string")
     return packed.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(lambda packed, found: tidily(_remove)(packed, found, **at), schema)

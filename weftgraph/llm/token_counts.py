@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, groups, map_batches
+from .common import as_bytes, extended, groups, map_batches, quoted
 from .merging import PieceMerger
 
 #: Distinct pre-tokens that a worker remembers; beyond it the cache starts anew.
@@ -56,7 +56,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, text: str
     an empty table gives an empty result.
     """
     kept = docs.drop(*names)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema) + f", {names[0]} long, {names[1]} long, {names[2]} boolean"
+    schema = extended(kept.schema, "{} long, {} long, {} boolean".format(*map(quoted, names)))
 
     def run(batch: pa.RecordBatch, path: str, at: int) -> pa.RecordBatch:
         data = as_bytes(batch.column(at))
