@@ -19,16 +19,17 @@ from pyspark.sql.types import StructType
 _LIBC = ctypes.CDLL(None)
 
 #: Texts are handled in groups of about this many bytes, so that a worker's memory does not follow the batch.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
-#: Rows of an Arrow batch, at most: texts of 100 kB must fit in a worker by the batch.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch, at most: long texts must fit in a worker by the batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:
     """See to it that the session hands texts to Python in modest batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,21 +60,20 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.number = spark, os.path.join(set_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}"), 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """The rows of ``df``, written and read again; its shuffle files go when they are written."""
+    def write(self, df: DataFrame, *by: str) -> DataFrame:
+        """The rows of ``df``, written, in folders by the columns ``by``, and read again; its shuffle files go when they are written."""
         self.number += 1
         path = f"{self.root}/{self.number}.parquet"
         with shuffles_dropped(self.spark):
-            df.write.option("compression", "none").parquet(path)
+            df.write.partitionBy(*by).option("compression", "none").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        for path in [t.scratch_path for t in tables] or [self.root]:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    def drop(self, table: DataFrame | None = None, part: str = "") -> None:
+        """Remove a table, or one folder of it, or all there is."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{table.scratch_path}/{part}" if table else self.root)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 @contextmanager
