@@ -20,10 +20,6 @@ from . import exchange
 from .common import as_bytes, extended, groups, map_batches, quoted, tidily
 from .merging import ByteMerger, read_ranks
 
-#: Distinct pre-tokens that a bucket's task remembers; beyond it some are encoded again.
-KNOWN_WORDS = 100_000
-
-
 @cache
 def _vocabulary(path: str) -> ByteMerger:
     return ByteMerger(path)
@@ -51,12 +47,13 @@ def _cut(texts: list[bytes], pattern: str) -> list[list[str]]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    vocabulary, known = _vocabulary(path), {}
+    """Ids of the words of each chunk, bucket by bucket; within a bucket each distinct word is encoded once."""
+    vocabulary, known, bucket = _vocabulary(path), {}, -1
     for batch in batches:
         for row in batch.to_pylist():
             words = exchange.unpack_words(row["a"], row["b"])
-            if len(known) > KNOWN_WORDS:
-                known.clear()
+            if row["bucket"] != bucket:
+                known, bucket = {}, row["bucket"]
             missing = [w for w in words if w not in known]
             ids, n = vocabulary.encode(missing)
             ids, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
@@ -91,10 +88,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", t
     """
     narrow = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     buckets = exchange.bucket_count(docs)
-    packed = exchange.chunks(narrow, partial(_cut, pattern=pattern), buckets).repartition(buckets, "chunk")
-    answers = exchange.by_bucket(packed, buckets).mapInArrow(partial(tidily(_encode), path=ranks_path), exchange.SCHEMA)
+    packed = exchange.at_home(exchange.chunks(narrow, partial(_cut, pattern=pattern), buckets), buckets)
+    answers = exchange.by_bucket(packed, buckets).sortWithinPartitions("bucket").mapInArrow(partial(tidily(_encode), path=ranks_path), exchange.SCHEMA)
     kind = narrow.schema["id"].dataType.simpleString()
-    return exchange.assemble(packed, answers, _lay_out, f"id {kind}, ids binary").withColumnRenamed("id", id)
+    return exchange.assemble(packed, answers, buckets, _lay_out, f"id {kind}, ids binary").withColumnRenamed("id", id)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

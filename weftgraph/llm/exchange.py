@@ -6,8 +6,10 @@ sent once, packed with the other words of its hash bucket. Whoever answers
 sees each word in one bucket only; the answers go back by chunk. What is
 shuffled thus follows the distinct words of chunks, never the tokens, and a
 very frequent word weighs as much as any other. A chunk's number is a hash of
-its place and content: if a lost task were redone over rows in another order,
-its answers would be missing, which fails the job, never change.
+its place and content, and ends in the number of its home, the task that its
+answers meet it in, so that chunks are dealt evenly. If a lost task were redone
+over rows in another order, its answers would be missing, which fails the job,
+never change.
 """
 
 from __future__ import annotations
@@ -24,13 +26,18 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import as_bytes, groups, tidily
 
 #: A chunk ends at about so many tokens or distinct words.
 CHUNK_TOKENS, CHUNK_WORDS = 3_000_000, 200_000
 
+#: Lowest bits of a chunk's number, for its home.
+HOME_BITS = 16
+
 SCHEMA = "chunk long, bucket int, a binary, b binary, c binary, d binary, e binary"
+SCHEMA_NAMES = ("chunk", "bucket", *"abcde")
 
 
 @cache
@@ -78,6 +85,29 @@ def rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in found], t) for i, t in enumerate(types)], ["chunk", "bucket", *"abcde"])
 
 
+def home(place: int) -> int:
+    """Chunks of a task come one or two at a time, so each task's have neighbouring homes."""
+    return (2 * (place >> 32) + (place & 0xFFFFFFFF)) & ((1 << HOME_BITS) - 1)
+
+
+def at_home(rows_: DataFrame, tasks: int) -> DataFrame:
+    """The rows of each chunk in the task of its home."""
+    number = F.col("chunk").bitwiseAND((1 << HOME_BITS) - 1) % tasks
+    return rows_.withColumn("home", number.cast("int")).repartitionById(tasks, F.col("home"))
+
+
+def meet(left: DataFrame, right: DataFrame, tasks: int, fn: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+    """fn(rows of a chunk on the left, on the right) for each chunk that is on the left."""
+
+    def run(mine: pa.Table, rest: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            raise RuntimeError("answers without their chunk: its rows came in another order when a task was redone")
+        return fn(mine, rest)
+
+    sides = [(x if "home" in x.columns else at_home(x, tasks)).groupBy("home", "chunk") for x in (left, right)]
+    return sides[0].cogroup(sides[1]).applyInArrow(lambda mine, rest: run(mine, rest), schema)
+
+
 def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: int, weigh: str | None = None, observe: Callable | None = None, size: tuple[int, int] = (CHUNK_TOKENS, CHUNK_WORDS)) -> DataFrame:
     """Packed chunks of ``docs``, whose first column is an id and the second the text.
 
@@ -110,7 +140,7 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
             flat = [w if isinstance(w, bytes) else w.encode() for w in words]
             sign = xxhash.xxh64(b"".join(flat), seed=place)
             sign.update(lids.tobytes())
-            chunk = sign.intdigest() - 2**63
+            chunk = (sign.intdigest() >> HOME_BITS << HOME_BITS) - 2**63 + home(place)
             carried, *seen = see(flat, each, lids, weight, last) if see else (None,)
             yield rows([(chunk, -1, ids_ipc(pa.chunked_array(ids).combine_chunks()), squeeze(each), squeeze(lids), squeeze(weight), carried)])
             if seen:
@@ -145,8 +175,14 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
     return docs.mapInArrow(tidily(run), SCHEMA)
 
 
+#: Bytes of input, as Spark's statistics have them, to a bucket at most.
+BUCKET_BYTES = 8 << 20
+
+
 def bucket_count(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many buckets as shuffles have partitions, and more for a large input, so that a bucket fits in a task."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES if size < 1 << 60 else 0)
 
 
 def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +192,10 @@ def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
     """The words' rows. A Python filter, so that the plan below stays one with the documents' and its exchange is used twice."""
-    return packed.mapInArrow(tidily(_words_only), SCHEMA).repartition(buckets, "bucket")
+    return packed.select(*SCHEMA_NAMES).mapInArrow(tidily(_words_only), SCHEMA).repartitionById(buckets, F.col("bucket"))
 
 
-def assemble(packed: DataFrame, answers: DataFrame, fn: Callable[..., pa.Table], schema: str) -> DataFrame:
+def assemble(packed: DataFrame, answers: DataFrame, buckets: int, fn: Callable[..., pa.Table], schema: str) -> DataFrame:
     """Documents of each chunk with the answers to its words: fn(ids, lengths, local numbers, weights, answers, carried)."""
 
     def run(chunk: pa.Table, found: pa.Table, fn) -> pa.Table:
@@ -171,4 +207,4 @@ def assemble(packed: DataFrame, answers: DataFrame, fn: Callable[..., pa.Table],
             return fn(ids_read(row["a"]), expand(row["b"], np.int32), lids, expand(row["d"], np.uint8), answers, row["e"])
         raise RuntimeError("answers without their chunk")
 
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda chunk, found: tidily(run)(chunk, found, fn=fn), schema)
+    return meet(packed, answers, buckets, lambda chunk, found: tidily(run)(chunk, found, fn=fn), schema)

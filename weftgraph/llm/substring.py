@@ -25,13 +25,14 @@ import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange
 from .common import arrow_map, as_bytes, extended, groups, tidily
 
 LENGTH, GRAM = 20, 6
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Contexts of an anchor that one automaton takes; anchors with more are dealt by window.
 CONTEXTS = 512
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -213,7 +214,7 @@ def _pack(batches: Iterator[pa.RecordBatch], text: int, id_: int, buckets: int,
     def flush() -> Iterator[pa.RecordBatch]:
         blob = _ipc(waiting)
         _, chunk = _open(blob, text, id_, length)
-        number = xxhash.xxh64(blob, seed=made).intdigest() - 2**63
+        number = (xxhash.xxh64(blob, seed=made).intdigest() >> exchange.HOME_BITS << exchange.HOME_BITS) - 2**63 + exchange.home(made)
         yield exchange.rows([(number, -1, blob)])
         own, n = chunk.anchors()
         bucket = (own % np.uint64(buckets)).astype(np.int64)
@@ -400,9 +401,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
     rest = docs.drop(*ADDED)
     at = {"text": rest.columns.index(text), "id_": rest.columns.index(id), "length": length}
     buckets = exchange.bucket_count(docs)
-    packed = arrow_map(rest, partial(_pack, buckets=buckets, **at), exchange.SCHEMA).repartition(buckets, "chunk")
+    packed = exchange.at_home(arrow_map(rest, partial(_pack, buckets=buckets, **at), exchange.SCHEMA), buckets)
     kinds = exchange.by_bucket(packed, buckets).groupBy("bucket").applyInArrow(lambda asked: tidily(_classify)(asked), exchange.SCHEMA)
-    sent = packed.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(lambda packed, found: tidily(_send)(packed, found, buckets=buckets, **at), exchange.SCHEMA)
-    judged = sent.groupBy("bucket").applyInArrow(lambda asked: tidily(_judge)(asked, length), exchange.SCHEMA)
+    sent = exchange.meet(packed, kinds, buckets, lambda packed, found: tidily(_send)(packed, found, buckets=buckets, **at), exchange.SCHEMA)
+    judged = sent.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(lambda asked: tidily(_judge)(asked, length), exchange.SCHEMA)
     schema = extended(rest.schema, "n_words long, n_removed long, removed_spans array<struct<start:long,end:long>>, kept_text string")
-    return packed.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(lambda packed, found: tidily(_remove)(packed, found, **at), schema)
+    return exchange.meet(packed, judged, buckets, lambda packed, found: tidily(_remove)(packed, found, **at), schema)
