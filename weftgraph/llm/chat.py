@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import Scratch, checkpoint, shuffles_dropped
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 
@@ -44,36 +44,43 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     conversation are chosen. Ids of one conversation must differ; messages on a
     cycle of parents have no root and are on no path.
     """
+    scratch = Scratch(messages.sparkSession, "reply-paths")
     has = messages.select("conv", F.col("msg").alias("parent"), F.lit(True).alias("there"))
     nodes = messages.alias("m").join(has.alias("p"), F.col("m.conv").eqNullSafe(F.col("p.conv")) & (F.col("m.parent") == F.col("p.parent")), "left")
     nodes = nodes.select("m.conv", "m.msg", F.when(F.col("p.there"), F.col("m.parent")).alias("up"), F.coalesce("m.score", F.lit(0.0)).cast("double").alias("score"), F.lit(1).cast("long").alias("depth"))
     inner = nodes.filter("up IS NOT NULL").select("conv", F.col("up").alias("msg"), F.lit(True).alias("inner")).distinct()
     at = lambda a, b, on: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.{on}") == F.col(f"{b}.msg"))
-    nodes = nodes.alias("n").join(inner.alias("i"), at("n", "i", "msg"), "left")
-    nodes = checkpoint(nodes.select("n.conv", "n.msg", F.col("n.up").alias("parent"), "n.up", "n.score", "n.depth", F.col("i.inner").isNull().alias("leaf")))
-    count, jumps = nodes.count(), 0
-    while nodes.filter("up IS NOT NULL").limit(1).count() and 1 << jumps <= count:
-        over = nodes.select("conv", "msg", "up", "score", "depth")
-        further = nodes.filter("up IS NOT NULL").alias("n").join(over.alias("o"), at("n", "o", "up")).select(
-            "n.conv", "n.msg", "n.parent", F.col("o.up").alias("up"), (F.col("n.score") + F.col("o.score")).alias("score"), (F.col("n.depth") + F.col("o.depth")).alias("depth"), "n.leaf"
+    nodes = nodes.alias("n").join(inner.alias("i"), at("n", "i", "msg"), "left").select("n.*", F.col("i.inner").isNull().alias("leaf"))
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Who has reached the root, who has not; written once each."""
+        table = scratch.write(rows.withColumn("done", F.col("up").isNull()), "done")
+        return table.filter("done").drop("done"), table.filter("NOT done").drop("done")
+
+    done, hop = split(nodes)
+    hops: list[DataFrame] = []  # the k-th: messages and the one 2**k above
+    count = done.count() + (left := hop.count())
+    while left and 1 << len(hops) <= count:
+        hops.append(hop)
+        over = done.unionByName(hop).select("conv", "msg", "up", "score", "depth")
+        further = hop.alias("n").join(over.alias("o"), at("n", "o", "up")).select(
+            "n.conv", "n.msg", F.col("o.up").alias("up"), (F.col("n.score") + F.col("o.score")).alias("score"), (F.col("n.depth") + F.col("o.depth")).alias("depth"), "n.leaf"
         )
-        nodes = nodes.filter("up IS NULL").unionByName(further)  # who has reached the root jumps no more
-        nodes, jumps = checkpoint(nodes), jumps + 1
+        more, hop = split(further)
+        done, left = done.unionByName(more), hop.count()
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("score").desc(), "msg"))
-    chosen = nodes.filter("leaf AND up IS NULL").withColumn("path_rank", rank).filter(F.col("path_rank") <= best)
+    chosen = done.filter("leaf").withColumn("path_rank", rank).filter(F.col("path_rank") <= best)
     # walk up from the chosen leaves: the stretch of 1, 2, 4... messages above each found one is found in turn
-    paths = chosen.select("conv", "path_rank", F.col("msg").alias("leaf"), "msg", "depth")
-    links = nodes.filter("parent IS NOT NULL").select("conv", "msg", "parent", "depth")
-    hops = [links]
-    for _ in range(1, jumps):
-        far, near = hops[-1].alias("f"), hops[-1].alias("n")
-        step = near.join(far, F.col("n.conv").eqNullSafe(F.col("f.conv")) & (F.col("n.parent") == F.col("f.msg"))).select("n.conv", "n.msg", F.col("f.parent").alias("parent"), "n.depth")
-        hops.append(checkpoint(step))
-    for k, hop in reversed(list(enumerate(hops if jumps else []))):
-        more = paths.alias("p").join(hop.alias("h"), at("p", "h", "msg"))
-        more = more.select("p.conv", "p.path_rank", "p.leaf", F.col("h.parent").alias("msg"), (F.col("p.depth") - (1 << k)).alias("depth"))
-        paths = checkpoint(paths.unionByName(more))  # else the plan would double with each hop
-    return paths.select("conv", "path_rank", "leaf", F.col("depth").alias("step"), "msg")
+    paths = chosen.select("conv", "path_rank", F.col("msg").alias("leaf"), "msg", F.col("depth").alias("step"))
+    for k in reversed(range(len(hops))):
+        paths = scratch.write(paths)  # else the plan would double with each hop
+        more = paths.alias("p").join(hops[k].alias("h"), at("p", "h", "msg"))
+        more = more.select("p.conv", "p.path_rank", "p.leaf", F.col("h.up").alias("msg"), (F.col("p.step") - (1 << k)).alias("step"))
+        paths = paths.unionByName(more)
+    with shuffles_dropped(messages.sparkSession):
+        paths = checkpoint(paths.select("conv", "path_rank", "leaf", "step", "msg"))
+    scratch.drop()
+    return paths
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
@@ -128,5 +135,6 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     Null ids form one conversation. Null turns come first. An empty table gives
     an empty result.
     """
-    messages = checkpoint(chains(turns))
+    with shuffles_dropped(turns.sparkSession):
+        messages = checkpoint(chains(turns))
     return format_paths(reply_paths(messages.select("conv", "msg", "parent", "score")), messages).withColumnRenamed("conv", "conv_id")
