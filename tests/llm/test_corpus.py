@@ -77,6 +77,35 @@ def test_chat_long_chain_and_empty(spark):
     assert chat.format_conversations(conversations(spark, [])).count() == 0
 
 
+def test_branching_trees_against_brute_force(spark):
+    """Random trees, chains of over a hundred, cycles, missing parents, null scores and conversations."""
+    rng = random.Random(31)
+    rows = []
+    for c in [None, *range(12)]:
+        n = rng.choice([1, 2, 7, 40, 150])
+        for m in range(n):
+            parent = None if m == 0 or rng.random() < 0.05 else (m - 1 if n == 150 else rng.randrange(m))
+            rows.append((c, m, 999 if rng.random() < 0.02 else parent, rng.choice([None, 0.0, 1.0, 2.5, -1.0])))
+    rows += [(50, 0, 1, 1.0), (50, 1, 0, 1.0), (51, 0, 0, 1.0), (51, 1, None, 0.0)]
+    got = {}
+    for r in chat.reply_paths(spark.createDataFrame(rows, "conv long, msg long, parent long, score double"), best=2).collect():
+        got.setdefault((r["conv"], r["path_rank"]), []).append((r["step"], r["msg"]))
+    want = {}
+    for c in {r[0] for r in rows}:
+        own = {m: (p, s or 0.0) for k, m, p, s in rows if k == c}
+        parents = {p for m, (p, _) in own.items() if p in own}
+        ranked = []
+        for leaf in own.keys() - parents:
+            path, m = [leaf], own[leaf][0]
+            while m in own and m not in path:
+                path.append(m)
+                m = own[m][0]
+            ranked.append((-sum(own[x][1] for x in path), leaf, path[::-1]))
+        for k, (_, _, path) in enumerate(sorted(ranked)[:2], 1):
+            want[c, k] = list(enumerate(path, 1))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 # op2, op6
 
 
@@ -323,16 +352,27 @@ def test_scores(spark, tiny):
 
 def test_tree_distributions_sum_to_one(spark):
     """After any context, the probabilities of all known symbols, and of one for the others, sum to one."""
-    texts = ["a b c a b c a b d"] * 30 + ["a b a c", "e f", "b a b a"]
-    docs = documents(spark, texts + [f"a b {x}" for x in "abcdef"] + ["a b", "a b zzz"]).withColumn("train", F.col("doc_id") < len(texts))
-    got = [r["score"] for r in sorted(suffix_tree.score(docs, "train", divergence=0.1).collect(), key=lambda r: r["doc_id"])]
-    tail = got[len(texts) :]
-    # P(a b x end) / P(end | ... x) is not in the table, so compare P over the next symbol by scores with the same beginning
-    assert tail[2] > tail[4] and tail[3] > tail[5]  # c and d follow "a b" more often than e and f
-    assert all(s < 0 for s in got)
-
-
-def plain_tree_scores(texts, held, depth=4, least=2, divergence=10.0, prior=1.0):
+    texts = ["a b c a b c a b d"] * 30 + ["a b a c", "e f", "b a b a", "g h", "g h"]
+    known = sorted(set(" ".join(texts).split()))
+    begins = ["", "a", "a b", "b c a", "c a b", "e", "x a b", "b a b"]
+    probes = [f"{c} {x}".strip() for c in begins for x in [*known, "zzz"]] + begins
+    docs = documents(spark, texts + probes).withColumn("train", F.col("doc_id") < len(texts))
+    got = [r["score"] for r in sorted(suffix_tree.score(docs, "train", divergence=0.1).collect(), key=lambda r: r["doc_id"])][len(texts) :]
+    score = dict(zip(probes, got, strict=True))
+    end = lambda t: 10 ** _last(texts, t, len(texts))
+    for c in begins:
+        before = 10 ** score[c] / end(c)  # of the context's words alone
+        total = end(c) + sum(10 ** score[p] / end(p) / before for p in (f"{c} {x}".strip() for x in [*known, "zzz"]))
+        assert math.isclose(total, 1, rel_tol=1e-6), c
+
+
+def _last(texts, probe, n):
+    """log10 of the end after a probe, by the plain tree."""
+    whole, _ = plain_tree_scores([*texts, probe], [False] * n + [True], divergence=0.1, last_only=True)
+    return whole[-1]
+
+
+def plain_tree_scores(texts, held, depth=4, least=2, divergence=10.0, prior=1.0, last_only=False, frequent=100_000):
     """The suffix tree by plain dictionaries over the whole corpus."""
     words = [(*t.encode().lower().split(), None) for t in texts]
     train = [w for w, h in zip(words, held, strict=True) if not h]
@@ -340,33 +380,34 @@ def plain_tree_scores(texts, held, depth=4, least=2, divergence=10.0, prior=1.0)
     n_train, of_words = sum(map(len, train)), {r[0]: n for r, n in runs.items() if len(r) == 1}
     n1, n2 = (sum(n == k for w, n in of_words.items() if w is not None) for k in (1, 2))
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    entries = {r: n for r, n in runs.items() if n >= least}
-    listed = Counter()
-    for r, n in entries.items():
-        listed[r[:-1]] += n
-    p, gain = {r: (n - discount) / n_train for r, n in entries.items() if len(r) == 1}, Counter()
-    for r in sorted((r for r in entries if len(r) > 1), key=len):
-        total, shorter = runs[r[:-1]], p[r[1:]]
-        p[r] = (entries[r] + (prior + total - listed[r[:-1]]) * shorter) / (total + prior)
-        gain[r[:-1]] += entries[r] * math.log(p[r] / shorter)
-    kept = {r[k:] for r, g in gain.items() if g >= divergence for k in range(len(r))}
-    out = []
-    for w in words:
-        score = 0.0
-        for i, x in enumerate(w):
-            q = (of_words[x] - discount) / n_train if x in of_words else discount * len(of_words) / n_train
-            for d in range(1, min(i, depth) + 1):
-                c = w[i - d : i]
-                if c not in kept:
-                    break
-                q = (entries.get((*c, x), 0) + (prior + runs[c] - listed[c]) * q) / (runs[c] + prior)
-            score += math.log10(q)
-        out.append(score)
+
+    root = lambda x: (of_words[x] - discount) / n_train if x in of_words else discount * len(of_words) / n_train
+
+    def chain(w, i):
+        """Of each context before w[i], shortest first: itself, and the symbol's probability after it."""
+        p = root(w[i])
+        yield (), p
+        for d in range(1, min(i, depth) + 1):
+            c = w[i - d : i]
+            if runs[c] < least:
+                return
+            p = (runs[(*c, w[i])] + prior * p) / (runs[c] + prior)
+            yield c, p
+
+    gain = Counter()
+    for run, n in runs.items():
+        c, x = run[:-1], run[-1]
+        if c and runs[c] >= least:
+            q = (runs[run[1:]] - 1 + prior * root(x)) / (runs[c[1:]] - 1 + prior) if len(c) > 1 else root(x)
+            q = math.exp(-round(-1000 * math.log(q)) / 1000)
+            gain[c] += round(n * math.log((n - 1 + prior * q) / (runs[c] - 1 + prior) / q) * 1e6)
+    kept = {c for c, g in gain.items() if g >= divergence * 1e6 or runs[c] >= frequent}
+    out = [sum(math.log10([p for c, p in chain(w, i) if not c or c in kept][-1]) for i in range(len(w) - 1 if last_only else 0, len(w))) for w in words]
     return out, kept
 
 
-@pytest.mark.parametrize("chunk", [(4_600_000, 400_000), (60, 1_000)])
-def test_tree_equals_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "frequent"), [(4_600_000, 100_000), (60, 100_000), (60, 30)])
+def test_tree_equals_brute_force(spark, monkeypatch, chunk, frequent):
     """Also where a context's occurrences, and an entry's, lie in other chunks, and its continuations are rare words."""
     rng = random.Random(7)
     texts = [" ".join(rng.choices("abcd", [8, 4, 2, 1], k=rng.randint(0, 25))) for _ in range(60)]
@@ -374,8 +415,8 @@ def test_tree_equals_brute_force(spark, monkeypatch, chunk):
     rng.shuffle(texts)
     monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
     held = [i % 5 == 3 for i in range(len(texts))]
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, texts).withColumn("train", F.col("doc_id") % 5 != 3), "train", divergence=2.0).collect()}
-    want, kept = plain_tree_scores(texts, held, divergence=2.0)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, texts).withColumn("train", F.col("doc_id") % 5 != 3), "train", divergence=2.0, frequent=frequent).collect()}
+    want, kept = plain_tree_scores(texts, held, divergence=2.0, frequent=frequent)
     assert max(map(len, kept)) >= 2
     np.testing.assert_allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
 
@@ -389,6 +430,16 @@ def test_tree_forgets_nothing_in_a_larger_corpus(spark):
     assert r["score"] > r["base_score"] + 6  # "l m end" follows from "k"
 
 
+def test_documents_that_occur_twice_are_told_apart(spark):
+    """Each of the one kind once, of the other twice; none is like another."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3_000)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(400)]
+    docs = documents(spark, texts + texts[:50]).withColumn("train", F.lit(True))
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in suffix_tree.score(docs, "train").collect()}
+    assert min(got[i] for i in range(50)) > max(got[i] for i in range(50, 400)) + 20
+
+
 # op8
 
 
@@ -484,6 +535,34 @@ def test_shards(spark, tmp_path, tiny):
     assert training_order.write_shards(documents(spark, []), uri, tokens, key=1, vocabulary=50_257).count() == 0
 
 
+def test_slots_are_the_same_however_the_documents_are_dealt(spark, tmp_path, tiny):
+    """Slots by a plain permutation of ranks; for 1 and 5 partitions the same files; reading goes on from any slot."""
+    texts = [*tiny["text"].tolist()[:30], None, ""]
+    rows = [(None if i == 5 else i // 2, t) for i, t in enumerate(texts)] + [(3, "again"), (3, "again")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    path = P.path("byte_bpe_50k.tiktoken")
+    tokens, enc = training_order.tokenizer(path, P.PATTERN), tiktoken_of(path)
+    ties = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1] or ""]))
+    sequences = []
+    for i, t in order:
+        ids = [*enc.encode_ordinary(t or ""), 50256]
+        sequences += [(i, k // 16, ids[k : k + 16]) for k in range(0, len(ids), 16)]
+    slots = training_order.permute(np.arange(len(sequences)), len(sequences), 7)
+    want = {int(s): x for s, x in zip(slots, sequences, strict=True)}
+    digests = []
+    for n in (1, 5):
+        uri = f"file://{tmp_path}/{n}"
+        manifest = training_order.write_shards(docs.repartition(n), uri, tokens, key=7, vocabulary=50_257, length=16, shard=40)
+        got = {r["slot"]: (r["doc_id"], r["part"], np.frombuffer(r["ids"], "<u4").tolist()) for r in training_order.read_shards(manifest, uri, 50_257, length=16).collect()}
+        assert got == want
+        rest = [r["slot"] for r in training_order.read_shards(manifest, uri, 50_257, length=16, start=101).collect()]
+        assert sorted(rest) == list(range(101, len(want)))
+        digests.append(sorted((r["shard"], r["first_slot"], r["records"], r["sha256"]) for r in manifest.collect()))
+        assert sorted(x.name for x in (tmp_path / str(n)).iterdir()) == [f"shard-{k:09d}.bin" for k in range(-(-len(want) // 40))]
+    assert digests[0] == digests[1]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutation(n):
     a, b = (training_order.permute(np.arange(n), n, key) for key in (1, 2))

@@ -41,9 +41,10 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def _cut(texts: list[bytes], pattern: str) -> list[list[str]]:
+def _cut(texts: list[bytes], pattern: str) -> tuple[np.ndarray, pa.Array]:
     find = _pattern(pattern).findall
-    return [find(t.decode()) for t in texts]
+    found = [find(t.decode()) for t in texts]
+    return np.fromiter(map(len, found), np.int64, len(found)), pa.array([w for f in found for w in f], pa.string()).cast(pa.binary())
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

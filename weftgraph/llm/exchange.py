@@ -15,7 +15,6 @@ never change.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, groups, tidily
 
-#: A chunk ends at about so many tokens or distinct words.
-CHUNK_TOKENS, CHUNK_WORDS = 3_000_000, 200_000
+#: A chunk ends at about so many tokens.
+CHUNK_TOKENS = 3_000_000
 
 #: Lowest bits of a chunk's number, for its home.
 HOME_BITS = 16
@@ -108,44 +107,45 @@ def meet(left: DataFrame, right: DataFrame, tasks: int, fn: Callable[[pa.Table,
     return sides[0].cogroup(sides[1]).applyInArrow(lambda mine, rest: run(mine, rest), schema)
 
 
-def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: int, weigh: str | None = None, observe: Callable | None = None, size: tuple[int, int] = (CHUNK_TOKENS, CHUNK_WORDS)) -> DataFrame:
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text, and all words: runs without space and U+0009 to U+000D."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    inner = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    first = inner.copy()
+    first[1:] &= ~inner[:-1]
+    begin = np.flatnonzero(first)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    each = np.diff(np.searchsorted(begin, starts))
+    length = np.diff(np.append(np.cumsum(inner)[begin] - 1, np.count_nonzero(inner)))
+    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+    return each, pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[inner].tobytes())])
+
+
+def chunks(docs: DataFrame, cut: Callable[[list[bytes]], tuple[np.ndarray, pa.Array]], buckets: int, weigh: str | None = None, carry: Callable[[list[bytes]], bytes] | None = None, size: int = CHUNK_TOKENS) -> DataFrame:
     """Packed chunks of ``docs``, whose first column is an id and the second the text.
 
-    ``cut`` gives the words (str or bytes) of each text. A row with bucket -1
-    holds a chunk's documents: ids, numbers of words, local word numbers and
-    the column named by ``weigh`` as 0 or 1. The others hold the words of a
+    ``cut`` gives the number of words of each text, and all words as an Arrow
+    array. A row with bucket -1 holds a chunk's documents: ids, numbers of
+    words, local word numbers, the column named by ``weigh`` as 0 or 1, and what
+    ``carry`` makes of the distinct words. The others hold the words of a
     bucket, their local numbers, and their counts in documents of weight 1.
-    ``observe()`` gives each task a function of (words, lengths, local numbers,
-    weights, whether the chunk is the task's last), which gives a binary that
-    the documents' row carries on, and more for a row of bucket -2.
     """
     named = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId() << 32, 0
 
-        def clear():
-            words = defaultdict()
-            words.default_factory = words.__len__
-            return words, [], [], [], []
-
-        see = observe() if observe else None
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made
             place, made = task + made, made + 1
-            lids = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-            weight = np.array(weights, np.uint8)
-            each = np.fromiter(map(len, arrays), np.int32, len(arrays))
-            flat = [w if isinstance(w, bytes) else w.encode() for w in words]
+            coded = pa.concat_arrays(pieces).dictionary_encode()
+            lids, flat = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            each, weight = np.concatenate(sizes).astype(np.int32), np.array(weights, np.uint8)
             sign = xxhash.xxh64(b"".join(flat), seed=place)
             sign.update(lids.tobytes())
             chunk = (sign.intdigest() >> HOME_BITS << HOME_BITS) - 2**63 + home(place)
-            carried, *seen = see(flat, each, lids, weight, last) if see else (None,)
-            yield rows([(chunk, -1, ids_ipc(pa.chunked_array(ids).combine_chunks()), squeeze(each), squeeze(lids), squeeze(weight), carried)])
-            if seen:
-                yield rows([(chunk, -2, *seen)])
-            counts = np.bincount(lids[np.repeat(weight, each) > 0], minlength=len(words)).astype(np.int64)
+            yield rows([(chunk, -1, ids_ipc(pa.chunked_array(ids).combine_chunks()), squeeze(each), squeeze(lids), squeeze(weight), carry(flat) if carry else None)])
+            counts = np.bincount(lids[np.repeat(weight, each) > 0], minlength=len(flat)).astype(np.int64)
             bucket = np.fromiter(map(zlib.crc32, flat), np.int64, len(flat)) % buckets
             order = np.argsort(bucket, kind="stable")
             starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -153,23 +153,22 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], list[list]], buckets: i
                 if len(own := order[starts[k] : starts[k + 1]]):
                     yield rows([(chunk, k, *pack_words([flat[i] for i in own]), squeeze(own.astype(np.int32)), squeeze(counts[own]))])
 
-        words, arrays, ids, weights, _ = clear()
-        tokens = 0
+        pieces, sizes, ids, weights, tokens = [], [], [], [], 0
         for batch in batches:
             data = as_bytes(batch.column(1))
             weight = batch.column(2).to_pylist() if weigh else [0] * len(data)
             for a, b in groups(list(map(len, data))):
                 ids.append(batch.column(0).slice(a, b - a))
                 weights += [int(bool(x)) for x in weight[a:b]]
-                for found in cut(data[a:b]):
-                    arrays.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                    tokens += len(found)
-                if tokens >= size[0] or len(words) >= size[1]:
-                    yield from flush(False)
-                    words, arrays, ids, weights, _ = clear()
-                    tokens = 0
+                each, flat = cut(data[a:b])
+                sizes.append(each)
+                pieces.append(flat)
+                tokens += len(flat)
+                if tokens >= size:
+                    yield from flush()
+                    pieces, sizes, ids, weights, tokens = [], [], [], [], 0
         if ids:
-            yield from flush(True)
+            yield from flush()
 
     assert not weigh or named[2] == weigh
     return docs.mapInArrow(tidily(run), SCHEMA)
