@@ -79,3 +79,43 @@ def test_streams(spark, tmp_path):
     assert spark.table("edges").count() == 2
     arrivals.reference_counts(stream()).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["n"] for r in spark.table("counts").collect()) == [1, 2]
+
+
+def load(spark, folder, **texts):
+    for name, body in texts.items():
+        (folder / f"{name}.mdx").write_text(body)
+    return files.load(files.scan(spark, f"file://{folder}", {"all": ["*.mdx"]}, {}))[0]
+
+
+def test_own_hash_follows_content_past_children_and_embeddings(spark, tmp_path):
+    """Text moved past a child, an embedding added, dropped, retargeted or moved, all change the hash; its spelling does not."""
+    from weftgraph.operators import hashes
+
+    other = '<S id="t">T</S><S id="u">T</S>'
+    bodies = {
+        "a": 'one<S id="s">x</S>two {text(O.t)}',
+        "b": 'onetwo <S id="s">x</S>{text(O.t)}',
+        "c": 'one<S id="s">x</S>two {text(O.u)}',
+        "d": 'one<S id="s">x</S>two ',
+        "e": 'one<S id="s">x</S>two {  text( O["t"] ) }',
+        "f": 'one<S id="s">x</S>{text(O.t)}two ',
+    }
+    found = {}
+    for name, body in bodies.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        work = load(spark, folder, o=other, p=f'import O from "./o.mdx"\n<S id="r">{body.replace("id=" + chr(34) + "s", "id=" + chr(34) + "r.s")}</S>\n')
+        found[name] = {r["identity"]: r["own_hash"] for r in hashes.own_hash(work.nodes, work.parts).collect()}["p.mdx#r"]
+        if name == "a":
+            content = {r["identity"]: [tuple(x) for x in r["content"]] for r in hashes.own_content(work.parts).collect()}
+            assert content["p.mdx#r"] == [("run", "one", None), ("child", None, "p.mdx#r.s"), ("run", "two ", None), ("embed", None, "o.mdx#t"), ("run", "", None)]
+            assert content["p.mdx"] == [("run", "", None), ("child", None, "p.mdx#r"), ("run", "\n", None)] and content["o.mdx#t"] == [("run", "T", None)]
+    assert found["a"] == found["e"] and len({found[k] for k in "abcdf"}) == 5
+
+
+def test_sources_that_hold_the_marker_in_a_name_stay(spark, tmp_path):
+    for name in ("my.genes.mdx", "a.gen.js", "b.gen.d.ts", "c.mdx"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gen").mkdir()
+    got = files.scan(spark, f"file://{tmp_path}", {"s": ["*.mdx"]}, {"c": ["*.js", "*.ts", "*.mdx"]})
+    assert sorted((r["path"], r["kind"]) for r in got.select("path", "kind").collect()) == [("c.mdx", "code"), ("c.mdx", "spec"), ("my.genes.mdx", "code"), ("my.genes.mdx", "spec")]

@@ -75,8 +75,12 @@ def digest(*parts: Column) -> Column:
 
 def frame_all(values: Column) -> Column:
     """Framed components of an array, as one binary."""
-    empty = F.unhex(F.lit(""))
-    return F.aggregate(values, empty, lambda done, x: F.concat(done, frame(x)))
+    return joined(F.transform(values, frame))
+
+
+def joined(values: Column) -> Column:
+    """Binaries of an array as one; by their hexadecimal digits, so that the time follows the length."""
+    return F.unhex(F.array_join(F.transform(values, F.hex), ""))
 
 
 def digest_all(values: Column) -> Column:
@@ -87,6 +91,72 @@ def encode_canonical(identity: Column, position: Column) -> Column:
     return F.concat_ws(":", position.cast("string"), identity)
 
 
+def parse_canonical(text: Column) -> Column:
+    """(position, identity) of an encoded canonical identity; null unless it begins with a plain decimal and a colon."""
+    number = F.regexp_extract(text, r"\A(0|[1-9][0-9]*):", 1)
+    return F.when(number != "", F.struct(number.cast("long").alias("position"), F.substr(text, F.length(number) + 2).alias("identity")))
+
+
+def byte_offset(text: Column, index: Column) -> Column:
+    """Bytes of UTF-8 before a UTF-16 index of a text; one inside a pair of surrogates counts as the pair's first."""
+    units = F.encode(text, "UTF-16BE")
+    high = lambda at: F.conv(F.hex(F.substring(units, at, F.lit(2))), 16, 10).cast("int")
+    inside = (index > 0) & high((2 * index - 1).cast("int")).between(0xD800, 0xDBFF)
+    until = F.when(inside, index - 1).otherwise(index)
+    return F.octet_length(F.decode(F.substring(units, F.lit(1), (2 * until).cast("int")), "UTF-16BE"))
+
+
+def utf16_index(text: Column, offset: Column) -> Column:
+    """UTF-16 index of a byte offset that begins a character of a text."""
+    return (F.octet_length(F.encode(F.decode(F.substring(text.cast("binary"), F.lit(1), offset.cast("int")), "UTF-8"), "UTF-16BE")) / 2).cast("int")
+
+
+def path_key(path: Column) -> Column:
+    """The bytes of a path as lower-case hexadecimal: a key in byte order."""
+    return F.lower(F.hex(path.cast("binary")))
+
+
+def json_string(text: Column) -> Column:
+    return F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2)
+
+
+def path_json(path: Column) -> Column:
+    """A path of bytes as JSON: a string where it is valid UTF-8, else its bytes marked as such."""
+    raw = path.cast("binary")
+    return F.when(F.is_valid_utf8(raw.cast("string")), json_string(raw.cast("string"))).otherwise(F.concat(F.lit('{"bytes":"'), path_key(path), F.lit('"}')))
+
+
+def canonical_json(**values: Column) -> Column:
+    """An object as JSON without spaces, its keys in byte order; absent values are null."""
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(values[k], F.lit("null"))) for k in sorted(values, key=str.encode)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def json_valid(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
+#: Codes of findings in their order: the numbered conditions, then the reasons of refusals (fixed values).
+CODES = (
+    "missing-id", "invalid-structural-id", "duplicate-id", "invalid-segment-or-tag", "unknown-dependency", "unknown-text-target", "unknown-ts-reference", "invalid-argument", "cycle", "stale-output", "cross-module-text",
+    "policy-violation", "journal-error", "configuration-error", "invalid-import", "invalid-construct", "invalid-prop", "unsupported-node-usage", "invalid-source-path", "unparseable-source", "corrupt-session",
+    "obstructed-write-path", "unreadable-record", "write-failure", "read-failure", "workspace-busy",
+    "refused-invalid-id", "refused-identity-unchanged", "refused-id-collision", "refused-structural-parent", "refused-cycle", "refused-destination-exists", "refused-missing-target-parent", "refused-invalid-destination",
+    "refused-exposed-derived-file", "refused-invalid-rewrite", "refused-moved-import",
+)
+#: Codes that end a command as wrongly used (fixed values).
+USAGE = ("configuration-error", "write-failure", "read-failure", "workspace-busy")
+
+
+def code_ordinal(code: Column) -> Column:
+    """Rank of a finding's code from 0; a finding without one comes last."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, CODES)), code) - 1, F.lit(len(CODES))).cast("int")
+
+
+def exit_class(code: Column) -> Column:
+    return F.when(code.isin(*USAGE), 2).otherwise(1)
+
+
 def doc_comment(text: Column, limit: int = 1000) -> Column:
     """Text cut to ``limit`` code points, with an ellipsis if cut, safe inside a block comment."""
     cut = F.concat(F.substring(text, 1, limit), F.when(F.length(text) > limit, F.lit("…")).otherwise(F.lit("")))

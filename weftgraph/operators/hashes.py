@@ -1,40 +1,66 @@
-"""Own, subtree, effective and metadata hashes, of identities that are already canonical."""
+"""Own, subtree, effective and metadata hashes, of identities that are already canonical.
+
+``changes`` gives nodes their canonical identities first, so the position that
+goes with each is constant here.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.scalars import digest, digest_all, frame, frame_all
+from weftgraph.functions.scalars import digest, digest_all, frame, frame_all, joined
 from weftgraph.operators import graph
 
 START = "0"  # journal position of an identity that no entry ends
 
 
-def _children(nodes: DataFrame) -> DataFrame:
-    """(identity, children): identities in document order."""
-    kids = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("identity"))
-    return kids.agg(F.array_sort(F.collect_list(F.struct("doc_ord", F.col("identity").alias("child")))).alias("children"))
+def plain_parts(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Parts of nodes whose content is not known any closer: the text, then what is embedded by identity, then the children in order, an empty run after each."""
+    ord = lambda kind, place, name, half: F.struct(F.lit(kind).alias("a"), place.cast("long").alias("b"), name.cast("string").alias("c"), F.lit(half).alias("d")).alias("ord")
+    run = nodes.select("identity", ord(0, F.lit(0), F.lit(""), 0), F.lit("run").alias("kind"), F.coalesce("own_text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("target"))
+    kids = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("identity"), F.lit("child").alias("kind"), F.col("doc_ord").alias("place"), F.col("identity").alias("name"))
+    if edges is not None:
+        embeds = edges.filter("kind = 'embeds'").join(nodes.select(F.col("identity").alias("source")), "source", "left_semi")
+        kids = kids.unionByName(embeds.select(F.col("source").alias("identity"), F.lit("embed").alias("kind"), F.lit(0).cast("long").alias("place"), F.col("target").alias("name")))
+    at = F.when(F.col("kind") == "embed", 1).otherwise(2)
+    both = lambda half, kind, text, target: F.struct(F.struct(at.alias("a"), F.col("place").alias("b"), F.col("name").alias("c"), F.lit(half).alias("d")).alias("ord"), kind.alias("kind"), text.cast("string").alias("text"), target.cast("string").alias("target"))
+    pair = F.explode(F.array(both(0, F.col("kind"), F.lit(None), F.col("name")), both(1, F.lit("run"), F.lit(""), F.lit(None)))).alias("p")
+    return run.unionByName(kids.select("identity", pair).select("identity", "p.*"))
+
+
+def own_hash(nodes: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(identity, own_hash): runs, children and embeddings in order; an embedding without a target counts as such."""
+    parts = plain_parts(nodes) if parts is None else parts
+    reference = F.concat(frame(F.col("kind")), frame(F.col("target")), frame(F.lit(START)))
+    piece = F.when(F.col("kind") == "run", F.concat(frame(F.lit("run")), frame(F.coalesce("text", F.lit(""))))).when(F.col("target").isNull(), frame(F.lit("embed-unresolved"))).otherwise(reference)
+    whole = parts.select("identity", F.struct("ord", piece.alias("piece")).alias("p")).groupBy("identity").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return nodes.select("identity").join(whole, "identity", "left").select(
+        "identity", F.sha2(F.concat(frame(F.lit("own")), joined(F.transform(F.coalesce("p", F.array().cast(whole.schema["p"].dataType)), lambda x: x["piece"]))), 256).alias("own_hash")
+    )
+
+
+def own_text(parts: DataFrame) -> DataFrame:
+    """(identity, text): a node's runs joined where its children and embeddings were."""
+    runs = parts.filter("kind = 'run'").groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("runs"))
+    return runs.select("identity", F.array_join(F.transform("runs", lambda r: F.coalesce(r["text"], F.lit(""))), "").alias("text"))
 
 
-def own_hash(nodes: DataFrame) -> DataFrame:
-    """(identity, own_hash): the text before the first child, then each child by identity and an empty run after it."""
-    every = nodes.join(_children(nodes), "identity", "left")
-    kids = F.coalesce("children", F.array().cast("array<struct<doc_ord:bigint,child:string>>"))
-    parts = F.flatten(F.transform(kids, lambda c: F.array(F.lit("child"), c["child"], F.lit(START), F.lit("run"), F.lit(""))))
-    first = F.concat(frame(F.lit("own")), frame(F.lit("run")), frame(F.coalesce("own_text", F.lit(""))))
-    return every.select("identity", F.sha2(F.concat(first, frame_all(parts)), 256).alias("own_hash"))
+def own_content(parts: DataFrame) -> DataFrame:
+    """(identity, content): the parts of a node in order, as an array of (kind, text, target)."""
+    every = parts.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "text", "target"))).alias("p"))
+    return every.select("identity", F.transform("p", lambda x: x.dropFields("ord")).alias("content"))
 
 
-def subtree_hash(nodes: DataFrame) -> DataFrame:
+def subtree_hash(nodes: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(identity, subtree_hash), bottom up by level of the id tree."""
     needs = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("identity"), F.col("identity").alias("need"), "doc_ord")
     rank = lambda found: F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["doc_ord"], x["value"]))), lambda x: x["value"])
     combine = lambda due: due.select("identity", F.sha2(F.concat(frame(F.lit("subtree")), frame(F.col("own_hash")), frame_all(rank("found"))), 256).alias("value"))
-    return graph.evaluate(own_hash(nodes), needs, combine).withColumnRenamed("value", "subtree_hash")
+    return graph.evaluate(own_hash(nodes, parts), needs, combine).withColumnRenamed("value", "subtree_hash")
 
 
-def effective_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def effective_hash(nodes: DataFrame, edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(identity, effective_hash) over the tree and the dependency edges among requirement nodes; one pair for each edge."""
     tree = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("identity"), F.col("identity").alias("need"), "doc_ord", F.lit(True).alias("child"))
     deps = edges.filter(F.col("kind").isin("depends", "embeds")).join(nodes.select(F.col("identity").alias("source")), "source", "left_semi")
@@ -47,7 +73,7 @@ def effective_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         flat = F.flatten(F.transform(pairs, lambda x: F.array(x["name"], F.lit(START), x["value"])))
         return due.select("identity", digest(F.lit("effective"), F.col("own_hash"), digest_all(F.transform(kids, lambda x: x["value"])), digest_all(flat)).alias("value"))
 
-    return graph.evaluate(own_hash(nodes), needs, combine).withColumnRenamed("value", "effective_hash")
+    return graph.evaluate(own_hash(nodes, plain_parts(nodes, edges) if parts is None else parts), needs, combine).withColumnRenamed("value", "effective_hash")
 
 
 def metadata_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -18,24 +18,37 @@ def lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(id, F.posexplode(split_lines(F.col(text)))).select(id, (F.col("pos") + 1).cast("long").alias("line_no"), F.col("col").alias("line"))
 
 
-def compiled(pieces: DataFrame) -> DataFrame:
-    """(doc, text): lines in order, without those that removals left empty.
-
-    A piece of content is cut at its terminators; a construct belongs whole to
-    the line it starts on, and one that spans lines merges them.
-    """
+def _lines_left(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts of pieces (doc, ord, k, line, kind, shown), and the lines (doc, line, left) that stay."""
     cut = F.when(F.col("kind") == "content", split_lines(F.col("text"))).otherwise(F.array("text"))
     parts = pieces.select("doc", "ord", "kind", "expansion", F.posexplode(cut).alias("k", "part"))
     order = Window.partitionBy("doc").orderBy("ord", "k")
     ends = (F.col("kind") == "content") & F.col("part").rlike(r"(?:\r\n|\n|\r)\z")
     placed = parts.withColumn("line", F.coalesce(F.sum(ends.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    shown = F.when(F.col("kind") == "content", F.col("part")).when(F.col("kind") == "embedding", F.coalesce("expansion", F.lit(""))).otherwise(F.lit(""))
+    show = F.when(F.col("kind") == "content", F.col("part")).when(F.col("kind") == "embedding", F.coalesce("expansion", F.lit(""))).otherwise(F.lit(""))
+    placed = placed.withColumn("shown", show)
     per = placed.groupBy("doc", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "k", shown.alias("s")))), lambda x: x["s"]), "").alias("left"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "k", "shown"))), lambda x: x["shown"]), "").alias("left"),
         F.bool_or(F.col("kind") != "content").alias("cut"),
         F.bool_or((F.col("kind") == "embedding") & (F.coalesce("expansion", F.lit("")) != "")).alias("expanded"),
     )
-    kept = per.filter(~(F.col("cut") & ~F.col("expanded") & whitespace_only(F.col("left"))))
+    return placed, per.filter(~(F.col("cut") & ~F.col("expanded") & whitespace_only(F.col("left")))).select("doc", "line", "left")
+
+
+def shown(pieces: DataFrame) -> DataFrame:
+    """(doc, ord, k, text): what is left of each part of a content piece, cut at its terminators; nothing of lines that are dropped."""
+    placed, kept = _lines_left(pieces)
+    own = placed.filter("kind = 'content'").join(kept.select("doc", "line", F.lit(True).alias("stays")), ["doc", "line"], "left")
+    return own.select("doc", "ord", "k", F.when(F.col("stays"), F.col("shown")).otherwise(F.lit("")).alias("text"))
+
+
+def compiled(pieces: DataFrame) -> DataFrame:
+    """(doc, text): lines in order, without those that removals left empty.
+
+    A piece of content is cut at its terminators; a construct belongs whole to
+    the line it starts on, and one that spans lines merges them.
+    """
+    _, kept = _lines_left(pieces)
     joined = kept.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "left"))), lambda x: x["left"]), "").alias("text"))
     return pieces.select("doc").distinct().join(joined, "doc", "left").select("doc", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -56,6 +69,14 @@ def innermost(spans: DataFrame, offsets: DataFrame) -> DataFrame:
     return inside.groupBy("path", "offset").agg(F.max_by("identity", "depth").alias("identity"))
 
 
+def at(spans: DataFrame, occurrences: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(path, offset, identity, occurrence): the innermost span of each offset, and the occurrence (file, start, end, kind, target) that holds it, if one does; of several the shortest."""
+    asked = offsets.withColumnRenamed("path", "file")
+    hit = asked.join(occurrences.select("file", "start", "end", "kind", "target"), "file").filter((F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end")))
+    least = hit.groupBy(F.col("file").alias("path"), "offset").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("n"), "start", "end", "kind", "target")).alias("o"))
+    return innermost(spans, offsets).join(least, ["path", "offset"], "left").select("path", "offset", "identity", F.col("o").dropFields("n").alias("occurrence"))
+
+
 def apply_edits(texts: DataFrame, edits: DataFrame) -> DataFrame:
     """Texts (id, text) with non-overlapping edits (id, start, end, replacement) in code points, in place."""
     given = edits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))

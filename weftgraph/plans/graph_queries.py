@@ -9,6 +9,7 @@ from weftgraph.functions import globs, scalars
 from weftgraph.operators import coverage as cover
 from weftgraph.operators import availability, graph, hashes, mutations, policy, text, validation
 from weftgraph.plans.twins import twin
+from weftgraph.schema import checkpoint
 from weftgraph.sources import tables
 from weftgraph.sources.tables import project
 
@@ -293,17 +294,35 @@ def _frames(*xs: str) -> str:
     return " || ".join(map(_frame, xs))
 
 
+PIECES = f"""
+  SELECT identity, 0 AS c, CAST(0 AS BIGINT) AS place, '' AS name, own_text AS text, {_frames("'run'", "own_text")} AS part FROM nodes
+  UNION ALL SELECT source, 1, 0, target, '/', {_frames("'embed'", "target", "'0'", "'run'", "'/'")} FROM edges WHERE kind = 'embeds' AND source NOT LIKE 'orders/%'
+  UNION ALL SELECT parent, 2, doc_ord, identity, coalesce(tags[1], ''), {_frames("'child'", "identity", "'0'", "'run'", "coalesce(tags[1], '')")} FROM nodes WHERE parent IS NOT NULL"""
 OWN = f"""
-  SELECT n.identity, n.parent, n.doc_ord, n.path, n.tags, n.coverage, sha256(unhex(string_agg(part, '' ORDER BY ord))) AS own_hash FROM (
-    SELECT identity, -2 AS ord, hex({_frames("'own'", "'run'", "own_text")}) AS part FROM nodes
-    UNION ALL SELECT parent, doc_ord, hex({_frames("'child'", "identity", "'0'", "'run'", "''")}) FROM nodes WHERE parent IS NOT NULL
-  ) p JOIN nodes n ON p.identity = n.identity GROUP BY ALL"""
-OWN = OWN.replace("GROUP BY ALL", "GROUP BY n.identity, n.parent, n.doc_ord, n.path, n.tags, n.coverage")
+  SELECT n.identity, n.parent, n.doc_ord, n.path, n.tags, n.coverage, p.own_hash FROM nodes n JOIN (
+    SELECT identity, sha256(unhex(hex({_frame("'own'")}) || string_agg(hex(part), '' ORDER BY c, place, name))) AS own_hash FROM pieces GROUP BY identity
+  ) p ON p.identity = n.identity"""
 
 
-@query(twin("SELECT identity, own_hash FROM own", "nodes", own=OWN))
+def _content(spark, sf_dir) -> tuple:
+    """The projected documents' workspace, and their content."""
+    work = project(spark, sf_dir, code=False)
+    nodes, edges = checkpoint(work.nodes), checkpoint(work.edges)
+    return nodes, edges, tables.parts(nodes, edges)
+
+
+@query(twin("SELECT identity, own_hash FROM own", "edges", pieces=PIECES, own=OWN))
 def own_hash(spark, sf_dir):
-    return hashes.own_hash(tables.nodes(spark, sf_dir))
+    """Of documents' nodes; code has no hash."""
+    nodes, _, parts = _content(spark, sf_dir)
+    return hashes.own_hash(nodes, parts)
+
+
+@query(twin("SELECT identity, count(*) AS n_parts, sha256(string_agg(text, '|' ORDER BY c, place, name)) AS runs FROM pieces GROUP BY identity", "edges", pieces=PIECES))
+def own_content(spark, sf_dir):
+    found = hashes.own_content(_content(spark, sf_dir)[2])
+    runs = F.transform(F.filter("content", lambda x: x["kind"] == "run"), lambda x: x["text"])
+    return found.select("identity", F.size(F.filter("content", lambda x: x["kind"] == "run")).cast("long").alias("n_parts"), F.sha2(F.array_join(runs, "|"), 256).alias("runs"))
 
 
 def _level(prefix: str, below: str) -> str:
@@ -313,9 +332,10 @@ def _level(prefix: str, below: str) -> str:
 NO_BELOW = "(SELECT '' AS parent, '' AS h, 0 AS doc_ord WHERE FALSE)"
 
 
-@query(twin("SELECT identity, h AS subtree_hash FROM l2", "nodes", own=OWN, l0=_level("subtree", NO_BELOW), l1=_level("subtree", "l0"), l2=_level("subtree", "l1")))
+@query(twin("SELECT identity, h AS subtree_hash FROM l2", "edges", pieces=PIECES, own=OWN, l0=_level("subtree", NO_BELOW), l1=_level("subtree", "l0"), l2=_level("subtree", "l1")))
 def subtree_hash(spark, sf_dir):
-    return hashes.subtree_hash(tables.nodes(spark, sf_dir))
+    nodes, _, parts = _content(spark, sf_dir)
+    return hashes.subtree_hash(nodes, parts)
 
 
 def _effective(below: str) -> str:
@@ -325,11 +345,10 @@ def _effective(below: str) -> str:
     return f"SELECT o.identity, o.parent, o.doc_ord, sha256({_frames(chr(39) + 'effective' + chr(39), 'o.own_hash', digest('k'), digest('p'))}) AS h FROM own o LEFT JOIN ({kids}) USING (identity) LEFT JOIN ({pairs}) USING (identity)"
 
 
-@query(twin("SELECT identity, h AS effective_hash FROM e4", "edges", own=OWN, deps="SELECT source, target FROM edges WHERE kind IN ('depends', 'embeds') AND source NOT LIKE 'orders/%'",
+@query(twin("SELECT identity, h AS effective_hash FROM e4", "edges", pieces=PIECES, own=OWN, deps="SELECT source, target FROM edges WHERE kind IN ('depends', 'embeds') AND source NOT LIKE 'orders/%'",
     e00="SELECT identity, parent, doc_ord, '' AS h FROM own", e0=_effective("e00"), e1=_effective("e0"), e2=_effective("e1"), e3=_effective("e2"), e4=_effective("e3")))
 def effective_hash(spark, sf_dir):
-    work = project(spark, sf_dir, code=False)
-    return hashes.effective_hash(work.nodes, work.edges)
+    return hashes.effective_hash(*_content(spark, sf_dir))
 
 
 META = f"""
@@ -461,9 +480,9 @@ def rename_edges(spark, sf_dir):
     return text.rename(work.nodes, work.edges.filter("kind IN ('contains', 'depends')"), "geo/ASIA.mdx", "n12", "moved")[2]
 
 
-@query(twin("SELECT identity, own_text AS text FROM nodes", "nodes"))
+@query(twin("SELECT identity, string_agg(text, '' ORDER BY c, place, name) AS text FROM pieces GROUP BY identity", "edges", pieces=PIECES))
 def own_text(spark, sf_dir):
-    return tables.nodes(spark, sf_dir).select("identity", F.col("own_text").alias("text"))
+    return hashes.own_text(_content(spark, sf_dir)[2])
 
 
 @query(twin("SELECT path, len(list(identity)) AS n, list(identity ORDER BY doc_ord, identity)[2] AS second FROM nodes GROUP BY path HAVING count(*) > 1", "nodes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -32,28 +33,39 @@ OCCURRENCES = T.StructType([
     T.StructField("target", T.StringType(), False),
 ])
 
+#: A node's content: runs of text, and between them its children and embeddings; it begins and ends with a run. ``ord`` is of any type that orders.
+PART_KINDS = ("run", "child", "embed")
+
 #: Dependency kinds, in their fixed order.
 DEPENDENCY_KINDS = ("depends", "embeds", "references")
 
 
 @dataclass(frozen=True)
 class Workspace:
-    """nodes: REQUIREMENTS, locations: LOCATIONS, edges: EDGES as a set, occurrences: OCCURRENCES as a bag."""
+    """nodes: REQUIREMENTS, locations: LOCATIONS, edges: EDGES as a set, occurrences: OCCURRENCES as a bag.
+
+    parts: (identity, ord, kind, text, target), see PART_KINDS; without them,
+    a node's text comes first, then what it embeds, then its children.
+    """
 
     nodes: DataFrame
     locations: DataFrame
     edges: DataFrame
     occurrences: DataFrame
+    parts: DataFrame | None = None
 
 
 _written: list[tuple[DataFrame, str]] = []
 
 
 def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where none is set, as on one machine."""
+    """``spark.checkpoint.dir``, or a temporary folder where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weft-graph-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-graph-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import globs, scalars
 from weftgraph.operators import graph
+from weftgraph.operators import text as text_of
 from weftgraph.schema import Workspace, checkpoint
 
 TOKEN = re.compile(
@@ -165,11 +166,13 @@ def scan(spark: SparkSession, root: str, spec_groups: dict[str, list[str]], code
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = posixpath.normpath(re.sub(r"^\w+:/*", "/", root)) + "/"
     own = read.select(F.substring_index("path", prefix, -1).alias("path"), F.col("content").alias("bytes"))
-    parts = []
+    kinds = []
     for kind, groups in (("spec", spec_groups), ("code", code_groups)):
         named = F.array_compact(F.array(*[F.when(globs.matches_any(F.col("path"), g), F.lit(n)) for n, g in groups.items()])) if groups else F.array().cast("array<string>")
-        parts.append(own.select("path", F.lit(kind).alias("kind"), F.array_sort(named).alias("groups"), "bytes").filter(F.size("groups") > 0))
-    return parts[0].unionByName(parts[1]).filter(~F.contains("path", F.lit(marker)))
+        kinds.append(F.struct(F.lit(kind).alias("kind"), F.array_sort(named).alias("groups")))
+    derived = F.col("path").rlike(rf"{re.escape(marker)}(?:[./]|$)")  # the marker ends a part of the name: my.genes.mdx is a source
+    claimed = F.filter(F.array(*kinds), lambda x: F.size(x["groups"]) > 0)
+    return own.filter(~derived).select("path", F.explode(claimed).alias("k"), "bytes").select("path", "k.kind", "k.groups", "bytes")
 
 
 def parse(sources: DataFrame) -> DataFrame:
@@ -194,7 +197,9 @@ def load(sources: DataFrame) -> tuple[Workspace, DataFrame, DataFrame]:
     identity = F.when(F.col("id").isNull(), F.col("path")).otherwise(F.concat("path", F.lit("#"), "id"))
     named = section.withColumn("identity", identity)
     above = named.select("path", F.col("ord").alias("parent"), F.col("identity").alias("up"))
-    text = rows.filter("row = 'piece' AND code = 'content'").groupBy("path", F.col("parent").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("own_text"))
+    pieces = rows.filter("row = 'piece'").select(F.col("path").alias("doc"), "ord", F.col("code").alias("kind"), "text", F.lit(None).cast("string").alias("expansion"))
+    runs, events = _runs(rows, named, pieces)
+    text = runs.groupBy("path", F.col("parent").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("own_text"))
     nodes = named.join(above, ["path", "parent"], "left").join(text, ["path", "ord"], "left").select(
         "identity", "path", "id", F.col("parent").isNull().alias("is_root"), F.col("up").alias("parent"),
         F.when(F.col("id").isNull(), 0).otherwise(F.size(F.split("id", r"\."))).alias("depth"), (F.col("ord") - 1).cast("long").alias("doc_ord"), "coverage", "tags", F.coalesce("own_text", F.lit("")).alias("own_text"),
@@ -220,8 +225,31 @@ def load(sources: DataFrame) -> tuple[Workspace, DataFrame, DataFrame]:
     contains = nodes.filter("parent IS NOT NULL").select(F.lit("contains").alias("kind"), F.col("parent").alias("source"), F.col("identity").alias("target"))
     edges = graph.edge_set(contains.unionByName(found.select("kind", "source", "target")))
     bag = found.select(F.col("path").alias("file"), F.col("start").cast("long"), F.col("end").cast("long"), "kind", "source", "target")
-    pieces = rows.filter("row = 'piece'").select(F.col("path").alias("doc"), "ord", F.col("code").alias("kind"), "text", F.lit(None).cast("string").alias("expansion"))
-    return Workspace(nodes, places, edges, bag), pieces, findings
+    owner = named.select("path", F.col("ord").alias("parent"), "identity")
+    embedded = found.filter("kind = 'embeds'").select("path", "start", F.col("target").alias("embeds"))
+    event = events.join(embedded, ["path", "start"], "left").select("path", "parent", (2 * F.col("n") - 1).alias("ord"), "kind", F.lit(None).cast("string").alias("text"), F.coalesce("child", "embeds").alias("target"))
+    parts = runs.select("path", "parent", (2 * F.col("n")).alias("ord"), F.lit("run").alias("kind"), "text", F.lit(None).cast("string").alias("target")).unionByName(event)
+    parts = checkpoint(parts.join(owner, ["path", "parent"]).select("identity", "ord", "kind", "text", "target"))
+    return Workspace(nodes, places, edges, bag, parts), pieces, findings
+
+
+def _runs(rows: DataFrame, named: DataFrame, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs (path, parent, n, text) of each section, from 0, and its children and embeddings (path, parent, n, start, kind, child), the n-th after run n - 1.
+
+    Embeddings are not expanded here, and hold their line as any content does.
+    """
+    where = rows.filter("row = 'piece'").select(F.col("path").alias("doc"), "ord", "parent", "start")
+    left = text_of.shown(pieces.withColumn("expansion", F.when(F.col("kind") == "embedding", "x")))
+    content = left.join(where, ["doc", "ord"]).select(F.col("doc").alias("path"), "parent", "start", "k", F.lit(0).alias("event"), F.lit(None).cast("string").alias("kind"), "text", F.lit(None).cast("string").alias("child"))
+    kids = named.filter("parent IS NOT NULL").select("path", "parent", "start", F.lit("child").alias("kind"), F.col("identity").alias("child"))
+    embeds = rows.filter("row = 'piece' AND code = 'embedding'").select("path", "parent", "start", F.lit("embed").alias("kind"), F.lit(None).cast("string").alias("child"))
+    marks = kids.unionByName(embeds).select("path", "parent", "start", F.lit(0).alias("k"), F.lit(1).alias("event"), "kind", F.lit(None).cast("string").alias("text"), "child")
+    order = Window.partitionBy("path", "parent").orderBy("start", "event", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = checkpoint(content.unionByName(marks).withColumn("n", F.sum("event").over(order)))
+    events = laid.filter("event = 1").select("path", "parent", "n", "start", "kind", "child")
+    texts = laid.filter("event = 0").groupBy("path", "parent", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "k", "text"))), lambda x: x["text"]), "").alias("text"))
+    every = named.select("path", F.col("ord").alias("parent"), F.lit(0).cast("long").alias("n")).unionByName(events.select("path", "parent", F.col("n").cast("long")))
+    return every.join(texts, ["path", "parent", "n"], "left").select("path", "parent", "n", F.coalesce("text", F.lit("")).alias("text")), events
 
 
 def save(work: Workspace, folder: str) -> None:

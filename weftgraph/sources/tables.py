@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators import hashes
 from weftgraph.schema import Workspace
 
 FAR = 1_000_000_000
@@ -124,6 +125,15 @@ def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("identity", both.alias("e")).select("e.kind", F.col("identity").alias("source"), "e.target")
 
 
+def parts(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
+    """Content of the projected documents: after a child its first tag, after an embedding a slash."""
+    plain = hashes.plain_parts(nodes_, edges)
+    tags = nodes_.select(F.col("identity").alias("name"), F.get("tags", F.lit(0)).alias("tag")).filter("tag IS NOT NULL")
+    after = plain.withColumn("name", F.when((F.col("kind") == "run") & (F.col("ord.a") == 2), F.col("ord.c"))).join(tags, "name", "left")
+    text = F.when((F.col("kind") == "run") & (F.col("ord.a") == 1), F.lit("/")).otherwise(F.coalesce("tag", "text"))
+    return after.select("identity", "ord", "kind", text.alias("text"), "target")
+
+
 def contains(nodes_: DataFrame) -> DataFrame:
     return nodes_.filter("parent IS NOT NULL").select(F.lit("contains").alias("kind"), F.col("parent").alias("source"), F.col("identity").alias("target"))
 
