@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import graph, hashes
+from weftgraph.operators import journal as log
 from weftgraph.schema import Workspace, checkpoint
 
 
 def _side(work: Workspace, counts: DataFrame, suffix: str) -> DataFrame:
     deps = counts.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("target", "n"))).alias("deps"))
-    every = work.nodes.select("identity", "parent").join(hashes.own_hash(work.nodes), "identity").join(hashes.metadata_hash(work.nodes, work.edges), "identity")
+    parts = hashes.plain_parts(work.nodes, work.edges) if work.parts is None else work.parts
+    every = work.nodes.select("identity", "parent").join(hashes.own_hash(work.nodes, parts), "identity").join(hashes.metadata_hash(work.nodes, work.edges), "identity")
     every = every.join(deps, "identity", "left").withColumn("deps", F.sha2(F.to_json("deps"), 256))
     return every.select("identity", *[F.col(c).alias(f"{c}_{suffix}") for c in ("parent", "own_hash", "metadata_hash", "deps")])
 
@@ -51,6 +53,8 @@ class Analysis:
     now: Workspace
     records: DataFrame
     known: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
+    #: With a journal: (identity, name, before) of every node, its key here, its name now, and whether that is of the baseline only.
+    names: DataFrame | None = None
 
     def both(self) -> DataFrame:
         return self.records.filter("presence = 'both'").select("identity")
@@ -68,15 +72,63 @@ def once(fn: Callable[[Analysis], DataFrame]) -> Callable[[Analysis], DataFrame]
     return run
 
 
-def analyse(before: Workspace, now: Workspace) -> Analysis:
+def rekeyed(work: Workspace, keys: DataFrame) -> Workspace:
+    """The workspace with other identities of its requirement nodes; keys: (identity, key)."""
+
+    def renamed(frame: DataFrame, *columns: str) -> DataFrame:
+        out = frame
+        for c in columns:
+            out = out.join(keys.select(F.col("identity").alias(c), "key"), c, "left").withColumn(c, F.coalesce("key", c)).drop("key")
+        return out.select(*frame.columns)
+
+    parts = hashes.plain_parts(work.nodes, work.edges) if work.parts is None else work.parts
+    return Workspace(checkpoint(renamed(work.nodes, "identity", "parent")), work.locations, checkpoint(renamed(work.edges, "source", "target")), work.occurrences, checkpoint(renamed(parts, "identity", "target")))
+
+
+def analyse(before: Workspace, now: Workspace, journal: DataFrame | None = None, length: int = 0) -> Analysis:
+    """Compare two versions. With a journal (seq, from, to), of which the baseline knows the first ``length`` entries, nodes are matched by canonical identity.
+
+    Then ``identity`` everywhere is the canonical one, with its position if some
+    entry ended it; ``named`` gives the names of now back.
+    """
+    known, names = {}, None
+    if journal is not None:
+        keys = []
+        for work, n in ((before, length), (now, None)):
+            found = log.canonical(work.nodes.select("identity"), journal, n)
+            keys.append(checkpoint(found.select("identity", F.when(F.col("position") == 0, F.col("canonical")).otherwise(F.concat_ws("\0", "canonical", "position")).alias("key"))))
+        up = [graph.ancestors(w.nodes).select("identity", "ancestor", "distance") for w in (before, now)]
+        for name, rows, key in zip(("above before", "above now"), up, keys, strict=True):
+            low, high = (key.select(F.col("identity").alias(c), F.col("key").alias(k)) for c, k in (("identity", "low"), ("ancestor", "high")))
+            known[name] = checkpoint(rows.join(low, "identity").join(high, "ancestor").select(F.col("low").alias("identity"), F.col("high").alias("ancestor"), "distance"))
+        gone = keys[0].join(keys[1].select("key"), "key", "left_anti")
+        gone = gone.join(log.map_forward(gone.select("identity"), journal, length), "identity").select(F.col("key").alias("identity"), F.col("now").alias("name"), F.lit(True).alias("before"))
+        names = checkpoint(keys[1].select(F.col("key").alias("identity"), F.col("identity").alias("name"), F.lit(False).alias("before")).unionByName(gone))
+        before, now = rekeyed(before, keys[0]), rekeyed(now, keys[1])
     counts = tuple(checkpoint(dependency_counts(w)) for w in (before, now))
-    return Analysis(before, now, checkpoint(matched(before, now, counts)), dict(zip(("counts before", "counts now"), counts, strict=True)))
+    known |= dict(zip(("counts before", "counts now"), counts, strict=True))
+    return Analysis(before, now, checkpoint(matched(before, now, counts)), known, names)
+
+
+def named(analysis: Analysis, rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with the nodes' names of now in some columns; a deleted node has the name that the journal gives its old one."""
+    if analysis.names is None:
+        return rows
+    out = rows
+    for c in columns:
+        out = out.join(analysis.names.select(F.col("identity").alias(c), "name"), c, "left").withColumn(c, F.coalesce("name", c)).drop("name")
+    return out.select(*rows.columns)
+
+
+def ancestors_of(analysis: Analysis, side: str) -> DataFrame:
+    """(identity, ancestor, distance) of one version, "before" or "now"."""
+    return analysis.known[f"above {side}"] if f"above {side}" in analysis.known else graph.ancestors(getattr(analysis, side).nodes)
 
 
 @once
 def above(analysis: Analysis) -> DataFrame:
     """(identity, ancestor) on either side."""
-    up = [graph.ancestors(w.nodes).select("identity", "ancestor") for w in (analysis.before, analysis.now)]
+    up = [ancestors_of(analysis, side).select("identity", "ancestor") for side in ("before", "now")]
     return up[0].unionByName(up[1])
 
 
@@ -232,3 +284,19 @@ def collapsed(analysis: Analysis) -> DataFrame:
             break
         head = now
     return head.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "identity"))), lambda x: x["identity"]).alias("nodes"))
+
+
+def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the first one in an order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*").select(*rows.columns)
+
+
+def impact_report(analysis: Analysis) -> DataFrame:
+    """(section, category, identity, kind, path, causes): requirement nodes by category, chains as their heads, then impacted code with its witness."""
+    found = categories(analysis)
+    chains = collapsed(analysis).select(F.explode("nodes").alias("identity"), "head").filter("identity <> head").select("identity")
+    chained = found.filter("category = 'descendant-changed'").join(chains, "identity", "left_semi").select("identity", "category")
+    nodes = found.join(chained, ["identity", "category"], "left_anti").select(F.lit("requirement").alias("section"), "category", "identity", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<string>").alias("path"), "causes")
+    code = impact_witness(analysis).select(F.lit("code").alias("section"), "category", F.col("source").alias("identity"), "kind", "path", F.lit(None).cast("array<string>").alias("causes"))
+    return nodes.unionByName(code)

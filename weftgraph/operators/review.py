@@ -33,8 +33,9 @@ def link_parent(analysis: changes.Analysis) -> DataFrame:
 @changes.once
 def _above(analysis: changes.Analysis) -> DataFrame:
     """(identity, ancestor, distance) by link parents, which follow the ids."""
-    nodes = analysis.now.nodes.unionByName(analysis.before.nodes.join(analysis.records.filter("presence = 'deleted'").select("identity"), "identity", "left_semi"))
-    return graph.ancestors(nodes)
+    deleted = analysis.records.filter("presence = 'deleted'").select("identity")
+    own = ("identity", "ancestor", "distance")
+    return changes.ancestors_of(analysis, "now").select(*own).unionByName(changes.ancestors_of(analysis, "before").select(*own).join(deleted, "identity", "left_semi").select(*own))
 
 
 @changes.once
@@ -57,7 +58,7 @@ def path_blocks(analysis: changes.Analysis) -> DataFrame:
     none = F.array().cast("array<string>")
     items = origin.join(chain, "scope", "left").select(F.lit(KINDS[0]).alias("kind"), "scope", F.coalesce("context", none).alias("context"), "origin")
     items = items.unionByName(_parent_items(up, seen, changed)).unionByName(_metadata_items(analysis)).unionByName(_dependency_items(analysis))
-    return items.unionByName(_code_items(analysis))
+    return items if analysis.now.locations is None else items.unionByName(_code_items(analysis))
 
 
 def branches(up: DataFrame, seen: DataFrame) -> DataFrame:

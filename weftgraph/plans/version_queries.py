@@ -30,6 +30,7 @@ def query(sql: str | None = None):
 #: Parts, by key modulo 997: 0 are new, 3 are gone, 7 and 11 have new text, 13 have other coverage.
 #: Customers whose key is 9, and suppliers whose key is 5, modulo 499 have new text.
 #: Customers whose key is 5 modulo 499 no longer depend on parts of even key.
+#: Parts whose key is 17 modulo 997 have their text behind what they embed, and those of 19 embed one supplier less.
 def _number(identity: str):
     return F.regexp_extract(identity, r"(\d+)$", 1).try_cast("long")
 
@@ -39,6 +40,8 @@ def versions(spark: SparkSession, sf_dir: str, code: bool = False) -> tuple[Work
     # both versions are made from one projection
     nodes, edges = checkpoint(work.nodes), checkpoint(work.edges.filter("kind <> 'contains'"))
     places = checkpoint(work.locations) if code else None
+    supplied = edges.filter(F.startswith("source", F.lit("parts/")) & (F.col("kind") == "embeds") & (_number("source") % 997 == 19))
+    dropped = checkpoint(supplied.groupBy("source").agg(F.min("target").alias("target")).withColumn("kind", F.lit("embeds")))
     is_part = F.startswith("path", F.lit("parts/")) & ~F.col("is_root")
     rest = F.when(is_part, _number("identity") % 997)
     before = nodes.filter(rest.isNull() | (rest != 0))
@@ -51,9 +54,15 @@ def versions(spark: SparkSession, sf_dir: str, code: bool = False) -> tuple[Work
     gone = lambda end, k: F.startswith(end, F.lit("parts/")) & (_number(end) % 997 == k)
     side = lambda n, k, extra: n_edges(n).unionByName(edges.filter(~(gone("source", k) | gone("target", k) | extra)))
     n_edges = tables.contains
+    edges_b, edges_c = side(before, 0, F.lit(False)), side(now, 3, lost).join(dropped, ["kind", "source", "target"], "left_anti")
+    parts = tables.parts(now, edges_c)
+    last = parts.groupBy("identity").agg(F.max("ord").alias("last"))
+    moved = F.startswith("identity", F.lit("parts/")) & F.contains("identity", F.lit("#")) & (_number("identity") % 997 == 17) & (F.col("last.a") > 0)
+    behind = F.when(F.col("ord.a") == 0, "").when(F.col("ord") == F.col("last"), F.concat("text", "own_text")).otherwise(F.col("text"))
+    parts = parts.join(last, "identity").join(now.select("identity", "own_text"), "identity").withColumn("text", F.when(moved, behind).otherwise(F.col("text"))).drop("last", "own_text")
     return (
-        Workspace(before, places, side(before, 0, F.lit(False)), work.occurrences),
-        Workspace(now, places, side(now, 3, lost), work.occurrences),
+        Workspace(before, places, edges_b, work.occurrences, tables.parts(before, edges_b)),
+        Workspace(now, places, edges_c, work.occurrences, parts),
     )
 
 
@@ -72,22 +81,23 @@ def _gone(end: str, k: int) -> str:
 
 def _side(n: str, e: str) -> str:
     return f"""
-      SELECT n.identity, n.parent, n.own_text, n.coverage, n.tags, k.kids, d.targets, d.deps FROM {n} n
+      SELECT n.identity, n.parent, n.own_text, n.coverage, n.tags, k.kids, d.targets, d.deps, d.emb FROM {n} n
       LEFT JOIN (SELECT parent AS identity, list(identity ORDER BY doc_ord) AS kids FROM {n} WHERE parent IS NOT NULL GROUP BY parent) k USING (identity)
-      LEFT JOIN (SELECT source AS identity, list(target ORDER BY target) FILTER (kind = 'depends') AS targets, list(target ORDER BY target) AS deps FROM {e} WHERE kind IN ('depends', 'embeds') GROUP BY source) d USING (identity)"""
+      LEFT JOIN (SELECT source AS identity, list(target ORDER BY target) FILTER (kind = 'depends') AS targets, list(target ORDER BY target) FILTER (kind = 'embeds') AS emb, list(target ORDER BY target) AS deps FROM {e} WHERE kind IN ('depends', 'embeds') GROUP BY source) d USING (identity)"""
 
 
+EDITED = f"(b.own_text IS DISTINCT FROM c.own_text OR b.kids IS DISTINCT FROM c.kids OR b.emb IS DISTINCT FROM c.emb OR (b.emb IS NOT NULL AND b.identity LIKE 'parts/%#%' AND {K.format('b.identity')} % 997 = 17))"
 VERSIONS = {
     "nb": f"SELECT * FROM nodes WHERE {REST} <> 0",
     "nc": f"""SELECT identity, path, id, is_root, parent, depth, doc_ord, CASE WHEN {REST} = 13 THEN CASE WHEN coverage = 'none' THEN 'required' ELSE 'none' END ELSE coverage END AS coverage, tags,
       CASE WHEN {REST} IN (7, 11) OR (path LIKE 'geo/%' AND depth = 2 AND {K.format('identity')} % 499 = 9) OR (path = 'sup.mdx' AND NOT is_root AND {K.format('identity')} % 499 = 5) THEN own_text || ' v2' ELSE own_text END AS own_text FROM nodes WHERE {REST} <> 3""",
     "eb": f"SELECT * FROM edges WHERE kind <> 'contains' AND NOT {_gone('source', 0)} AND NOT {_gone('target', 0)}",
-    "ec": f"SELECT * FROM edges WHERE kind <> 'contains' AND NOT {_gone('source', 3)} AND NOT {_gone('target', 3)} AND NOT (kind = 'depends' AND {K.format('source')} % 499 = 5 AND {K.format('target')} % 2 = 0)",
+    "ec": f"SELECT * FROM edges WHERE kind <> 'contains' AND NOT {_gone('source', 3)} AND NOT {_gone('target', 3)} AND NOT (kind = 'depends' AND {K.format('source')} % 499 = 5 AND {K.format('target')} % 2 = 0) AND NOT (kind = 'embeds' AND source LIKE 'parts/%' AND {K.format('source')} % 997 = 19 AND target = (SELECT min(x.target) FROM edges x WHERE x.kind = 'embeds' AND x.source = edges.source))",
     "sb": _side("nb", "eb"),
     "sc": _side("nc", "ec"),
-    "rec": """
+    "rec": f"""
       SELECT coalesce(b.identity, c.identity) AS identity, CASE WHEN b.identity IS NULL THEN 'added' WHEN c.identity IS NULL THEN 'deleted' ELSE 'both' END AS presence,
-        b.identity IS NULL OR c.identity IS NULL OR b.own_text IS DISTINCT FROM c.own_text OR b.kids IS DISTINCT FROM c.kids AS changed,
+        b.identity IS NULL OR c.identity IS NULL OR {EDITED} AS changed,
         b.identity IS NOT NULL AND c.identity IS NOT NULL AND (b.coverage IS DISTINCT FROM c.coverage OR b.tags IS DISTINCT FROM c.tags OR b.targets IS DISTINCT FROM c.targets) AS metadata_changed,
         b.identity IS NOT NULL AND c.identity IS NOT NULL AND b.deps IS DISTINCT FROM c.deps AS deps_changed, b.parent AS parent_before, c.parent AS parent_now
       FROM sb b FULL JOIN sc c ON b.identity = c.identity""",
@@ -259,13 +269,13 @@ def coverage_session_items(spark, sf_dir):
     return review.coverage_items(cover.coverage(_heavy(spark, sf_dir), PARTS))
 
 
-@query(vsql("""SELECT DISTINCT b.identity AS id FROM sb b LEFT JOIN sc c ON b.identity = c.identity WHERE c.identity IS NULL OR b.own_text IS DISTINCT FROM c.own_text OR b.kids IS DISTINCT FROM c.kids"""))
+@query(vsql("""SELECT DISTINCT b.identity AS id FROM sb b LEFT JOIN sc c ON b.identity = c.identity WHERE c.identity IS NULL OR """ + EDITED))
 def invalidated(spark, sf_dir):
     from weftgraph.operators import hashes
 
     before, now = versions(spark, sf_dir)
-    then = hashes.own_hash(before.nodes).select(F.col("identity").alias("id"), F.col("identity").alias("node"), F.lit("scope").alias("role"), F.col("own_hash").alias("hash"))
-    return review.invalidated(then, hashes.own_hash(now.nodes).select(F.col("identity").alias("node"), F.col("own_hash").alias("hash")))
+    then = hashes.own_hash(before.nodes, before.parts).select(F.col("identity").alias("id"), F.col("identity").alias("node"), F.lit("scope").alias("role"), F.col("own_hash").alias("hash"))
+    return review.invalidated(then, hashes.own_hash(now.nodes, now.parts).select(F.col("identity").alias("node"), F.col("own_hash").alias("hash")))
 
 
 @query(vsql("""SELECT CASE WHEN o.identity IS NULL THEN 'new' WHEN n.identity IS NULL THEN 'kept' ELSE 'matched' END AS state, count(*) AS n FROM nb o FULL JOIN nc n ON o.identity = n.identity GROUP BY 1"""))
