@@ -84,3 +84,22 @@ def matches_pair(source: Column, target: Column, from_pattern: str, to_pattern:
     right = translate(to_pattern, lambda n: rf"\{order.index(n) + 1}" if n in order else "[^/]+?")
     both = F.concat(bytewise(source), F.lit("\0"), bytewise(target))
     return both.rlike(rf"\A(?>{left}\x00){right}\z")
+
+
+def may_match_within(folder: Column, pattern: str) -> Column:
+    """Whether some path below a folder could match: its segments match the first ones of the glob, and one is left."""
+    segments = pattern.split("/")
+    if any(s in ("", ".", "..") for s in segments):
+        return F.lit(False)
+    inner = ""
+    for k, s in reversed(list(enumerate(segments))):
+        if s == "**":
+            inner = r"(?:(?!\.)[^/]+/)*" + (rf"(?:{inner})?" if inner else "")
+        elif k < len(segments) - 1:
+            inner = _segment(s, lambda _: "[^/]+?") + (rf"(?:{inner})?" if inner else "")
+    return bytewise(folder).rlike(rf"\A(?:{inner})?\z") & (F.octet_length(folder) > 0)
+
+
+def may_match_below_root(pattern: str) -> bool:
+    """Whether a glob could match any path at all."""
+    return translate(pattern) != NEVER

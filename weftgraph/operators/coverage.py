@@ -56,3 +56,9 @@ def coverage(work: Workspace, profile: Profile) -> DataFrame:
     status = F.when(F.size("reasons") > 0, "ignored").when(F.col("path_").isNotNull(), "covered").otherwise("uncovered")
     every = judged(work, profile).join(found.withColumnRenamed("path", "path_"), "identity", "left").withColumn("status", status)
     return every.select("identity", "status", F.when(F.col("status") == "covered", F.col("path_")).alias("path"), "reasons")
+
+
+def check(covered: DataFrame, name: str) -> DataFrame:
+    """(profile, required, uncovered, ignored, passed): the gate of one profile, which fails if a required node is uncovered."""
+    n = lambda *status: F.count_if(F.col("status").isin(*status))
+    return covered.agg(n("covered", "uncovered").alias("required"), n("uncovered").alias("uncovered"), n("ignored").alias("ignored")).select(F.lit(name).alias("profile"), "*", (F.col("uncovered") == 0).alias("passed"))

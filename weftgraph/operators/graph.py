@@ -146,39 +146,88 @@ def _label(edges: DataFrame) -> DataFrame:
         label = now
 
 
+def _strong(after: dict[str, list[str]]) -> list[list[str]]:
+    """Strongly connected components, by one depth-first search without recursion."""
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    path, on, out = [], set(), []
+    for root in after:
+        if root in number:
+            continue
+        work = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        path.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            following = next(rest, None)
+            if following is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    cut = path.index(node)
+                    out.append(path[cut:])
+                    on.difference_update(path[cut:])
+                    del path[cut:]
+            elif following not in number:
+                number[following] = low[following] = len(number)
+                path.append(following)
+                on.add(following)
+                work.append((following, iter(after.get(following, []))))
+            elif following in on:
+                low[node] = min(low[node], number[following])
+    return out
+
+
 def _elementary(part: pd.DataFrame) -> pd.DataFrame:
-    """Closed walks of the elementary cycles of one component, each from its least node."""
+    """Closed walks of the elementary cycles of one component, each from its least node, in order.
+
+    From each node in turn, within the strong component of it and the greater
+    ones; a node that led nowhere stays blocked until one that it waits for is
+    free again, so the time follows the cycles found, not the walks tried.
+    """
     after: dict[str, list[str]] = {}
     for s, t in sorted(set(zip(part["source"], part["target"], strict=True)), key=lambda e: (e[0].encode(), e[1].encode())):
         after.setdefault(s, []).append(t)
-    order = {n: k for k, n in enumerate(sorted({*after, *part["target"]}, key=str.encode))}
+        after.setdefault(t, [])
     found: list[list[str]] = []
-    for start in sorted(order, key=order.get):
-        # what can come back to the start without passing a lesser node
-        back, stack = {start}, [start]
-        before: dict[str, list[str]] = {}
-        for s, ts in after.items():
-            for t in ts:
-                before.setdefault(t, []).append(s)
-        while stack:
-            for s in before.get(stack.pop(), []):
-                if s not in back and order[s] > order[start]:
-                    back.add(s)
-                    stack.append(s)
-        walk, on = [start], {start}
-        choices = [iter(after.get(start, []))]
-        while choices:
-            t = next(choices[-1], None)
+    pieces = [x for x in _strong(after) if len(x) > 1 or x[0] in after[x[0]]]
+    while pieces:
+        own = set(pieces.pop())
+        start = min(own, key=str.encode)
+        inner = {n: [t for t in after[n] if t in own] for n in own}
+        walk, blocked, waits = [start], {start}, {n: set() for n in own}
+        work, closed = [iter(inner[start])], [False]
+        while work:
+            t = next(work[-1], None)
             if t is None:
-                choices.pop()
-                on.discard(walk.pop())
+                work.pop()
+                node, led = walk.pop(), closed.pop()
+                if closed:
+                    closed[-1] |= led
+                if led:
+                    free = [node]
+                    while free:
+                        n = free.pop()
+                        if n in blocked:
+                            blocked.discard(n)
+                            free += waits[n]
+                            waits[n] = set()
+                else:
+                    for n in inner[node]:
+                        waits[n].add(node)
             elif t == start:
                 found.append([*walk, start])
-            elif t in back and t not in on:
+                closed[-1] = True
+            elif t not in blocked:
                 walk.append(t)
-                on.add(t)
-                choices.append(iter(after.get(t, [])))
-    return pd.DataFrame({"cycle": found}, columns=["cycle"])
+                blocked.add(t)
+                work.append(iter(inner[t]))
+                closed.append(False)
+        rest = {n: [t for t in ts if t != start] for n, ts in inner.items() if n != start}
+        pieces += [x for x in _strong(rest) if len(x) > 1 or x[0] in rest[x[0]]]
+    return pd.DataFrame({"cycle": sorted(found, key=lambda w: [n.encode() for n in w])}, columns=["cycle"])
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -223,6 +272,34 @@ def evaluate(nodes: DataFrame, needs: DataFrame, combine: Callable[[DataFrame],
     raise TooDeep(f"over {limit} levels")
 
 
+def outgoing(edges: DataFrame, identity: str) -> DataFrame:
+    return edges.filter(F.col("source") == identity)
+
+
+def incoming(edges: DataFrame, identity: str) -> DataFrame:
+    return edges.filter(F.col("target") == identity)
+
+
+def ids(nodes: DataFrame, sources: DataFrame, unreferenced: DataFrame | None = None) -> DataFrame:
+    """(path, ids): the ids of each source (path) in document order; a file without any keeps its row. With edges, only of nodes that none of them but containment targets."""
+    own = nodes.filter("id IS NOT NULL")
+    if unreferenced is not None:
+        own = own.join(unreferenced.filter("kind <> 'contains'").select(F.col("target").alias("identity")), "identity", "left_anti")
+    listed = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("doc_ord", "id"))).alias("s"))
+    none = F.array().cast("array<string>")
+    return sources.select("path").distinct().join(listed, "path", "left").select("path", F.coalesce(F.transform("s", lambda x: x["id"]), none).alias("ids"))
+
+
+def occurrences(bag: DataFrame, nodes: DataFrame, file: str | None = None, target: str | None = None) -> DataFrame:
+    """Occurrences in files of a glob, of one target, each with the range of its source where that has one; nodes: (identity, start, end)."""
+    if file is not None:
+        bag = bag.filter(globs.matches(F.col("file"), file))
+    if target is not None:
+        bag = bag.filter(F.col("target") == target)
+    ranges = nodes.select(F.col("identity").alias("source"), F.struct("start", "end").alias("source_range"))
+    return bag.join(ranges, "source", "left").select(*bag.columns, "source_range")
+
+
 def report(nodes: DataFrame, edges: DataFrame, identity: str) -> DataFrame:
     """One node with its incoming and outgoing edges, each ordered."""
     ordered: Callable[[Column], Column] = lambda kept: F.array_sort(F.collect_list(kept))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
+from weftgraph.operators import graph
 
 #: Characters that no source path may hold, besides those of invalid UTF-8 (fixed values).
 BARRED_PATH = r"[#\x{FFFD}\x00-\x1F\x7F]"
@@ -79,5 +80,31 @@ def orphans(recorded: DataFrame, generated: DataFrame, sources: DataFrame) -> Da
     return recorded.select("path").join(generated.select("path"), "path", "left_anti").join(sources.select("path"), "path", "left_anti").distinct()
 
 
+def cycle_findings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One finding for each elementary cycle of containment, dependency and embedding among requirement nodes; its locations are the closed walk, in order."""
+    own = edges.filter(F.col("kind").isin("contains", "depends", "embeds")).join(nodes.select(F.col("identity").alias("source")), "source", "left_semi")
+    return graph.cycles(own).select(F.lit("cycle").alias("code"), F.col("cycle").alias("locations"))
+
+
+def import_cycle_findings(imports: DataFrame) -> DataFrame:
+    """One finding for each elementary cycle of (path, file) imports, unused ones too."""
+    steps = imports.filter("file IS NOT NULL").select(F.col("path").alias("source"), F.col("file").alias("target"))
+    return graph.cycles(steps).select(F.lit("cycle").alias("code"), F.col("cycle").alias("locations"))
+
+
+def foreign_text(calls: DataFrame) -> DataFrame:
+    """Calls (source, module, target) of one module's ``text`` with a node of another; the edge stands."""
+    foreign = calls.filter(scalars.identity_path(F.col("target")) != F.col("module"))
+    return foreign.select(F.lit("cross-module-text").alias("code"), F.array("source", "target").alias("locations"))
+
+
+def invalid_import(imports: DataFrame, sources: DataFrame) -> DataFrame:
+    """Imports (path, name, file) of what is no source, or of a name that another import of the file has."""
+    lost = imports.join(sources.select(F.col("path").alias("file")).distinct(), "file", "left_anti").select(F.lit("invalid-import").alias("code"), F.array("path", "name").alias("locations"))
+    twice = imports.groupBy("path", "name").count().filter("count > 1").select(F.lit("invalid-import").alias("code"), F.array("path", "name").alias("locations"))
+    return lost.unionByName(twice).distinct()
+
+
 def finding_set(findings: DataFrame) -> DataFrame:
-    return findings.distinct()
+    """Findings (code, locations), equal ones once, in order: by the code's rank, then by locations one after the other, a shorter list first."""
+    return findings.distinct().orderBy(scalars.code_ordinal(F.col("code")), "locations")

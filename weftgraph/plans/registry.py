@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import graph_queries, version_queries
+from weftgraph.plans import graph_queries, more_queries, version_queries
 
 FLAGSHIP = "coverage_transitive"
-QUERIES = {**graph_queries.QUERIES, **version_queries.QUERIES}
-ORACLES = {**graph_queries.ORACLES, **version_queries.ORACLES}
+QUERIES = {**graph_queries.QUERIES, **version_queries.QUERIES, **more_queries.QUERIES}
+ORACLES = {**graph_queries.ORACLES, **version_queries.ORACLES, **more_queries.ORACLES}
