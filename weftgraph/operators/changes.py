@@ -165,15 +165,24 @@ def _seeds(analysis: Analysis) -> DataFrame:
 def spread(seeds: DataFrame, links: DataFrame, limit: int = 10_000) -> DataFrame:
     """(identity, cause) closed under links (identity, below), a table: what is below passes its causes up."""
     known = fresh = checkpoint(seeds.select("identity", "cause").distinct())
-    for _ in range(limit):
+    for k in range(limit):
         step = fresh.withColumnRenamed("identity", "below").join(links, "below").select("identity", "cause").distinct()
         fresh = checkpoint(step.join(known, ["identity", "cause"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = known.unionByName(fresh)
+        known = graph.compact(known.unionByName(fresh), k + 1)
     raise graph.TooDeep(f"over {limit} levels")
 
 
+@once
+def effective_changed(analysis: Analysis) -> DataFrame:
+    """(identity) of every node of both sides whose effective hash differs: a closure of nodes, not of their causes."""
+    if "effective_causes" in analysis.known:
+        return analysis.known["effective_causes"].select("identity").distinct()
+    kids, deps = _links(analysis)
+    return spread(_seeds(analysis).select("identity", F.lit("").alias("cause")), kids.unionByName(deps)).select("identity")
+
+
 @once
 def effective_causes(analysis: Analysis) -> DataFrame:
     """(identity, cause) of every node of both sides whose effective hash differs."""
@@ -221,7 +230,7 @@ def impacted(analysis: Analysis) -> DataFrame:
     edges = impact_edges(analysis.before, analysis.now).select("source", "target").distinct()
     subtree = subtree_changed(analysis)
     lone = analysis.records.filter("presence <> 'both'").select("identity")
-    effective = effective_causes(analysis).select("identity").unionByName(lone).unionByName(subtree).distinct()
+    effective = effective_changed(analysis).unionByName(lone).unionByName(subtree).distinct()
     state = effective.join(subtree.withColumn("sub", F.lit(True)), "identity", "left")
     hit = edges.join(state.withColumnRenamed("identity", "target"), "target")
     return hit.select("source", F.when(F.col("sub"), "direct").otherwise("transitive").alias("category")).distinct()
@@ -232,7 +241,7 @@ def impact_witness(analysis: Analysis) -> DataFrame:
     records = analysis.records
     subtree = subtree_changed(analysis)
     lone = records.filter("presence <> 'both'").select("identity")
-    effective = checkpoint(effective_causes(analysis).select("identity").unionByName(lone).unionByName(subtree).distinct())
+    effective = checkpoint(effective_changed(analysis).unionByName(lone).unionByName(subtree).distinct())
     tree = [w.nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("source"), F.col("identity").alias("target")) for w in (analysis.before, analysis.now)]
     tree = tree[0].unionByName(tree[1]).distinct()
     deps = [dependency_counts(w).select(F.col("identity").alias("source"), "target") for w in (analysis.before, analysis.now)]
@@ -257,13 +266,13 @@ def to_nearest(steps: DataFrame, ends: DataFrame, limit: int = 10_000) -> DataFr
     """(identity, path): the least shortest path from each node to an end; of an end, itself."""
     steps = checkpoint(steps.select("source", "target").distinct())
     level = known = checkpoint(ends.select("identity", F.array("identity").alias("path")).distinct())
-    for _ in range(limit):
+    for k in range(limit):
         grown = level.withColumnRenamed("identity", "target").join(steps, "target").groupBy(F.col("source").alias("identity")).agg(F.min("path").alias("rest"))
         grown = grown.join(known, "identity", "left_anti").select("identity", F.concat(F.array("identity"), "rest").alias("path"))
         level = checkpoint(grown)
         if level.isEmpty():
             return known
-        known = known.unionByName(level)
+        known = graph.compact(known.unionByName(level), k + 1)
     raise graph.TooDeep(f"over {limit} levels")
 
 

@@ -12,6 +12,10 @@ from weftgraph.functions import globs
 from weftgraph.schema import checkpoint
 
 
+#: Levels after which what is known is written as one table again.
+COMPACT = 6
+
+
 class TooDeep(RuntimeError):
     """A loop reached its limit of levels."""
 
@@ -66,6 +70,11 @@ def nearest_listed(nodes: DataFrame, listed: DataFrame) -> DataFrame:
     return ids.join(near, "identity", "left")
 
 
+def compact(known: DataFrame, level: int) -> DataFrame:
+    """What is known as one table again after some levels, else each level would read all of those before it as tables of their own."""
+    return checkpoint(known) if level % COMPACT == 0 else known
+
+
 def bfs(edges: DataFrame, sources: DataFrame, limit: int = 10_000) -> DataFrame:
     """(identity, distance) of all that is reached from the sources (column identity), which have distance 0."""
     edges = checkpoint(edges.select("source", "target").distinct())
@@ -76,7 +85,7 @@ def bfs(edges: DataFrame, sources: DataFrame, limit: int = 10_000) -> DataFrame:
         level = checkpoint(step.join(seen, "identity", "left_anti").withColumn("distance", F.lit(d)))
         if level.isEmpty():
             return seen
-        seen = seen.unionByName(level)
+        seen = compact(seen.unionByName(level), d)
     raise TooDeep(f"over {limit} levels")
 
 
@@ -93,14 +102,14 @@ def witnesses(edges: DataFrame, sources: DataFrame, limit: int = 10_000, first_h
     grow = lambda level: level.join(edges, "source").groupBy("target").agg(F.min(F.concat("path", F.array("target"))).alias("path"))
     level = checkpoint(grow(begin).withColumnRenamed("target", "identity"))
     found = level
-    for _ in range(0 if first_hop_only else limit):
+    for k in range(0 if first_hop_only else limit):
         # a source's own best path is never longer than what starts at it, so it goes no further
         ahead = level.join(sources.select("identity"), "identity", "left_anti").withColumnRenamed("identity", "source")
         step = grow(ahead).withColumnRenamed("target", "identity")
         level = checkpoint(step.join(found, "identity", "left_anti"))
         if level.isEmpty():
             return found
-        found = found.unionByName(level)
+        found = compact(found.unionByName(level), k + 1)
     if first_hop_only:
         return found
     raise TooDeep(f"over {limit} levels")
@@ -112,25 +121,25 @@ def reachable(edges: DataFrame, pairs: DataFrame, limit: int = 10_000) -> DataFr
     asked = pairs.select("source", "target").distinct()
     level = checkpoint(asked.select(F.col("source").alias("origin"), F.col("source").alias("at"), F.array("source").alias("path")).distinct())
     found = level
-    for _ in range(limit):
+    for k in range(limit):
         step = level.join(edges, level["at"] == edges["source"]).groupBy("origin", F.col("target").alias("at")).agg(F.min(F.concat("path", F.array("target"))).alias("path"))
         level = checkpoint(step.join(found, ["origin", "at"], "left_anti"))
         if level.isEmpty():
             hit = found.filter("origin <> at").select(F.col("origin").alias("source"), F.col("at").alias("target"), "path")
             return asked.join(hit, ["source", "target"], "left").select("source", "target", F.col("path").isNotNull().alias("reachable"), "path")
-        found = found.unionByName(level)
+        found = compact(found.unionByName(level), k + 1)
     raise TooDeep(f"over {limit} levels")
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges on which every node has one edge in and one out, after peeling: empty exactly if there is no cycle."""
     core = checkpoint(edges.select("source", "target").distinct())
+    n = core.count()
     while True:
-        n = core.count()
         alive = core.join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
         alive = alive.join(alive.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target")
         core = checkpoint(alive)
-        if core.count() == n:
+        if n == (n := core.count()):
             return core
 
 
@@ -280,11 +289,16 @@ def incoming(edges: DataFrame, identity: str) -> DataFrame:
     return edges.filter(F.col("target") == identity)
 
 
-def ids(nodes: DataFrame, sources: DataFrame, unreferenced: DataFrame | None = None) -> DataFrame:
-    """(path, ids): the ids of each source (path) in document order; a file without any keeps its row. With edges, only of nodes that none of them but containment targets."""
+def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that no edge but containment targets."""
+    return nodes.join(edges.filter("kind <> 'contains'").select(F.col("target").alias("identity")), "identity", "left_anti")
+
+
+def ids(nodes: DataFrame, sources: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(path, ids): the ids of each source (path) in document order; a file without any keeps its row. With edges, only of unreferenced nodes."""
     own = nodes.filter("id IS NOT NULL")
-    if unreferenced is not None:
-        own = own.join(unreferenced.filter("kind <> 'contains'").select(F.col("target").alias("identity")), "identity", "left_anti")
+    if edges is not None:
+        own = unreferenced(own, edges)
     listed = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("doc_ord", "id"))).alias("s"))
     none = F.array().cast("array<string>")
     return sources.select("path").distinct().join(listed, "path", "left").select("path", F.coalesce(F.transform("s", lambda x: x["id"]), none).alias("ids"))

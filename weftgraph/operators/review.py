@@ -92,7 +92,7 @@ def _causes(analysis: changes.Analysis) -> DataFrame:
 
 def _dependency_items(analysis: changes.Analysis) -> DataFrame:
     now = analysis.known["counts now"].select(F.col("identity").alias("scope"), "target")
-    effective = changes.effective_causes(analysis).select(F.col("identity").alias("target")).distinct()
+    effective = changes.effective_changed(analysis).select(F.col("identity").alias("target"))
     hit = now.join(effective, "target").join(analysis.both().withColumnRenamed("identity", "target"), "target", "left_semi")
     return _with_origin(analysis, hit, KINDS[2])
 
@@ -100,7 +100,7 @@ def _dependency_items(analysis: changes.Analysis) -> DataFrame:
 def _code_items(analysis: changes.Analysis) -> DataFrame:
     edges = changes.impact_edges(analysis.before, analysis.now).select(F.col("source").alias("scope"), "target").distinct()
     lone = analysis.records.filter("presence <> 'both'").select("identity")
-    state = changes.effective_causes(analysis).select("identity").unionByName(lone).unionByName(changes.subtree_changed(analysis)).distinct()
+    state = changes.effective_changed(analysis).unionByName(lone).unionByName(changes.subtree_changed(analysis)).distinct()
     return _with_origin(analysis, edges.join(state.withColumnRenamed("identity", "target"), "target"), KINDS[4])
 
 

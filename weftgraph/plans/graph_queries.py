@@ -98,13 +98,10 @@ def ids_by_file(spark, sf_dir):
     return own.select("path", F.transform("i", lambda x: x["id"]).alias("ids"))
 
 
-HEAVY = "l_returnflag = 'R' AND l_quantity >= 45"
-
-
-@query(twin(f"SELECT part AS identity FROM parts WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {HEAVY})", "parts"))
+@query(twin("SELECT identity FROM nodes WHERE id IS NOT NULL AND identity NOT IN (SELECT target FROM edges WHERE kind <> 'contains')", "edges"))
 def ids_unreferenced(spark, sf_dir):
-    used = tables.table(spark, sf_dir, "lineitem").filter(HEAVY).select(F.col("l_partkey").alias("p_partkey")).distinct()
-    return tables.part_identity(spark, sf_dir).join(used, "p_partkey", "left_anti").select(F.col("part").alias("identity"))
+    work = project(spark, sf_dir)
+    return graph.unreferenced(work.nodes.filter("id IS NOT NULL"), work.edges).select("identity")
 
 
 @query(twin("""
@@ -138,16 +135,14 @@ def occurrence_vs_edge_counts(spark, sf_dir):
 
 @query(twin("""
 SELECT path, "offset", arg_max(identity, depth) AS identity FROM (
-  SELECT n.path, p.ord * 7 AS "offset", n.identity, n.depth FROM (SELECT DISTINCT path FROM nodes) f
-  JOIN nodes n ON n.path = f.path CROSS JOIN (SELECT DISTINCT s_suppkey AS ord FROM supplier) p
-  WHERE n.depth < 2 AND p.ord * 7 >= CASE WHEN n.is_root THEN 0 ELSE (n.doc_ord % 999999937) * 2 END AND p.ord * 7 < CASE WHEN n.is_root THEN 1000000 ELSE (n.doc_ord % 999999937) * 2 + 2 END
+  SELECT n.path, p."offset", n.identity, n.depth FROM (SELECT path, (doc_ord % 999999937) * 2 + depth * 3 AS "offset" FROM nodes WHERE depth < 2 AND NOT is_root) p JOIN nodes n ON n.path = p.path
+  WHERE n.depth < 2 AND p."offset" >= CASE WHEN n.is_root THEN 0 ELSE (n.doc_ord % 999999937) * 2 END AND p."offset" < CASE WHEN n.is_root THEN 10000000 ELSE (n.doc_ord % 999999937) * 2 + 2 END
 ) GROUP BY path, "offset\"""", "nodes"))
 def at_offset(spark, sf_dir):
     own = tables.nodes(spark, sf_dir).filter("depth < 2")
     at = (F.col("doc_ord") % 999999937) * 2
-    spans = own.select("path", "identity", "depth", F.when(F.col("is_root"), 0).otherwise(at).alias("start"), F.when(F.col("is_root"), 1000000).otherwise(at + 2).alias("end"))
-    offsets = tables.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7).alias("offset")).distinct()
-    asked = own.select("path").distinct().crossJoin(F.broadcast(offsets))
+    spans = own.select("path", "identity", "depth", F.when(F.col("is_root"), 0).otherwise(at).alias("start"), F.when(F.col("is_root"), 10000000).otherwise(at + 2).alias("end"))
+    asked = own.filter("NOT is_root").select("path", (at + F.col("depth") * 3).alias("offset")).distinct()
     return text.innermost(spans, asked)
 
 
@@ -167,11 +162,14 @@ ASKED = "geo/%.c%"
 @query(twin(f"""
 SELECT a.source, a.target, min(l.hops) IS NOT NULL AS reachable, arg_min(l.path, l.hops) AS path FROM asked a LEFT JOIN l ON a.source = l.source AND a.target = l.target
 GROUP BY a.source, a.target""", "edges", re=REQUIREMENT_EDGES + f" AND (source LIKE '{ASKED}' OR source LIKE 'parts/%')", l=LEVELS,
-    asked=f"SELECT n.identity AS source, s.identity AS target FROM nodes n JOIN nodes s ON s.path = 'sup.mdx' WHERE n.identity LIKE '{ASKED}'"))
+    asked="SELECT customer AS source, 'sup.mdx#s' || s_suppkey AS target FROM people JOIN customer USING (c_custkey) JOIN supplier ON s_nationkey = c_nationkey"))
 def reachable_pairs(spark, sf_dir):
+    """Every customer, and the suppliers of the customer's nation."""
     work = project(spark, sf_dir, code=False)
-    sources = work.nodes.filter(F.col("identity").like(ASKED)).select(F.col("identity").alias("source"))
-    pairs = sources.crossJoin(F.broadcast(work.nodes.filter("path = 'sup.mdx'").select(F.col("identity").alias("target"))))
+    home = tables.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    sources = tables.customer_identity(spark, sf_dir).join(home, "c_custkey").select("nation", F.col("customer").alias("source"))
+    targets = tables.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.concat(F.lit("sup.mdx#s"), F.col("s_suppkey").cast("string")).alias("target"))
+    pairs = sources.join(targets, "nation").select("source", "target")
     return graph.reachable(work.edges.filter("kind IN ('depends', 'embeds')"), pairs)
 
 
@@ -203,19 +201,11 @@ def _profile_sql(where: str) -> str:
       SELECT n.*, [x FOR x IN [CASE WHEN is_root THEN 'root node' END, CASE WHEN coverage = 'none' THEN 'coverage="none"' END, CASE WHEN EXISTS (SELECT 1 FROM nodes c WHERE c.parent = n.identity) THEN 'non-leaf' END,
         CASE WHEN NOT coalesce(list_has_any(tags, ['LARGE', 'SMALL', 'PROMO']), FALSE) THEN 'lacking tags' END] IF x IS NOT NULL] AS reasons
       FROM nodes n WHERE path LIKE 'parts/%'""",
-        heavy=f"SELECT 'orders/' || l_orderkey || '.ts' AS f, identity, part FROM units JOIN parts ON l_partkey = p_partkey WHERE {HEAVY}",
-        direct="SELECT part AS identity, min([identity, part]) AS path FROM heavy GROUP BY part")
+        direct="SELECT part AS identity, min([identity, part]) AS path FROM units JOIN parts ON l_partkey = p_partkey WHERE regexp_matches(units.path, '^orders/[^/]*7\\.ts$') GROUP BY part")
 
 
-PARTS = cover.Profile(target=("parts/*.mdx",), boundary=("orders/*.ts",), mode="direct", target_tags=("LARGE", "SMALL", "PROMO"), edge_kinds=("references",))
-
-
-def _heavy(spark, sf_dir):
-    """The workspace with only the references of large returned lines."""
-    work = project(spark, sf_dir, code=False)
-    unit, part = tables.units(spark, sf_dir).filter(HEAVY), tables.part_identity(spark, sf_dir)
-    edges = unit.join(part, unit["l_partkey"] == part["p_partkey"]).select(F.lit("references").alias("kind"), F.col("identity").alias("source"), F.col("part").alias("target"))
-    return type(work)(work.nodes, work.locations, edges, work.occurrences)
+#: Parts count as covered by the orders whose number ends in 7.
+PARTS = cover.Profile(target=("parts/*.mdx",), boundary=("orders/*7.ts",), mode="direct", target_tags=("LARGE", "SMALL", "PROMO"), edge_kinds=("references",))
 
 
 @query(_profile_sql("SELECT identity FROM t WHERE len(reasons) = 0"))
@@ -230,17 +220,17 @@ def coverage_ignored(spark, sf_dir):
 
 @query(_profile_sql("SELECT t.identity, d.path FROM t JOIN direct d ON t.identity = d.identity WHERE len(reasons) = 0"))
 def coverage_direct(spark, sf_dir):
-    return cover.coverage(_heavy(spark, sf_dir), PARTS).filter("status = 'covered'").select("identity", "path")
+    return cover.coverage(project(spark, sf_dir), PARTS).filter("status = 'covered'").select("identity", "path")
 
 
 @query(_profile_sql("SELECT t.identity FROM t LEFT JOIN direct d ON t.identity = d.identity WHERE len(reasons) = 0 AND d.path IS NULL"))
 def coverage_uncovered(spark, sf_dir):
-    return cover.coverage(_heavy(spark, sf_dir), PARTS).filter("status = 'uncovered'").select("identity")
+    return cover.coverage(project(spark, sf_dir), PARTS).filter("status = 'uncovered'").select("identity")
 
 
 @query(_profile_sql("SELECT CASE WHEN len(reasons) > 0 THEN 'ignored' WHEN d.path IS NULL THEN 'uncovered' ELSE 'covered' END AS status, count(*) AS n FROM t LEFT JOIN direct d ON t.identity = d.identity GROUP BY 1"))
 def coverage_counts(spark, sf_dir):
-    return cover.coverage(_heavy(spark, sf_dir), PARTS).groupBy("status").agg(F.count("*").alias("n"))
+    return cover.coverage(project(spark, sf_dir), PARTS).groupBy("status").agg(F.count("*").alias("n"))
 
 
 SUPPLIERS = cover.Profile(target=("sup.mdx",), boundary=("geo/*.mdx",), boundary_kind="spec", edge_kinds=("depends", "embeds"))
@@ -393,9 +383,9 @@ def v_segment(spark, sf_dir):
     return validation.invalid_segment(named).select(F.element_at("locations", 1).alias("location"))
 
 
-@query(twin("SELECT CASE kind WHEN 'depends' THEN 'unknown-dependency' WHEN 'embeds' THEN 'unknown-text-target' ELSE 'unknown-ts-reference' END AS code, source, target || '~' AS target FROM edges WHERE kind <> 'contains' AND target LIKE '%3' AND source NOT LIKE 'orders/%'", "edges"))
+@query(twin("SELECT CASE kind WHEN 'depends' THEN 'unknown-dependency' WHEN 'embeds' THEN 'unknown-text-target' ELSE 'unknown-ts-reference' END AS code, source, target || '~' AS target FROM edges WHERE kind <> 'contains' AND target LIKE '%3'", "edges"))
 def v_unknown_dependency(spark, sf_dir):
-    refs = tables.references(spark, sf_dir, code=False)
+    refs = tables.references(spark, sf_dir)
     shifted = refs.withColumn("target", F.when(F.endswith("target", F.lit("3")), F.concat("target", F.lit("~"))).otherwise(F.col("target")))
     found = validation.unknown_targets(shifted, tables.nodes(spark, sf_dir))
     return found.select("code", F.col("locations")[0].alias("source"), F.col("locations")[1].alias("target"))

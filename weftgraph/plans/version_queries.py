@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import changes, journal, review
 from weftgraph.operators import coverage as cover
-from weftgraph.plans.graph_queries import PARTS, _heavy, _profile_sql
+from weftgraph.plans.graph_queries import PARTS, _profile_sql
 from weftgraph.plans.twins import twin
 from weftgraph.schema import Workspace, checkpoint
 from weftgraph.sources import tables
@@ -266,7 +266,7 @@ def audit_items(spark, sf_dir):
 
 @query(_profile_sql("SELECT 'coverage' AS kind, t.identity AS scope FROM t LEFT JOIN direct d ON t.identity = d.identity WHERE len(reasons) = 0 AND d.path IS NULL"))
 def coverage_session_items(spark, sf_dir):
-    return review.coverage_items(cover.coverage(_heavy(spark, sf_dir), PARTS))
+    return review.coverage_items(cover.coverage(project(spark, sf_dir), PARTS))
 
 
 @query(vsql("""SELECT DISTINCT b.identity AS id FROM sb b LEFT JOIN sc c ON b.identity = c.identity WHERE c.identity IS NULL OR """ + EDITED))
@@ -317,10 +317,10 @@ def map_forward(spark, sf_dir):
     return journal.map_forward(_names(spark, sf_dir), _journal(spark, sf_dir))
 
 
-@query("SELECT a || user_id AS canonical, position, now FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES ('u', 0, 'v'), ('x', 0, 'u'), ('w', 4, 'w'), ('x', 3, 'x')) t(a, position, n) CROSS JOIN LATERAL (SELECT n || user_id AS now) WHERE user_id % 3 = 0")
+@query("SELECT a || user_id AS canonical, position, now FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES ('u', 0, 'v'), ('x', 0, 'u'), ('w', 4, 'w'), ('x', 3, 'x')) t(a, position, n) CROSS JOIN LATERAL (SELECT n || user_id AS now) WHERE user_id % 3 = 0 UNION ALL SELECT a || user_id, 0, a || user_id FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES ('u'), ('v'), ('w'), ('x')) s(a) WHERE user_id % 3 <> 0")
 def resolves_currently(spark, sf_dir):
     names, log = _names(spark, sf_dir), _journal(spark, sf_dir)
-    asked = journal.canonical(names.filter(F.regexp_extract("identity", r"\d+", 0).cast("long") % 3 == 0), log).select("canonical", "position").distinct()
+    asked = journal.canonical(names, log).select("canonical", "position").distinct()
     return journal.resolves(asked, log).filter("current").select("canonical", "position", "now")
 
 
