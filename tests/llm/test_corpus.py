@@ -736,3 +736,164 @@ def test_toxic_documents_are_found_by_several_mild_words(spark):
     got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(documents(spark, texts), labels).collect()}
     held = range(400, 800)
     assert np.mean([got[i] for i in held if toxic[i]]) < 0.05 and np.mean([got[i] for i in held if not toxic[i]]) > 0.95
+
+
+# brute force for the fitted models, and the registered projections
+
+
+def plain_buckets(text, bits, letters):
+    if letters:
+        text = b" " + b" ".join(text.decode().lower().encode().translate(language._LETTERS).split()) + b" "
+    else:
+        text = b" " + b" ".join(text.split()) + b" "
+    return [((a | b << 8 | c << 16) * 0x9E3779B1 % 2**32) >> (32 - bits) for a, b, c in zip(text, text[1:], text[2:], strict=False)]
+
+
+def plain_language(train, texts):
+    """(prediction, score) of each text by dictionaries: trigram multinomials, EM, and nested sets by penalised likelihood."""
+    langs = sorted({x for _, x in train})
+    counts = {x: Counter(b for t, y in train if x == y for b in plain_buckets(t.encode(), 15, True)) for x in langs}
+    p = [lambda b, n=counts[x], total=sum(counts[x].values()): (n[b] + 0.5) / (total + 0.5 * 2**15) for x in langs]
+
+    def mixture(grams, allowed):
+        share = {k: 1 / len(allowed) for k in allowed}
+        for _ in range(12):
+            new = dict.fromkeys(allowed, 0.0)
+            for b, n in grams.items():
+                part = {k: p[k](b) * share[k] for k in allowed}
+                for k in allowed:
+                    new[k] += n * part[k] / sum(part.values())
+            share = {k: v / sum(grams.values()) for k, v in new.items()}
+        return share, sum(n * math.log(sum(p[k](b) * share[k] for k in allowed)) for b, n in grams.items())
+
+    out = []
+    for t in texts:
+        if not t or not any(map(str.isalpha, t)):
+            out.append(("und", 0.0))
+            continue
+        grams = Counter(plain_buckets(t.encode(), 15, True))
+        full, _ = mixture(grams, list(range(len(langs))))
+        order = sorted(full, key=lambda k: -full[k])
+        best = max((sum(n * math.log(p[k](b)) for b, n in grams.items()), -k) for k in full)
+        value, share = best[0], {-best[1]: 1.0}
+        for k in range(2, len(langs) + 1):
+            if full[order[k - 1]] <= 1e-3:
+                break
+            found, fits = mixture(grams, order[:k])
+            fits -= 3.0 * (k - 1) * math.log(max(sum(grams.values()), 2))
+            if fits > value:
+                value, share = fits, found
+        top = max(share, key=lambda k: (share[k], -k))
+        out.append((langs[top], full[top]))
+    return out
+
+
+def test_language_equals_brute_force(spark, tiny):
+    rows = [(t, x) for t, x in zip(tiny["text"], tiny["lang"], strict=True) if len(t) < 2_000][:60]
+    mixed = [rows[i][0][:400] + " " + rows[-i - 1][0][:400] for i in range(10)]
+    texts = [*(t for t, _ in rows[30:]), *mixed, None, "1 2", "ok"]
+    train = documents(spark, [t for t, _ in rows[:40]]).drop("lang").join(spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows[:40])], "doc_id long, lang string"), "doc_id")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(documents(spark, texts).drop("lang"), train).collect()}
+    want = plain_language(rows[:40], texts)
+    assert [got[i][0] for i in range(len(texts))] == [w[0] for w in want]
+    np.testing.assert_allclose([got[i][1] for i in range(len(texts))], [w[1] for w in want], rtol=1e-6, atol=1e-9)
+
+
+def plain_kept(spark, texts, labels):
+    """The verdicts by plain loops: the n-gram ratio with its threshold, then the toxic words with theirs."""
+    ids = spark.createDataFrame([(i,) for i in labels], "doc_id long")
+    fold = {r[0]: r[1] for r in ids.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5))).collect()}
+    trusted = {i: all(q == 1 and not t for q, t in v) for i, v in labels.items()}
+    toxic = {i: any(t for _, t in v) for i, v in labels.items()}
+    data = [(t or "").encode() for t in texts]
+    raw, target = Counter(), Counter()
+    for i, t in enumerate(data):
+        grams = plain_buckets(t, 16, False)
+        raw.update(grams)
+        if trusted.get(i):
+            target.update(grams)
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    ratio = lambda b: math.log((target[b] + 1) / (n_target + 65_536)) - math.log((raw[b] + 1) / (n_raw + 65_536))
+    score = [sum(map(ratio, g)) / max(len(g), 1) for g in (plain_buckets(t, 16, False) for t in data)]
+    known = sorted((score[i], trusted[i]) for i in labels)
+    costs = [(20 * sum(g for _, g in known[:k]) + sum(not g for _, g in known[k:]), k) for k in range(len(known))]
+    least = known[min(costs)[1]][0]
+    words = [set(t.translate(decontamination._WORD).split()) for t in data]
+    judged = [i for i in labels if trusted[i] or toxic[i]]
+
+    def weights(without):
+        own = [i for i in judged if fold[i] != without]
+        good, bad = (Counter(w for i in own if toxic[i] == x for w in words[i]) for x in (False, True))
+        n_good, n_bad = sum(not toxic[i] for i in own), sum(toxic[i] for i in own)
+        found = {w: math.log((n + 0.5) / (n_bad + 1)) - math.log((good[w] + 0.5) / (n_good + 1)) for w, n in bad.items() if n >= 3}
+        return {w: x for w, x in found.items() if x >= 3.0}
+
+    tox = lambda i, by: sum(by[w] for w in words[i] if w in by) / math.sqrt(max(len(words[i]), 1))
+    by = [weights(k) for k in range(5)]
+    held = {i: tox(i, by[fold[i]]) for i in judged}
+    steps = sorted({x for x in held.values() if x > 0}) + [math.inf]
+    most = min((20 * sum(not toxic[i] and held[i] >= s for i in judged) + sum(toxic[i] and held[i] < s for i in judged), -k) for k, s in enumerate(steps))
+    final, cut = weights(None), steps[-most[1]]
+    out = []
+    for i, t in enumerate(texts):
+        n, *_, repeats = plain_rules(t)
+        out.append(n >= 10 and 100 * repeats <= 20 * n and score[i] >= least - 1e-12 and tox(i, final) < cut - 1e-12)
+    return out, score
+
+
+def test_quality_verdicts_equal_brute_force(spark, tiny):
+    texts = tiny["text"].tolist()
+    frame = pd.read_parquet(f"{SF}/labels.parquet")
+    ids = {d: k for k, d in enumerate(tiny["doc_id"])}
+    rows = [(ids[d], int(q), int(t)) for d, q, t in zip(frame["doc_id"], frame["quality"], frame["toxic"], strict=True) if d in ids]
+    rng = random.Random(4)
+    mild = ["zorb", "zulk", "zinth", "zarn", "zeph"]
+    for i, _, t in rows:
+        if t:
+            texts[i] = texts[i] + " " + " ".join(rng.choices(mild, k=9))
+    rows += [(rows[0][0], 0, 0)]  # labelled twice
+    labels = {}
+    for i, q, t in rows:
+        labels.setdefault(i, []).append((q, t))
+    found = quality.quality_rules(documents(spark, texts), spark.createDataFrame(rows, "doc_id long, quality long, toxic long"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    want, score = plain_kept(spark, texts, labels)
+    np.testing.assert_allclose([got[i]["quality_score"] for i in range(len(texts))], score, rtol=1e-9, atol=1e-12)
+    assert [got[i]["kept"] for i in range(len(texts))] == want
+
+
+def test_registered_queries_equal_brute_force(spark, tiny):
+    """The digests and columns that the contracts ask for, over the smallest tables."""
+    import sentencepiece
+
+    texts = dict(zip(tiny["doc_id"].tolist(), tiny["text"].tolist(), strict=True))
+    ids = sorted(texts)
+    run = lambda name: {r["doc_id"]: r for r in queries.QUERIES[name](spark, SF).collect()}
+    sp, enc = sentencepiece.SentencePieceProcessor(model_file=PIECES), tiktoken_of(RANKS)
+    got = run("op2_token_counts")
+    assert {i: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for i, r in got.items()} == {i: (len(t.encode()), n := len(sp.encode(t)), n > 4096) for i, t in texts.items()}
+    fps = [plain_fingerprint(texts[i]) for i in ids]
+    got = run("op3_simhash")
+    assert [(got[i]["fingerprint"], got[i]["component_id"]) for i in ids] == [(f"{f:016x}", ids[k]) for f, k in zip(fps, plain_components(fps), strict=True)]
+    got = run("op4_quality_rules")
+    assert all(tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain_rules(texts[i]) for i in ids)
+    got = run("op6_byte_bpe")
+    for i, t in texts.items():
+        tokens = enc.encode_ordinary(t)
+        assert tuple(got[i][c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")) == (len(tokens), hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = run("op7_suffix_tree_lm")
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
+    want, _ = plain_tree_scores([texts[i] for i in ids], held, divergence=suffix_tree.DIVERGENCE)
+    assert [got[i]["held_out"] for i in ids] == held
+    np.testing.assert_allclose([got[i]["score"] for i in ids], want, rtol=1e-9)
+    got = run("op9_language_mixture")
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in ids}
+    lang = dict(zip(tiny["doc_id"].tolist(), tiny["lang"].tolist(), strict=True))
+    short = [i for i in ids if len(texts[i]) < 600][:25]
+    want = plain_language([(texts[i], lang[i]) for i in ids if not held[i] and lang[i]], [texts[i] for i in short])
+    assert [(got[i]["held_out"], got[i]["lang_pred"]) for i in short] == [(held[i], w[0]) for i, w in zip(short, want, strict=True)]
+    rows = queries.QUERIES["op10_training_order"](spark, SF).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    own = tiktoken_of(P.path("byte_bpe_50k.tiktoken"))
+    want = {(i, k): hashlib.sha256(np.array(x[256 * k : 256 * k + 256], "<u4").tobytes()).hexdigest() for i, t in texts.items() for x in ([*own.encode_ordinary(t), 50_256],) for k in range(-(-len(x) // 256))}
+    assert {(r["doc_id"], r["part"]): r["ids_sha256"] for r in rows} == want
