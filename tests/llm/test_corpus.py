@@ -897,3 +897,17 @@ def test_registered_queries_equal_brute_force(spark, tiny):
     own = tiktoken_of(P.path("byte_bpe_50k.tiktoken"))
     want = {(i, k): hashlib.sha256(np.array(x[256 * k : 256 * k + 256], "<u4").tobytes()).hexdigest() for i, t in texts.items() for x in ([*own.encode_ordinary(t), 50_256],) for k in range(-(-len(x) // 256))}
     assert {(r["doc_id"], r["part"]): r["ids_sha256"] for r in rows} == want
+
+
+def test_contexts_of_equal_hashes_and_other_words_are_kept_apart(monkeypatch):
+    """All contexts of a chunk are made to collide; only those of the same words share a first one."""
+
+    class Flat:
+        xxh64_intdigest = staticmethod(lambda *_: 7)
+
+    monkeypatch.setattr(substring, "xxhash", Flat)
+    monkeypatch.setattr(substring, "_word_hashes", lambda joined, byte: np.zeros(len(byte) - 1, np.uint64))
+    texts = [b" ".join(b"a%d" % i for i in range(25)), b" ".join(b"b%d" % i for i in range(25))] * 2
+    chunk = substring._Chunk(texts, np.arange(4))
+    words = [chunk.bytes_of(k) for k in range(len(chunk.at))]
+    assert len(set(words)) < len(words) and all(words[k] == words[f] for k, f in enumerate(chunk.first.tolist()))

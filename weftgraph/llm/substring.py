@@ -181,6 +181,9 @@ class _Chunk:
         new = np.concatenate(([True], (self.text[by[1:]] != self.text[by[:-1]]) | (self.anchor[by[1:]] != self.anchor[by[:-1]]))) if len(by) else np.zeros(0, bool)
         self.first = np.zeros(len(by), np.int64)
         self.first[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
+        for k in np.flatnonzero(self.first != np.arange(len(by))).tolist():  # equal hashes are not taken for equal words
+            if self.bytes_of(k) != self.bytes_of(self.first[k]):
+                self.first[k] = k
 
     def bytes_of(self, k: int) -> bytes:
         return self.joined[self.byte[self.at[k]] : self.byte[self.at[k] + self.n[k] + self.length - 1] - 1]
