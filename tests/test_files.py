@@ -119,3 +119,32 @@ def test_sources_that_hold_the_marker_in_a_name_stay(spark, tmp_path):
     (tmp_path / ".gen").mkdir()
     got = files.scan(spark, f"file://{tmp_path}", {"s": ["*.mdx"]}, {"c": ["*.js", "*.ts", "*.mdx"]})
     assert sorted((r["path"], r["kind"]) for r in got.select("path", "kind").collect()) == [("c.mdx", "code"), ("c.mdx", "spec"), ("my.genes.mdx", "code"), ("my.genes.mdx", "spec")]
+
+
+def test_two_versions_with_a_journal(spark, tmp_path):
+    """A section is renamed by a journaled entry that the baseline does not know; another text changes; an unread journal shows more."""
+    from weftgraph.operators import changes
+
+    body = '<S id="a">{0}<S id="a.b">B</S></S>\n<S id="c" d={{["{1}"]}}>C</S>\n'
+    for name, text_, id in (("old", "A", "a"), ("new", "A2", "x")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.mdx").write_text(body.format(text_, f"{id}.b").replace('"a', f'"{id}'))
+    line = '{"op":"rename","from":"f.mdx#a","to":"f.mdx#x","mapping":[{"from":"f.mdx#a","to":"f.mdx#x"},{"from":"f.mdx#a.b","to":"f.mdx#x.b"}]}'
+    (tmp_path / "new" / "journal.jsonl").write_text(line)
+    before, now, log, known = files.versions(spark, f"file://{tmp_path}/old", f"file://{tmp_path}/new", {"s": ["*.mdx"]}, {})
+    found = changes.analyse(before, now, log, known)
+    got = {tuple(r) for r in changes.named(found, changes.categories(found).select("identity", "category"), "identity").collect()}
+    assert known == 0 and got == {("f.mdx#x", "changed"), ("f.mdx", "descendant-changed")}
+    assert changes.categories(changes.analyse(before, now)).filter("category = 'changed'").count() > 3
+
+
+def test_derived_files_are_kept(spark, tmp_path):
+    pieces = load_pieces(spark, tmp_path)
+    made = text.emit_markdown(pieces, "out")
+    files.write_derived(made, f"{tmp_path}/derived")
+    assert [(r["path"], r["text"]) for r in files.read_derived(spark, f"{tmp_path}/derived").collect()] == [("out/p.md", "T\n")]
+
+
+def load_pieces(spark, folder):
+    (folder / "p.mdx").write_text('<S id="r">\nT\n</S>\n')
+    return files.load(files.scan(spark, f"file://{folder}", {"all": ["*.mdx"]}, {}))[1]

@@ -62,6 +62,12 @@ def id_problem(id: Column) -> Column:
     )
 
 
+def spelling_problem(identity: Column) -> Column:
+    """First rule that the spelling of a node's identity breaks, null if none."""
+    path, id = identity_path(identity), identity_id(identity)
+    return F.when(path == "", "empty path").when(path.rlike(CONTROL), "control character in the path").when(id.isNotNull(), id_problem(id))
+
+
 def frame(part: Column) -> Column:
     """Eight bytes of length, most significant first, then the bytes."""
     raw = part.cast("binary")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions import globs
+from weftgraph.functions import globs, scalars
 from weftgraph.operators import changes, graph
 from weftgraph.schema import Workspace, checkpoint
 
 
+VERSION = "0.2"
+
+
 def text_unavailable(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame) -> DataFrame:
     """Nodes (identity) whose text expands, somewhere, what does not resolve or what comes back to itself.
 
@@ -51,6 +54,18 @@ def accompanying(findings: DataFrame, glob: str | None) -> DataFrame:
     return findings if glob is None else findings.filter(globs.matches(F.col("path"), glob))
 
 
+def version(spark) -> DataFrame:
+    """(name, version): one row."""
+    return spark.range(1).select(F.lit("weftgraph").alias("name"), F.lit(VERSION).alias("version"))
+
+
+def consulted(paths: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings (code, locations) of which some location lies in a file (path) that an answer draws on."""
+    place = findings.withColumn("number", F.monotonically_increasing_id())
+    hit = place.select("number", F.explode(F.transform("locations", scalars.identity_path)).alias("path")).join(paths.select("path").distinct(), "path", "left_semi").select("number").distinct()
+    return place.join(hit, "number", "left_semi").drop("number")
+
+
 def view(work: Workspace) -> DataFrame:
     """(path, sections): the sections of each document in order, with their depth, tags and coverage."""
     own = work.nodes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("doc_ord", "identity", "depth", "coverage", "tags"))).alias("s"))

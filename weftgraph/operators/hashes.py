@@ -15,6 +15,11 @@ from weftgraph.operators import graph
 START = "0"  # journal position of an identity that no entry ends
 
 
+def cycle_digest():
+    """What stands for the hash of a node that is being computed already, in an invalid graph."""
+    return digest(F.lit("cycle"))
+
+
 def plain_parts(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Parts of nodes whose content is not known any closer: the text, then what is embedded by identity, then the children in order, an empty run after each."""
     ord = lambda kind, place, name, half: F.struct(F.lit(kind).alias("a"), place.cast("long").alias("b"), name.cast("string").alias("c"), F.lit(half).alias("d")).alias("ord")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions import scalars
-from weftgraph.operators import graph
+from weftgraph.functions import globs, scalars
+from weftgraph.operators import availability, graph, validation
 from weftgraph.schema import Workspace
 
 
@@ -64,6 +64,27 @@ def refusals(work: Workspace, mapping: DataFrame, path: str, old: str, to_path:
     return invalid.unionByName(same).unionByName(taken).unionByName(missing.select(F.lit(code).alias("code"), F.lit(target).alias("identity")))
 
 
+def file_refusals(work: Workspace, old: str, new: str, spec_groups: list[str], code: DataFrame | None = None, out: str | None = None) -> DataFrame:
+    """(code, identity): every reason against a file's move, together.
+
+    The destination must be another path than the old one, of no file, matched
+    by the globs of specs and free of barred characters; no file derived from it
+    may lie where a source, of specs or ``code`` (path), is; and the moved
+    references must close no cycle.
+    """
+    one = work.nodes.sparkSession.range(1).select(F.lit(new).alias("path"))
+    named = lambda rows, reason: rows.select(F.lit(reason).alias("code"), F.col("path").alias("identity"))
+    sources = work.nodes.select("path").distinct()
+    rest = sources.filter(F.col("path") != old)
+    every = rest if code is None else rest.unionByName(code.select("path"))
+    derived = availability.derived_paths(one, out).select("path")
+    bad = ~globs.matches_any(F.col("path"), spec_groups) | F.col("path").rlike(validation.BARRED_PATH) | ~F.endswith("path", F.lit(".mdx"))
+    found = named(one.filter(F.lit(old == new)), "refused-identity-unchanged").unionByName(named(rest.filter(F.col("path") == new), "refused-destination-exists"))
+    found = found.unionByName(named(one.filter(bad), "refused-invalid-destination")).unionByName(named(derived.join(every, "path", "left_semi"), "refused-exposed-derived-file"))
+    turning = would_cycle(work, file_mapping(work.nodes, old, new)).select(F.lit("refused-cycle").alias("code"), F.element_at("cycle", 1).alias("identity"))
+    return found.unionByName(turning).distinct()
+
+
 def would_cycle(work: Workspace, mapping: DataFrame) -> DataFrame:
     """Dependency cycles of the rewritten workspace, containment included."""
     after = rewrite(work, mapping)

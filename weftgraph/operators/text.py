@@ -53,6 +53,13 @@ def compiled(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc").distinct().join(joined, "doc", "left").select("doc", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def emit_markdown(pieces: DataFrame, out: str) -> DataFrame:
+    """(path, text, sha256): the Markdown of each document (doc, a path), below a folder."""
+    made = compiled(pieces)
+    path = F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace("doc", r"\.mdx$", ""), F.lit(".md"))
+    return made.select(path.alias("path"), "text", F.sha2("text", 256).alias("sha256"))
+
+
 def subtree_text(nodes: DataFrame) -> DataFrame:
     """(identity, text): the own text of a node, then those below it in document order, one to a line. No recursion: each text goes to its ancestors by id prefix."""
     from weftgraph.operators.graph import ancestors

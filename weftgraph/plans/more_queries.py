@@ -236,6 +236,48 @@ def refusals_of_moves(spark, sf_dir):
     return onto.unionByName(lost)
 
 
+@query("""SELECT 'refused-destination-exists' AS code, 'geo/' || r_name || '.mdx' AS identity FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'refused-invalid-destination', 'geo/a#b.mdx' FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'refused-identity-unchanged', 'sup.mdx' FROM region WHERE r_name = 'ASIA'""")
+def refusals_of_file_moves(spark, sf_dir):
+    """The suppliers' file onto a region's, to a path with a barred character, and onto itself."""
+    work = project(spark, sf_dir, code=False)
+    work = Workspace(checkpoint(work.nodes), None, checkpoint(work.edges), None)
+    found = [mutations.file_refusals(work, "sup.mdx", new, ["**/*.mdx"]) for new in ("geo/ASIA.mdx", "geo/a#b.mdx", "sup.mdx")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("SELECT 'out/' || conv_id || '.md' AS path, sha256(coalesce(string_agg(CASE WHEN role = 'system' THEN NULL ELSE text || chr(10) END, '' ORDER BY turn), '')) AS sha256 FROM conversations GROUP BY conv_id")
+def emit_markdown(spark, sf_dir):
+    """Turns as pieces: what the system says is removed, with its line."""
+    turns = _t(spark, sf_dir, "conversations").withColumn("doc", F.concat(F.col("conv_id").cast("string"), F.lit(".mdx")))
+    kind = F.when(F.col("role") == "system", "removal").otherwise("content")
+    none = F.lit(None).cast("string").alias("expansion")
+    shown = turns.select("doc", (F.col("turn") * 2).alias("ord"), kind.alias("kind"), "text", none)
+    ends = turns.select("doc", (F.col("turn") * 2 + 1).alias("ord"), F.lit("content").alias("kind"), F.lit("\n").alias("text"), none)
+    return text.emit_markdown(shown.unionByName(ends), "out").select("path", "sha256")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'empty path' WHEN 1 THEN 'white space' WHEN 2 THEN 'empty segment' WHEN 3 THEN 'empty' END AS problem FROM part""")
+def node_spelling(spark, sf_dir):
+    n = F.col("p_partkey") % 5
+    id = F.when(n == 1, F.lit("#a b")).when(n == 2, F.lit("#a..b")).when(n == 3, F.lit("#")).otherwise(F.lit("#a.b"))
+    spelled = F.concat(F.when(n == 0, F.lit("")).otherwise(F.lit("parts.mdx")), id)
+    return _t(spark, sf_dir, "part").select("p_partkey", scalars.spelling_problem(spelled).alias("problem"))
+
+
+@query(twin("SELECT 'unknown-text-target' AS code, source FROM edges WHERE kind = 'embeds' AND source LIKE 'parts/Brand_7.mdx#%'", "edges"))
+def consulted_domain(spark, sf_dir):
+    """Every part's embeddings are taken for faults; an answer that draws on one brand's file has its own."""
+    work = project(spark, sf_dir, code=False)
+    faults = work.edges.filter("kind = 'embeds'").select(F.lit("unknown-text-target").alias("code"), F.array("source").alias("locations"))
+    drawn = work.nodes.filter(globs.matches(F.col("path"), "parts/Brand_7.mdx"))
+    return availability.consulted(drawn, faults).select("code", F.col("locations")[0].alias("source"))
+
+
+@query("SELECT 'weftgraph' AS name, '0.2' AS version, sha256(unhex('0000000000000005') || encode('cycle')) AS cycle_digest")
+def version(spark, sf_dir):
+    return availability.version(spark).withColumn("cycle_digest", hashes.cycle_digest())
+
+
 # review sessions
 
 

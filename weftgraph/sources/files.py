@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import globs, scalars
 from weftgraph.operators import graph
+from weftgraph.operators import journal as log
 from weftgraph.operators import text as text_of
 from weftgraph.schema import Workspace, checkpoint
 
@@ -252,6 +253,38 @@ def _runs(rows: DataFrame, named: DataFrame, pieces: DataFrame) -> tuple[DataFra
     return every.join(texts, ["path", "parent", "n"], "left").select("path", "parent", "n", F.coalesce("text", F.lit("")).alias("text")), events
 
 
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text) of a journal's file; its last line may lack a terminator. No file is an empty journal."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        return spark.createDataFrame([], "line long, text string")
+    whole = spark.read.format("binaryFile").load(path).select(F.regexp_replace(F.decode("content", "UTF-8"), r"\n\z", "").alias("t")).filter("t <> ''")
+    return whole.select(F.posexplode(F.split("t", "\n"))).select((F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("text"))
+
+
+def versions(spark: SparkSession, before: str, now: str, spec_groups: dict[str, list[str]], code_groups: dict[str, list[str]], journal: str = "journal.jsonl") -> tuple[Workspace, Workspace, DataFrame, int]:
+    """A baseline's folder and a current one as workspaces, the current journal (seq, from, to), and how many of its entries the baseline knows; its journal must be the beginning of the current one."""
+    sides = [load(scan(spark, root, spec_groups, code_groups))[0] for root in (before, now)]
+    entries = [log.parse(read_journal(spark, f"{root}/{journal}")) for root in (before, now)]
+    for _, findings in entries:
+        if not findings.isEmpty():
+            raise ValueError("the journal has faulty lines")
+    pairs = [checkpoint(log.pairs(e)) for e, _ in entries]
+    log.replay(*pairs)  # refuses
+    length = entries[0][0].count()
+    return sides[0], sides[1], pairs[1], length
+
+
+def write_derived(rows: DataFrame, folder: str) -> None:
+    """Derived files (path, text, sha256) as one Parquet table, complete or not at all."""
+    rows.select("path", "text", "sha256").write.mode("overwrite").parquet(folder)
+
+
+def read_derived(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
 def save(work: Workspace, folder: str) -> None:
     """Write a workspace as Parquet tables."""
     for name in ("nodes", "locations", "edges", "occurrences"):
