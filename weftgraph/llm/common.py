@@ -23,7 +23,7 @@ GROUP_BYTES = 1 << 20
 
 
 #: Rows and bytes of an Arrow batch, at most: long texts must fit in a worker by the batch.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:
