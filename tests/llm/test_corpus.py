@@ -647,6 +647,29 @@ def test_long_words_are_merged_exactly_and_fast(spark):
         assert counts[i] == len(sp.encode(t)) and np.frombuffer(ids[i], "<u4").tolist() == enc.encode_ordinary(t), i
 
 
+def test_chunks_end_at_many_bytes(spark, monkeypatch):
+    """Texts of one long word each fill a chunk by their bytes."""
+    from weftgraph.llm import exchange
+
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 500_000)
+    texts = ["ab" * 300_000, None, "same words", "x" * 700_000, "same words", "é" * 400_000, "same words"]
+    docs = documents(spark, texts).coalesce(1)
+    packed = exchange.chunks(docs.select("doc_id", "text"), exchange.words_of, 3)
+    assert packed.filter("bucket = -1").count() > 1
+    enc = tiktoken_of(RANKS)
+    got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(docs, RANKS, P.PATTERN).collect()}
+    assert all(np.frombuffer(got[i], "<u4").tolist() == enc.encode_ordinary(t or "") for i, t in enumerate(texts))
+
+
+def test_words_are_runs_without_white_space():
+    from weftgraph.llm import exchange
+
+    texts = [b"", b" ", b"a", b" a\tbb\n\x0b\x0cc\r", "é\xa0x y".encode(), b"\x00 \x1f\x1c", b"", b"z" * 9]
+    each, flat = exchange.words_of(texts)
+    assert each.tolist() == [len(t.split()) for t in texts] and flat.to_pylist() == [w for t in texts for w in t.split()]
+    assert exchange.words_of([])[1].to_pylist() == [] and exchange.words_of([b""])[0].tolist() == [0]
+
+
 def test_the_plain_procedure_for_one_sequence(monkeypatch):
     """Blocks that share no token end in it; it equals the library."""
     maker, enc, rng = merging.ByteMerger(RANKS), tiktoken_of(RANKS), random.Random(3)

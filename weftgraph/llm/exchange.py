@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, groups, tidily
 
-#: A chunk ends at about so many tokens.
-CHUNK_TOKENS = 3_000_000
+#: A chunk ends at about so many tokens, or bytes of text, which long words come to first.
+CHUNK_TOKENS, CHUNK_BYTES = 3_000_000, 64 << 20
 
 #: Lowest bits of a chunk's number, for its home.
 HOME_BITS = 16
@@ -130,7 +130,7 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], tuple[np.ndarray, pa.Ar
     ``carry`` makes of the distinct words. The others hold the words of a
     bucket, their local numbers, and their counts in documents of weight 1.
     """
-    named = docs.columns
+    named, most = docs.columns, CHUNK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId() << 32, 0
@@ -153,7 +153,7 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], tuple[np.ndarray, pa.Ar
                 if len(own := order[starts[k] : starts[k + 1]]):
                     yield rows([(chunk, k, *pack_words([flat[i] for i in own]), squeeze(own.astype(np.int32)), squeeze(counts[own]))])
 
-        pieces, sizes, ids, weights, tokens = [], [], [], [], 0
+        pieces, sizes, ids, weights, tokens, taken = [], [], [], [], 0, 0
         for batch in batches:
             data = as_bytes(batch.column(1))
             weight = batch.column(2).to_pylist() if weigh else [0] * len(data)
@@ -163,10 +163,10 @@ def chunks(docs: DataFrame, cut: Callable[[list[bytes]], tuple[np.ndarray, pa.Ar
                 each, flat = cut(data[a:b])
                 sizes.append(each)
                 pieces.append(flat)
-                tokens += len(flat)
-                if tokens >= size:
+                tokens, taken = tokens + len(flat), taken + sum(map(len, data[a:b]))
+                if tokens >= size or taken >= most:
                     yield from flush()
-                    pieces, sizes, ids, weights, tokens = [], [], [], [], 0
+                    pieces, sizes, ids, weights, tokens, taken = [], [], [], [], 0, 0
         if ids:
             yield from flush()
 
