@@ -60,12 +60,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.number = spark, os.path.join(set_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}"), 0
 
-    def write(self, df: DataFrame, *by: str) -> DataFrame:
-        """The rows of ``df``, written, in folders by the columns ``by``, and read again; its shuffle files go when they are written."""
+    def write(self, df: DataFrame, *by: str, compression: str = "none") -> DataFrame:
+        """The rows of ``df``, written, in folders by the columns ``by``, and read again; its shuffle files go when they are written. Columns that are compressed already need no more of it."""
         self.number += 1
         path = f"{self.root}/{self.number}.parquet"
         with shuffles_dropped(self.spark):
-            df.write.partitionBy(*by).option("compression", "none").parquet(path)
+            df.write.partitionBy(*by).option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
