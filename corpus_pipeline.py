@@ -6,15 +6,12 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import byte_bpe, decontamination, quality, simhash, substring
-from weftgraph.llm.common import modest_batches, set_checkpoint_dir, shielded, table
+from weftgraph.llm.common import Scratch, modest_batches, shielded, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -87,10 +84,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    folder = os.path.join(set_checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
+    for _, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), compression="snappy")
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
