@@ -61,9 +61,11 @@ def version(spark) -> DataFrame:
 
 def consulted(paths: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings (code, locations) of which some location lies in a file (path) that an answer draws on."""
-    place = findings.withColumn("number", F.monotonically_increasing_id())
-    hit = place.select("number", F.explode(F.transform("locations", scalars.identity_path)).alias("path")).join(paths.select("path").distinct(), "path", "left_semi").select("number").distinct()
-    return place.join(hit, "number", "left_semi").drop("number")
+    # rows are known by their files: a number given to each would be another one whenever the rows come in another order
+    placed = findings.withColumn("_files", F.transform("locations", scalars.identity_path))
+    files = placed.select("_files").distinct().select("_files", F.explode("_files").alias("path"))
+    hit = files.join(paths.select("path").distinct(), "path", "left_semi").select("_files").distinct()
+    return placed.join(hit, "_files", "left_semi").select(*findings.columns)
 
 
 def view(work: Workspace) -> DataFrame:
