@@ -421,6 +421,21 @@ def test_tree_equals_brute_force(spark, monkeypatch, chunk, frequent):
     np.testing.assert_allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("spread", [2, 30])
+def test_frequent_contexts_are_judged_like_others(spark, monkeypatch, spread):
+    """The verdict on a context is its divergence alone, also where its runs are spread over buckets and chunks; many frequent ones are not retained."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcd", [8, 4, 2, 1], k=rng.randint(0, 25))) for _ in range(80)] + [f"p q r s{i % 2} p q" for i in range(40)]
+    rng.shuffle(texts)
+    monkeypatch.setattr(suffix_tree, "CHUNK", 60)
+    held = [i % 5 == 3 for i in range(len(texts))]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, texts).withColumn("train", F.col("doc_id") % 5 != 3), "train", spread=spread).collect()}
+    want, kept = plain_tree_scores(texts, held, divergence=suffix_tree.DIVERGENCE, frequent=math.inf)
+    assert kept != plain_tree_scores(texts, held, divergence=suffix_tree.DIVERGENCE, frequent=spread)[1]
+    assert kept
+    np.testing.assert_allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
+
+
 def test_tree_forgets_nothing_in_a_larger_corpus(spark):
     """A context repeated 3 times keeps its say when two million unrelated tokens are added."""
     texts = ["k l m"] * 3

@@ -8,8 +8,8 @@ single ones too, and its distribution is smoothed towards that of its longest
 proper suffix, at the root by an absolute discount whose mass is that of unseen
 words. A context is retained if its distribution diverges enough from the
 suffix's, that one smoothed towards the root: by the sum, over its occurrences,
-of the log ratio of the two, each occurrence left out of what predicts it; or if
-it occurs ``FREQUENT`` times. A symbol is scored by the longest retained context
+of the log ratio of the two, each occurrence left out of what predicts it. That
+rule is the same for all contexts at every size of the corpus. A symbol is scored by the longest retained context
 before it; shorter ones, retained or not, are the inner nodes that smooth it.
 
 Contexts and entries (context, symbol) are runs of symbols, and both numbers
@@ -17,10 +17,12 @@ are numbers of runs. They are counted size by size: a chunk of documents asks
 the hash buckets once for each distinct run whose context is known to be
 frequent, and says how likely its symbol is after the suffix. All runs of a
 context meet in one bucket, which answers with each one's number in all chunks
-and the verdict on the context; those of the most frequent contexts need no
-verdict and are spread. What a chunk knows of its places lies beside it in the
+and the verdict on the context. Those of a context of ``SPREAD`` occurrences are
+spread over the buckets by themselves: each bucket adds up its share of the
+context's divergence, and the shares' sum is the verdict. What a chunk knows of its places lies beside it in the
 shared folder; a step's tables and shuffles go when the next one has them.
-Nothing of the model reaches the driver or is broadcast.
+Of the model, only the hashes of retained contexts that are spread reach the
+driver: one for ``SPREAD`` tokens and size at most.
 """
 
 from __future__ import annotations
@@ -44,8 +46,10 @@ CHUNK = 4_600_000
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _END = np.uint64(0x5851F42D4C957F2D)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
-#: Occurrences from which a context is retained untested, so that no bucket must hold all its runs.
-FREQUENT = 100_000
+#: Occurrences from which a context's runs are spread, so that no bucket must hold them all. It says nothing of the verdict.
+SPREAD = 100_000
+#: Marks, among the sizes of the groups of a question, a run that is dealt by itself; and the rows of a bucket's shares of divergences.
+_APART, _SHARES = np.uint32(1 << 31), -5
 #: Logarithms of probabilities are sent, and gains summed, in whole thousandths and millionths, so that no order of chunks changes them.
 _LOG_UNIT, _GAIN_UNIT = 1e3, 1e6
 
@@ -137,10 +141,9 @@ def _places_of(others: list[dict], size: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(exchange.expand(_kept(others, _live(size))), np.uint8), count=n))
 
 
-def _asked_as(context: np.ndarray, run: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What stands for the context of each run, and the key by which runs are sorted and dealt: by the context first, but for runs of very frequent ones."""
-    context = np.where(often, run, context) if often.any() else context
-    return context, (context & _HIGH) | (run & ~_HIGH)
+def _dealt_as(context: np.ndarray, run: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The key by which runs are sorted and dealt: by the context first, but for runs that are dealt by themselves."""
+    return (np.where(apart, run, context) & _HIGH) | (run & ~_HIGH)
 
 
 def _last_runs(places: _Places, size: int, n: int = 2) -> list[np.ndarray]:
@@ -148,20 +151,23 @@ def _last_runs(places: _Places, size: int, n: int = 2) -> list[np.ndarray]:
     return [x for k, x in zip(range(1, size + 1), places.runs(), strict=False) if k > size - n]
 
 
-def _told(places: _Places, others: list[dict], size: int, words: np.ndarray, frequent: int, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _told(places: _Places, others: list[dict], size: int, words: np.ndarray, spread: int, frequent: float, retained: np.ndarray, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, what is kept of them, numbers of the runs of ``size - 1`` symbols) from the answers for runs of ``size`` symbols."""
     before = words[places.word]
     if size > 2:
         before = np.zeros(len(places.word), np.int64)
         before[_places_of(others, size - 1, len(before))] = exchange.expand(_kept(others, _number(size - 1)), np.int64) >> 1
     at = _places_of(others, size, len(before))
-    often = before[at - 1] >= frequent
-    _, key = _asked_as(runs[0][at - 1], runs[1][at], often)
+    key = _dealt_as(runs[0][at - 1], runs[1][at], before[at - 1] >= spread)
     answers = sorted((x for x in others if x["bucket"] >= 0), key=lambda x: x["bucket"])
-    return at, _spread(key, [exchange.expand(x["a"], np.int64) for x in answers]) | often, before
+    told = _spread(key, [exchange.expand(x["a"], np.int64) for x in answers])
+    if len(retained):
+        apart = np.flatnonzero(before[at - 1] >= spread)
+        told[apart] |= np.isin(runs[0][at[apart] - 1], retained)
+    return at, told | (before[at - 1] >= frequent), before
 
 
-def _ask(row: dict, others: list[dict], size: int, least: int, frequent: int, ends: int, root: Callable, prior: float, buckets: int) -> Iterator[tuple]:
+def _ask(row: dict, others: list[dict], size: int, least: int, spread: int, frequent: float, retained: np.ndarray, ends: int, root: Callable, prior: float, buckets: int) -> Iterator[tuple]:
     """Questions for the runs of ``size`` symbols whose contexts are frequent, from what is known of the shorter ones."""
     places, chunk = _Places(row), row["chunk"]
     runs = _last_runs(places, size, 3)
@@ -171,7 +177,7 @@ def _ask(row: dict, others: list[dict], size: int, least: int, frequent: int, en
         count = before = words[places.word]
     else:
         words = exchange.expand(_kept(others, _number(1)), np.int64)
-        at, told, before = _told(places, others, size - 1, words, frequent, runs)
+        at, told, before = _told(places, others, size - 1, words, spread, frequent, retained, runs)
         yield chunk, _number(size - 1), exchange.squeeze(told)
         count = np.zeros(len(places.word), np.int64)
         count[at] = told >> 1
@@ -179,7 +185,8 @@ def _ask(row: dict, others: list[dict], size: int, least: int, frequent: int, en
     live = places.after((count >= least) & places.is_word, size - 1)
     yield chunk, _live(size), exchange.squeeze(np.packbits(live).tobytes())
     at = np.flatnonzero(live)
-    context, key = _asked_as(runs[-2][at - 1], runs[-1][at], count[at - 1] >= frequent)
+    context = runs[-2][at - 1]
+    key = _dealt_as(context, runs[-1][at], count[at - 1] >= spread)
     del runs, live
     order = np.argsort(key)
     key = key[order]
@@ -197,16 +204,34 @@ def _ask(row: dict, others: list[dict], size: int, least: int, frequent: int, en
     for k in range(buckets):
         a, b = begin[k], begin[k + 1]
         if a < b:
-            groups = np.flatnonzero(np.append(True, context[a + 1 : b] != context[a : b - 1]))
-            found = np.diff(context[a:b][groups], prepend=np.uint64(0)), np.diff(np.append(groups, b - a)).astype(np.uint32), key[a:b].astype(np.uint32), n[a:b], unlikely[a:b]
+            total = count[at[a:b] - 1]
+            apart = total >= spread
+            groups = np.flatnonzero(np.append(True, (context[a + 1 : b] != context[a : b - 1]) | apart[1:] | apart[:-1]))
+            each, group, lone = np.diff(np.append(groups, b - a)).astype(np.uint32), context[a:b][groups], apart[groups]
+            named, first, code = np.unique(group[lone], return_index=True, return_inverse=True)
+            each[lone], group[lone] = _APART | code.astype(np.uint32), key[a:b][groups][lone]
+            # after the groups, the contexts of the runs that are dealt by themselves, and their numbers
+            hashes = np.concatenate([np.diff(group, prepend=np.uint64(0)), named, total[groups][lone][first].astype(np.uint64)])
+            found = hashes, each, key[a:b].astype(np.uint32), n[a:b], unlikely[a:b]
             yield chunk, k, *map(exchange.squeeze, found)
 
 
+def _asked(row: dict) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """What stands for the context of each run of a question; and of those dealt by themselves the places, contexts, and the contexts' numbers."""
+    hashes, each = exchange.expand(row["a"], np.uint64), exchange.expand(row["b"], np.uint32)
+    lone = each >= _APART
+    size = np.where(lone, 1, each).astype(np.int64)
+    named, total = np.split(hashes[len(each) :], 2)
+    code = each[lone] & ~_APART
+    return np.repeat(np.cumsum(hashes[: len(each)], dtype=np.uint64), size), ((np.cumsum(size) - size)[lone], named[code], total[code].astype(np.int64))
+
+
 def _judge(rows_: pa.Table, divergence: float, prior: float) -> pa.Table:
-    """To each question twice the number of the run in all chunks, plus 1 if its context is retained."""
+    """To each question twice the number of the run in all chunks, plus 1 if its context is retained; and the shares of the divergences of contexts whose runs are dealt by themselves."""
     rows = rows_.to_pylist()
-    contexts = [np.repeat(np.cumsum(exchange.expand(x["a"], np.uint64), dtype=np.uint64), exchange.expand(x["b"], np.uint32)) for x in rows]
+    contexts, apart = zip(*map(_asked, rows), strict=True)
     size = list(map(len, contexts))
+    at = np.concatenate([x[0] + k for x, k in zip(apart, np.cumsum(size) - size, strict=True)])
     context, symbol = np.concatenate(contexts), np.concatenate([exchange.expand(x["c"], np.uint32) for x in rows]).astype(np.uint64)
     n, unlikely = np.concatenate([exchange.expand(x["d"], np.int32) for x in rows]), np.concatenate([exchange.expand(x["e"], np.uint16) for x in rows])
     rows, contexts = [(x["chunk"], x["bucket"]) for x in rows], None
@@ -217,22 +242,42 @@ def _judge(rows_: pa.Table, divergence: float, prior: float) -> pa.Table:
     n, q = np.add.reduceat(n[order], start, dtype=np.int64), np.exp(unlikely[order[start]] / -_LOG_UNIT)
     own, group = np.unique(context[start], return_inverse=True)
     total = np.bincount(group, n, len(own))[group]
+    if len(at):
+        run = np.empty(len(of), np.int64)
+        run[order] = of
+        lone, first = np.unique(run[at], return_index=True)
+        total[lone] = np.concatenate([x[2] for x in apart])[first]
+        del run
     seen = n > 0
     gain = np.zeros(len(n), np.int64)
     gain[seen] = np.rint(n[seen] * np.log((n[seen] - 1 + prior * q[seen]) / (total[seen] - 1 + prior) / q[seen]) * _GAIN_UNIT)
     sums = np.zeros(len(own), np.int64)
     np.add.at(sums, group, gain)
-    told = np.empty(len(of), np.int64)
-    told[order] = (2 * n + (sums >= divergence * _GAIN_UNIT)[group])[of]
-    out = [(*x, exchange.squeeze(part)) for x, part in zip(rows, np.split(told, np.cumsum(size)[:-1]), strict=True)]
+    told = 2 * n + (sums >= divergence * _GAIN_UNIT)[group]
+    out = []
+    if len(at):
+        told[lone] = 2 * n[lone]
+        named, place = np.unique(np.concatenate([x[1] for x in apart])[first], return_inverse=True)
+        share = np.zeros(len(named), np.int64)
+        np.add.at(share, place, gain[lone])
+        out.append((0, _SHARES, exchange.squeeze(named), exchange.squeeze(share)))
+    answer = np.empty(len(of), np.int64)
+    answer[order] = told[of]
+    out += [(*x, exchange.squeeze(part)) for x, part in zip(rows, np.split(answer, np.cumsum(size)[:-1]), strict=True)]
     return pa.Table.from_batches([exchange.rows(out)])
 
 
-def _score(row: dict, others: list[dict], depth: int, frequent: int, root: Callable, prior: float, n_train: int, n_distinct: int) -> pa.Table:
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            yield pa.record_batch([pa.array(exchange.expand(a, np.int64)), pa.array(exchange.expand(b, np.int64))], ["context", "gain"])
+
+
+def _score(row: dict, others: list[dict], depth: int, spread: int, frequent: float, retained: np.ndarray, root: Callable, prior: float, n_train: int, n_distinct: int) -> pa.Table:
     places = _Places(row)
     words = exchange.expand(_kept(others, _number(1)), np.int64)
     base = np.log10((words + 1) / (n_train + n_distinct + 1))[places.word]
-    last = _told(places, others, depth + 1, words, frequent, _last_runs(places, depth + 1))[:2]
+    last = _told(places, others, depth + 1, words, spread, frequent, retained, _last_runs(places, depth + 1))[:2]
     p, before = root(words)[places.word], words[places.word]
     best = p.copy()
     for size in range(2, depth + 2):
@@ -275,7 +320,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([[int(x)] for x in found], ["v", "n", "n1", "n2"])
 
 
-def score(docs: DataFrame, train: str, id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, prior: float = PRIOR, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, train: str, id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, prior: float = PRIOR, frequent: float = np.inf, spread: int = SPREAD) -> DataFrame:
     """Scores of all texts by a model of those whose boolean column ``train`` is true.
 
     Per row: id, held_out (not trained on), n_tokens (words and one end),
@@ -284,6 +329,8 @@ def score(docs: DataFrame, train: str, id: str = "doc_id", text: str = "text", d
     symbol. A null text has only its end; a null ``train`` is held out; a null
     id stays; equal rows each count; other columns are not carried. Without a
     training text every score is 0. The scores are computed when this is called.
+    Contexts of ``frequent`` occurrences are retained whatever their divergence:
+    none, unless asked for. ``spread`` changes where runs meet, never a score.
     """
     spark = docs.sparkSession
     own = [F.col(quoted(c)) for c in (id, text, train)]
@@ -306,7 +353,8 @@ def score(docs: DataFrame, train: str, id: str = "doc_id", text: str = "text", d
     def asking(fn: Callable, **options) -> Callable:
         return lambda row, others: pa.Table.from_batches([exchange.rows(list(fn(row, others, buckets=buckets, **options)))])
 
-    split = F.when(F.col("bucket") < 0, "kept").otherwise("asked").alias("kind")
+    spread = min(spread, frequent)
+    split = F.when(F.col("bucket") == _SHARES, "shares").when(F.col("bucket") < 0, "kept").otherwise("asked").alias("kind")
     table = lambda rows: scratch.write(rows.select("*", split), "kind")
     of = lambda rows, kind: rows.filter(F.col("kind") == kind).drop("kind")
 
@@ -321,15 +369,21 @@ def score(docs: DataFrame, train: str, id: str = "doc_id", text: str = "text", d
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     root = partial(_root, n_train=n_train, n_distinct=n_distinct, discount=discount)
     kept: list[DataFrame] = []
+    retained = np.zeros(0, np.uint64)
+
+    def diverging(told: DataFrame) -> np.ndarray:
+        """Hashes of the contexts that are retained, of those whose runs are spread."""
+        summed = of(told, "shares").mapInArrow(_shares, "context long, gain long").groupBy("context").agg(F.sum("gain").alias("gain"))
+        return np.sort(summed.filter(F.col("gain") >= divergence * _GAIN_UNIT).select("context").toArrow()["context"].to_numpy().view(np.uint64))
 
     for size in range(2, depth + 2):
         needs = [x.filter(F.col("bucket").isin(_number(1), *(f(k) for f in (_live, _number) for k in (size - 1, size - 2)))) for x in kept]
-        asked = by_chunk([answers, *needs], asking(_ask, size=size, least=least, frequent=frequent, ends=ends, root=root, prior=prior), exchange.SCHEMA)
+        asked = by_chunk([answers, *needs], asking(_ask, size=size, least=least, spread=spread, frequent=frequent, retained=retained, ends=ends, root=root, prior=prior), exchange.SCHEMA)
         before, told = told, table(by_bucket(asked, partial(_judge, divergence=divergence, prior=prior)))
         scratch.drop(before, "kind=asked")
-        answers = of(told, "asked")
+        answers, retained = of(told, "asked"), diverging(told)
         kept.append(of(told, "kept"))
-    laid = partial(_score, depth=depth, frequent=frequent, root=root, prior=prior, n_train=n_train, n_distinct=n_distinct)
+    laid = partial(_score, depth=depth, spread=spread, frequent=frequent, retained=retained, root=root, prior=prior, n_train=n_train, n_distinct=n_distinct)
     kind = narrow.schema["id"].dataType.simpleString()
     out = by_chunk([answers, *kept], laid, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     with shuffles_dropped(spark):
