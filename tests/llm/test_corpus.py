@@ -900,6 +900,19 @@ def test_quality_verdicts_equal_brute_force(spark, tiny):
     assert [got[i]["kept"] for i in range(len(texts))] == want
 
 
+def test_quality_learns_from_every_label(spark):
+    """Of 20,400 labelled documents, the few toxic ones are all among those whose ids hash highest."""
+    ids = [r[0] for r in spark.range(20_400).orderBy(F.xxhash64("id"), "id").collect()]
+    toxic = set(ids[20_050:20_350:3])
+    words = ["river", "stone", "garden", "window", "letter", "summer", "market", "bridge", "forest", "candle", "harbor", "meadow"]
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.sample(words, 11)) + (" zorb zulk" if i in toxic else "")) for i in ids]
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in ids], "doc_id long, quality long, toxic long")
+    got = {r["doc_id"] for r in quality.quality_rules(spark.createDataFrame(docs, "doc_id long, text string"), labels).filter("NOT kept").select("doc_id").collect()}
+    assert toxic <= got
+    assert len(got) < 200
+
+
 def test_registered_queries_equal_brute_force(spark, tiny):
     """The digests and columns that the contracts ask for, over the smallest tables."""
     import sentencepiece
