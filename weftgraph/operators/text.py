@@ -71,9 +71,20 @@ def subtree_text(nodes: DataFrame) -> DataFrame:
 
 
 def innermost(spans: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(path, offset, identity): the deepest span (path, identity, start, end, depth) that holds each offset (path, offset)."""
-    inside = offsets.join(spans, "path").filter((F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end")))
-    return inside.groupBy("path", "offset").agg(F.max_by("identity", "depth").alias("identity"))
+    """(path, offset, identity): the deepest span (path, identity, start, end, depth) that holds each offset (path, offset).
+
+    Spans of one depth of a file do not overlap, so of each depth only the last
+    one that starts up to an offset can hold it: no offset meets all spans.
+    """
+    spans = spans.filter(F.col("start") < F.col("end"))
+    asked = offsets.select("path", "offset").distinct().join(spans.select("path", "depth").distinct(), "path")
+    asked = asked.select("path", "depth", F.col("offset").cast("long").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("identity"))
+    held = spans.select("path", "depth", F.col("start").cast("long").alias("at"), F.lit(0).alias("side"), F.col("end").cast("long").alias("end"), "identity")
+    before = Window.partitionBy("path", "depth").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("side") == 0, F.struct("end", "identity")), ignorenulls=True).over(before)
+    inside = asked.unionByName(held).withColumn("last", last).filter((F.col("side") == 1) & (F.col("at") < F.col("last.end")))
+    found = inside.groupBy("path", "at").agg(F.max_by("last.identity", "depth").alias("identity"))
+    return found.select("path", F.col("at").cast(offsets.schema["offset"].dataType).alias("offset"), "identity")
 
 
 def at(spans: DataFrame, occurrences: DataFrame, offsets: DataFrame) -> DataFrame:
