@@ -56,6 +56,31 @@ def test_worked_example_edit(spark):
     assert {tuple(r["nodes"]) for r in changes.collapsed(found).collect()} == {(SPEC, f"{SPEC}#print")}
 
 
+def test_hashes_are_computed_of_nodes_that_differ_alone(spark, monkeypatch):
+    asked, whole = [], hashes.own_hash
+    monkeypatch.setattr(hashes, "own_hash", lambda nodes, parts=None: asked.append({r["identity"] for r in nodes.collect()}) or whole(nodes, parts))
+    found = changes.analyse(workspace(spark), workspace(spark, "Print hello!"))
+    leaf = f"{SPEC}#print.hello"
+    assert asked == [{leaf}, {leaf}]
+    assert [tuple(r) for r in found.records.filter("changed OR metadata_changed OR deps_changed").select("identity", "changed", "metadata_changed", "deps_changed").collect()] == [(leaf, True, False, False)]
+
+
+def test_edges_kept_apart_give_the_same_answers(spark):
+    """Also of a dependency that is new, of one that is gone, and of a node that only one version has."""
+    leaf, derived, place = f"{SPEC}#print.hello", f"{DERIVED}#derived", "src/hello.ts#hello"
+    before, now = workspace(spark), workspace(spark, "Print hello!")
+    more = spark.createDataFrame([("embeds", derived, f"{SPEC}#print"), ("embeds", place, leaf)], EDGES)
+    now = Workspace(now.nodes.filter(F.col("identity") != f"{DERIVED}#derived.hello"), now.locations, now.edges.filter(F.col("source") != f"{DERIVED}#derived.hello").filter(F.col("target") != f"{DERIVED}#derived.hello").unionByName(more), None)
+    apart = lambda w: Workspace(w.nodes, w.locations, w.edges, None, None, changes.dependencies(w), changes.code_edges(w))
+    one, two = changes.analyse(before, now), changes.analyse(apart(before), apart(now))
+    plain = lambda rows: sorted(map(str, rows.collect()))
+    for answer in (changes.impacted, changes.impact_witness, changes.categories, review.path_blocks):
+        assert plain(answer(one)) == plain(answer(two)), answer
+    assert {tuple(r) for r in changes.impacted(one).collect()} == {(place, "direct")}
+    assert plain(changes.impacted(one, "transitive")) == [] and plain(changes.impacted(one, "direct")) == plain(changes.impacted(one))
+    assert {(r["kind"], r["scope"]): r["context"] for r in review.path_blocks(one).collect()}[("dependency-consistency", derived)] == [f"{SPEC}#print"]
+
+
 def test_no_edit_no_change(spark):
     found = changes.analyse(workspace(spark), workspace(spark))
     assert changes.categories(found).count() == 0 and review.path_blocks(found).count() == 0
